@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import bpe, packing, token_counts
+from granary.llm import bpe, html_text, language, packing, quality, token_counts
 from granary.sources.tables import shared_dir, stored, table
 
 BPE_MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -17,6 +17,13 @@ BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages")
+    texts = pages.select("page_id", "url", html_text.extract(pages["html"]).alias("text"))
+    return texts.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rollup of all documents' tokens after a load, revisions, deletes of exact copies, and a replay.
 
@@ -48,6 +55,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), BPE_FILE, BPE_RANKS, public_tokenizers.PATTERN)
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document and host rules over every document."""
+    return quality.judged(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded by the rank file and decoded again, as digests."""
     docs = table(spark, sf_dir, "documents")
@@ -60,9 +72,16 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from three quarters of the labelled rows."""
+    docs = table(spark, sf_dir, "documents")
+    predicted = language.predict(docs.select("doc_id", "text"), *language.train(docs))
+    return predicted.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_counts, op5_packing, op9_byte_bpe)}
+    return {f.__name__: f for f in (op2_html_extraction, op4_token_counts, op5_packing, op7_quality_rules, op9_byte_bpe, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_quality_rules": quality.SQL}

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import bpe, html_text, language, packing, quality, token_counts
+from granary.llm import bpe, html_text, jaccard, language, packing, pii, quality, token_counts
 from granary.sources.tables import shared_dir, stored, table
 
 BPE_MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -55,11 +55,23 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), BPE_FILE, BPE_RANKS, public_tokenizers.PATTERN)
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document."""
+    docs = table(spark, sf_dir, "documents")
+    found = docs.select("doc_id", pii.find(spark, docs["text"]).alias("f"))
+    return found.select("doc_id", "f.n_email", "f.n_ip", "f.n_card", "f.n_phone", F.sha2(F.col("f.base_spans").cast("binary"), 256).alias("base_sha256"), F.col("f.all_spans").alias("spans"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document and host rules over every document."""
     return quality.judged(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents: five-word n-grams, similarity 0.8 or more."""
+    return jaccard.classes(table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded by the rank file and decoded again, as digests."""
     docs = table(spark, sf_dir, "documents")
@@ -80,8 +92,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_html_extraction, op4_token_counts, op5_packing, op7_quality_rules, op9_byte_bpe, op10_language_id)}
+    return {f.__name__: f for f in (op2_html_extraction, op4_token_counts, op5_packing, op6_pii, op7_quality_rules, op8_ngram_jaccard, op9_byte_bpe, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": quality.SQL}
+    return {"op7_quality_rules": quality.SQL, "op8_ngram_jaccard": jaccard.SQL}

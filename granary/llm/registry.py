@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import bpe, html_text, jaccard, language, packing, pii, quality, token_counts
+from granary.llm import bpe, embeddings, html_text, jaccard, language, packing, pii, quality, token_counts
 from granary.sources.tables import shared_dir, stored, table
 
 BPE_MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -24,6 +24,11 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at cosine 0.95 or more."""
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rollup of all documents' tokens after a load, revisions, deletes of exact copies, and a replay.
 
@@ -92,8 +97,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_html_extraction, op4_token_counts, op5_packing, op6_pii, op7_quality_rules, op8_ngram_jaccard, op9_byte_bpe, op10_language_id)}
+    return {f.__name__: f for f in (op2_html_extraction, op3_embedding_near_dedup, op4_token_counts, op5_packing, op6_pii, op7_quality_rules, op8_ngram_jaccard, op9_byte_bpe, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": quality.SQL, "op8_ngram_jaccard": jaccard.SQL}
+    return {"op3_embedding_near_dedup": embeddings.SQL, "op7_quality_rules": quality.SQL, "op8_ngram_jaccard": jaccard.SQL}

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import bpe, embeddings, html_text, jaccard, language, packing, pii, quality, token_counts
+from granary.llm import bpe, embeddings, html_text, jaccard, language, packing, pii, quality, suffix_dedup, token_counts
 from granary.sources.tables import shared_dir, stored, table
 
 BPE_MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -17,6 +17,12 @@ BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without bytes of 50-byte strings that documents with smaller ids hold."""
+    left = suffix_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     pages = table(spark, sf_dir, "pages")
@@ -97,7 +103,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_html_extraction, op3_embedding_near_dedup, op4_token_counts, op5_packing, op6_pii, op7_quality_rules, op8_ngram_jaccard, op9_byte_bpe, op10_language_id)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_html_extraction, op3_embedding_near_dedup, op4_token_counts, op5_packing, op6_pii, op7_quality_rules, op8_ngram_jaccard, op9_byte_bpe, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:

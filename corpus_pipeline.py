@@ -1,4 +1,82 @@
-"""placeholder"""
+"""Raw documents to packed training sequences.
+
+Five stages, each one operator: documents without a main language go; one
+document of each near-duplicate class stays; passages that repeat across
+documents are cut from all but the first; personal data is masked; the rest is
+packed into windows.  Between stages the rows are a parquet table, so a lost
+executor costs at most the stage that runs.
+
+All stages but the last return the columns of their input.  Empty tables pass
+through.  A text that loses everything stays as an empty text.  Rows with a null
+id or null text follow the operators' own definitions.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from granary.llm import jaccard, language, packing, pii, suffix_dedup
+from granary.sources.tables import stored, table
+
+#: A document's main language must have at least this share of it.
+LEAST_SHARE = 0.5
+
+
+def with_text(docs: DataFrame, text: str) -> DataFrame:
+    """The columns of docs with another text and its length."""
+    new = {"text": F.col(text), "n_chars": F.char_length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": F.col(text)}
+    return docs.withColumns(new)
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a main language."""
+    found = language.predict(docs, *language.train(docs))
+    return found.where((F.col("lang_pred") != language.UND) & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates, that with the smallest id."""
+    others = jaccard.classes(docs).where("doc_id <> class_id").select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+
+
+def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that documents with smaller ids hold."""
+    return with_text(suffix_dedup.without_repeats(docs), "kept_text").select(*docs.columns)
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data masked by its kind."""
+    found = docs.withColumn("_masked", F.when(F.col("text").isNotNull(), pii.find(spark, docs["text"])["redacted_text"]))
+    return with_text(found, "_masked").select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in windows of 2048 tokens."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", language_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("repeated_passages", repeated_passage_stage),
+    ("personal_data", pii_stage),
+    ("packing", packing_stage),
+]
+
+#: The stages hold models and byte-level work that SQL can't express; tests compare with a brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES, 1):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES):
+            docs = stored(docs, f"stage_{name}")
+    return docs

@@ -21,7 +21,7 @@ Defined results: words are runs of anything but ASCII white space.  A text of on
 to four words has one n-gram, all its words; a text that is null or has no word
 has none, links with nothing and is a class by itself.  Identical texts link with
 one another.  Extra columns are ignored.  Rows that repeat a doc_id count as
-documents.
+documents.  Rows without a doc_id link with nothing and have a null class.
 """
 
 from __future__ import annotations
@@ -182,6 +182,8 @@ def verified(grouped: DataFrame, n: int, similarity: tuple[int, int]) -> DataFra
 
 def classes(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (4, 5), recall: float = 0.999, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """(doc_id, class_id, n_links): smallest id of the class, and number of other documents linked directly."""
+    nameless = docs.where("doc_id is null").select(docs["doc_id"].cast("long"), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    docs = docs.where("doc_id is not null")
     bands = bands_for(similarity[0] / similarity[1], recall, rows)
     signed = stored(signatures(docs, n, bands, rows), "signatures")
     texts = signed.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max(F.size("bands")).alias("filled"))
@@ -212,7 +214,7 @@ def classes(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (4, 5), r
     found = components(checked.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     links = checked.groupBy("rep").agg(F.sum("links").alias("links"))
     judged = texts.join(links, "rep", "left").join(found, texts["rep"] == found["node"], "left").select("text_key", "rep", "filled", F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return signed.select("doc_id", "text_key").join(judged, "text_key").select("doc_id", F.when(F.col("filled") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(F.col("filled") > 0, F.col("n_links")).otherwise(0).cast("long").alias("n_links"))
+    return signed.select("doc_id", "text_key").join(judged, "text_key").select("doc_id", F.when(F.col("filled") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(F.col("filled") > 0, F.col("n_links")).otherwise(0).cast("long").alias("n_links")).unionByName(nameless)
 
 
 #: DuckDB SQL for ``classes`` over ``documents``: all pairs that share an n-gram, and components by recursion.

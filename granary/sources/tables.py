@@ -31,6 +31,17 @@ def shared_dir(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
+#: Rows of an Arrow batch where rows carry whole texts: a batch of long rows must fit in a worker's memory.
+TEXT_BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hand whole texts to Python workers a few at a time; a smaller setting of the session stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= TEXT_BATCH_ROWS:
+        spark.conf.set(key, str(TEXT_BATCH_ROWS))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a parquet table in the shared folder and read it back.
 

@@ -44,16 +44,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.sources.tables import dropped, stored
+from granary.sources.tables import dropped, small_batches, stored
 
 LENGTH = 50
 #: Bytes of a minimizer's string; a 50-byte string holds LENGTH - GRAM + 1 of them.
 GRAM = 24
 WINDOW = LENGTH - GRAM + 1
 #: Bytes of candidate text in a block, keys in a range, text bytes per bucket of minimizers, bytes hashed at a time.
-BLOCK_BYTES, RANGE_KEYS, BUCKET_BYTES, CHUNK_BYTES = 4 << 20, 1 << 20, 16 << 20, 4 << 20
-#: Key samples that range limits are taken from.
-SAMPLE_KEYS = 50_000
+BLOCK_BYTES, RANGE_KEYS, BUCKET_BYTES, CHUNK_BYTES = 2 << 20, 2 << 20, 16 << 20, 1 << 20
+#: Blocks that a task names one after the other.
+BLOCKS_PER_TASK = 3
+#: Range limits are taken from so many keys of so many blocks; they steer balance only.
+SAMPLE_KEYS, SAMPLE_BLOCKS = 50_000, 16
+#: Text bytes whose minimizers are found at a time, so that the arrays stay in a processor's cache.
+CACHE_BYTES = 1 << 17
 U64 = np.uint64
 TOP = U64(0xFFFFFFFFFFFFFFFF)
 
@@ -100,6 +104,18 @@ def ordered(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order, np.concatenate([[True], s[1:] != s[:-1]])[: len(s)]
 
 
+def distinct_sorted(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Distinct rows of one or two columns in order, and which of them occur more than once."""
+    if len(columns) == 1:
+        s = np.sort(columns[0])
+        new = np.concatenate([[True], s[1:] != s[:-1]])[: len(s)]
+        distinct = [s[new]]
+    else:
+        order, new = ordered(columns)
+        distinct = [c[order[new]] for c in columns]
+    return [*distinct, np.diff(np.flatnonzero(np.append(new, True))) > 1]
+
+
 def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Rows of equal key, which follow each other."""
     held: list[pa.RecordBatch] = []
@@ -119,6 +135,13 @@ def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def single_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """One row at a time, so that only one block's values are held besides the batch."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
 def joined_intervals(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Union of intervals that are sorted by start."""
     if not len(starts):
@@ -147,14 +170,15 @@ def minimizers(data: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.nda
         return np.empty(0, np.int64), np.empty(0, U64)
     with np.errstate(over="ignore"):
         h, factor = data.astype(U64) + U64(1), U64(0x9E3779B97F4A7C15)
-        parts = {1: h}
-        size = 1
-        factors = {1: factor}
+        parts, factors, size = {}, {}, 1
+        if GRAM % 2:
+            parts[1], factors[1] = h, factor
         while size * 2 <= GRAM:
             h = h[:-size] * factor + h[size:]
             size *= 2
             factor = factor * factor
-            parts[size], factors[size] = h, factor
+            if GRAM & size:
+                parts[size], factors[size] = h, factor
         done = 0
         for size in sorted(parts, reverse=True):
             if done + size <= GRAM:
@@ -179,7 +203,10 @@ def anchors(keyed: DataFrame, buckets: int) -> DataFrame:
         def chunk(texts: dict[bytes, bytes]) -> pa.RecordBatch:
             keys, data = list(texts), list(texts.values())
             limits = np.concatenate([[0], np.cumsum([len(d) for d in data])])
-            at, hashes = minimizers(np.frombuffer(b"".join(data), np.uint8), limits)
+            cuts = np.unique(np.append(np.searchsorted(limits, np.arange(0, limits[-1], CACHE_BYTES)), len(data)))
+            parts = [minimizers(np.frombuffer(b"".join(data[a:b]), np.uint8), limits[a : b + 1] - limits[a]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            at = np.concatenate([x[0] + limits[a] for x, a in zip(parts, cuts, strict=False)])
+            hashes = np.concatenate([x[1] for x in parts])
             owner = np.searchsorted(limits, at, side="right") - 1
             place = at - limits[owner]
             order, new = ordered([hashes])
@@ -335,8 +362,9 @@ class Block:
         self.data = np.frombuffer(row["data"], np.uint8)
         ends = np.cumsum(self.lengths)
         self.part = np.repeat(np.arange(len(ends), dtype=np.int32), self.lengths)
-        self.room = (ends[self.part] - np.arange(len(self.data))).astype(np.int32)
-        self.names = {c: expand(row[f"names{c}"], np.uint32).astype(U64) if row[f"names{c}"] else None for c in (1, 2)}
+        self.room = np.repeat(ends.astype(np.int32), self.lengths)
+        self.room -= np.arange(len(self.data), dtype=np.int32)
+        self.names = {c: expand(row[f"names{c}"], np.uint32) if row[f"names{c}"] else None for c in (1, 2)}
 
     def sampled(self, c: int, width: int) -> np.ndarray:
         """Which positions c, c + 3, ... have ``width`` bytes before their stretch ends."""
@@ -349,7 +377,7 @@ class Block:
     def shifted(self, c: int, by: int) -> np.ndarray:
         """Names of the sampled positions ``by`` places on in class c; 0 past the end."""
         names = self.names[c]
-        return np.concatenate([names[by:], np.zeros(min(by, len(names)), U64)])
+        return np.concatenate([names[by:], np.zeros(min(by, len(names)), np.uint32)])
 
 
 # ---- 3. names
@@ -365,7 +393,8 @@ def triple_ranks(bitmap: bytes | None) -> np.ndarray | None:
     if bitmap not in _RANKS:
         present = np.unpackbits(np.frombuffer(bitmap, np.uint8))
         _RANKS.clear()
-        _RANKS[bitmap] = np.cumsum(present, dtype=np.uint32) * present
+        _RANKS[bitmap] = np.cumsum(present, dtype=np.uint32)
+        _RANKS[bitmap] *= present
     return _RANKS[bitmap]
 
 
@@ -374,11 +403,10 @@ def triple_bitmap(stored_blocks: DataFrame) -> bytes:
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = np.zeros(1 << 24, bool)
-        for batch in batches:
-            for row in batch.to_pylist():
-                block = Block(row)
-                for c in (1, 2):
-                    have[block.byte_triples(c)[block.sampled(c, 3)]] = True
+        for row in single_rows(batches):
+            block = Block(row)
+            for c in (1, 2):
+                have[block.byte_triples(c)[block.sampled(c, 3)]] = True
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(have).astype(np.int64) + 1)], names=["triple"])  # bitmap functions count from 1
 
     found = stored_blocks.mapInArrow(seen, "triple long")
@@ -397,9 +425,9 @@ def level_keys(block: Block, level: int, ranks: np.ndarray | None) -> dict[int,
     out = {}
     for c in (1, 2):
         if level == 9:
-            first = ranks[block.byte_triples(c)].astype(U64)
+            first = ranks[block.byte_triples(c)]
             at = np.flatnonzero(block.sampled(c, 9))
-            parts = [first[at], first[at + 1], first[at + 2]]
+            parts = [first[at + k].astype(U64) for k in range(3)]
         else:
             by = (0, 3, 6) if level == 27 else (0, 7)
             parts = [block.shifted(c, k) for k in by]
@@ -407,7 +435,7 @@ def level_keys(block: Block, level: int, ranks: np.ndarray | None) -> dict[int,
             for p in parts:
                 alive = alive & (p > 0)
             at = np.flatnonzero(alive)
-            parts = [p[at] for p in parts]
+            parts = [p[at].astype(U64) for p in parts]
         if level == 9:  # byte triples have at most 2**24 names
             columns = [(parts[0] << U64(24)) | parts[1], parts[2]]
             if int(ranks.max()) < 1 << 21:
@@ -420,45 +448,45 @@ def level_keys(block: Block, level: int, ranks: np.ndarray | None) -> dict[int,
     return out
 
 
-def last_keys(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, keys) of all 50-byte strings, each position once for either shift it can be compared by."""
-    data = block.data.astype(U64)
-    rank = np.zeros(len(data) + 3, U64)
-    for c in (1, 2):
-        rank[c : len(data) : 3] = block.names[c]
-    full = np.flatnonzero(block.room >= LENGTH)
-    kind = full % 3
+def last_keys(block: Block, shift: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, keys) of the 50-byte strings that can be compared by this common shift.
+
+    A key is the shift, the 48-byte rank behind it and the two bytes that the rank leaves out.
+    """
+    n, data = len(block.data), block.data
     at, keys = [], []
-    for shift, classes in ((0, (1, 2)), (1, (0, 1)), (2, (0, 2))):
-        i = full[(kind == classes[0]) | (kind == classes[1])]
-        r = rank[i + shift]
-        i, r = i[r > 0], r[r > 0]
+    for kind in ((1, 2), (0, 1), (0, 2))[shift]:
+        c = (kind + shift) % 3
+        room = block.room[kind::3]
+        rank = block.names[c][(kind + shift - c) // 3 :][: len(room)]
+        k = np.flatnonzero((room[: len(rank)] >= LENGTH) & (rank > 0))
+        i = k * 3 + kind
         before = data[i] if shift else data[i + 48]
         other = data[i + 49] if shift < 2 else data[i + 1]
-        at.append(i)
-        keys.append((U64(shift) << U64(62)) | (r << U64(16)) | (before << U64(8)) | other)
+        key = rank[k].astype(U64) << U64(16)
+        key |= (before.astype(np.uint16) << np.uint16(8)) | other
+        key |= U64(shift) << U64(62)
+        at.append(i.astype(np.int32))
+        keys.append(key)
     return np.concatenate(at), np.concatenate(keys)
 
 
 def all_keys(block: Block, level: int, ranks: np.ndarray | None) -> tuple[np.ndarray, list[np.ndarray]]:
     """Positions (class 2 behind class 1 for names) and key columns of a level."""
-    if level == LENGTH:
-        at, keys = last_keys(block)
-        return at, [keys]
     own = level_keys(block, level, ranks)
     return np.concatenate([own[1][0], own[2][0] + len(block.data)]), [np.concatenate(x) for x in zip(own[1][1], own[2][1], strict=True)]
 
 
 def limits(stored_blocks: DataFrame, level: int, shared, n_blocks: int, n_ranges: int) -> np.ndarray:
     """First keys of each range but the lowest, from a bounded sample."""
-    every = max(1, n_blocks // 64)
+    every = max(1, n_blocks // SAMPLE_BLOCKS)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                _, columns = all_keys(Block(row), level, triple_ranks(shared.value[0]))
-                step = max(1, len(columns[0]) // (SAMPLE_KEYS // 64))
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0][::step].view(np.int64))], names=["key"])
+        for row in single_rows(batches):
+            block = Block(row)
+            keys = np.concatenate([last_keys(block, k)[1] for k in range(3)]) if level == LENGTH else all_keys(block, level, triple_ranks(shared.value[0]))[1][0]
+            step = max(1, len(keys) // (SAMPLE_KEYS // SAMPLE_BLOCKS))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[::step].view(np.int64))], names=["key"])
 
     some = stored_blocks.where(F.pmod(F.xxhash64("block"), F.lit(every)) == 0)
     keys = np.sort(np.array([r["key"] for r in some.mapInArrow(sample, "key long").collect()], np.int64).view(U64))
@@ -470,24 +498,19 @@ def requests(stored_blocks: DataFrame, level: int, shared) -> DataFrame:
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, cuts = triple_ranks(shared.value[0]), shared.value[1]
-        for batch in batches:
-            for row in batch.to_pylist():
-                block = Block(row)
-                _, columns = all_keys(block, level, ranks)
-                if len(columns) == 1:
-                    s = np.sort(columns[0])
-                    new = np.concatenate([[True], s[1:] != s[:-1]])[: len(s)]
-                    distinct = [s[new]]
-                else:
-                    order, new = ordered(columns)
-                    distinct = [c[order[new]] for c in columns]
-                often = np.diff(np.flatnonzero(np.append(new, True))) > 1
-                bounds = np.concatenate([[0], np.searchsorted(distinct[0], cuts), [len(distinct[0])]])
-                rows = []
-                for b in np.flatnonzero(np.diff(bounds)):
-                    s = slice(bounds[b], bounds[b + 1])
-                    rows.append((int(b), block.block, squeeze_sorted(distinct[0][s]), squeeze(distinct[1][s].astype(np.uint32)) if len(distinct) > 1 else b"", np.packbits(often[s]).tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()])], names=["range", "block", "high", "low", "often"])
+        for row in single_rows(batches):
+            block = Block(row)
+            if level == LENGTH:  # keys of different shifts differ, and sort by shift
+                distinct, often = [np.concatenate(x) for x in zip(*(distinct_sorted([last_keys(block, k)[1]]) for k in range(3)), strict=True)]
+                distinct = [distinct]
+            else:
+                *distinct, often = distinct_sorted(all_keys(block, level, ranks)[1])
+            bounds = np.concatenate([[0], np.searchsorted(distinct[0], cuts), [len(distinct[0])]])
+            rows = []
+            for b in np.flatnonzero(np.diff(bounds)):
+                s = slice(bounds[b], bounds[b + 1])
+                rows.append((int(b), block.block, squeeze_sorted(distinct[0][s]), squeeze(distinct[1][s].astype(np.uint32)) if len(distinct) > 1 else b"", np.packbits(often[s]).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()])], names=["range", "block", "high", "low", "often"])
 
     return stored_blocks.mapInArrow(ask, "range int, block long, high binary, low binary, often binary")
 
@@ -586,15 +609,18 @@ def removals(both: DataFrame) -> DataFrame:
         for table in groups(batches, "block"):
             row, *told = table.to_pylist()
             block = Block(row)
-            at, columns = all_keys(block, LENGTH, None)
             go = np.zeros(len(block.data), bool)
-            if len(at):
-                order, new = ordered(columns)
-                group = np.cumsum(new) - 1
-                doc = block.docs[block.part[at[order]]]
-                least = np.minimum.reduceat(doc, np.flatnonzero(new))
-                hit = (doc > least[group]) | reply_values(told, None)[group]
-                go[at[order[hit]]] = True
+            told_earlier = reply_values(told, None)
+            for shift in range(3):
+                at, keys = last_keys(block, shift)
+                if len(at):
+                    order, new = ordered([keys])
+                    at = at[order]
+                    group = np.cumsum(new, dtype=np.int32) - 1
+                    doc = block.docs[block.part[at]]
+                    least = np.minimum.reduceat(doc, np.flatnonzero(new))
+                    go[at[(doc > least[group]) | told_earlier[: len(least)][group]]] = True
+                    told_earlier = told_earlier[len(least) :]
             i = np.flatnonzero(go)
             part = block.part[i]
             first = np.cumsum(block.lengths) - block.lengths
@@ -613,6 +639,7 @@ def removals(both: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, from_bytes, to_bytes) of the distinct texts that lose something, and (text_key, rep) of all."""
     spark = docs.sparkSession
+    small_batches(spark)
     keyed = docs.where("doc_id is not null").select(docs["doc_id"].cast("long").alias("doc_id"), F.unhex(F.substring(F.sha2(F.coalesce(docs["text"], F.lit("")), 256), 1, 32)).alias("text_key"), F.coalesce(docs["text"], F.lit("")).alias("text"))
     size = keyed.select(F.octet_length("text").alias("n")).agg(F.sum("n")).first()[0] or 0
     firsts = keyed.groupBy("text_key").agg(F.min("doc_id").alias("rep"))
@@ -627,7 +654,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     n_blocks = current.count()
     context = spark.sparkContext
     bitmap = triple_bitmap(current)
-    n_parts = max(1, min(n_blocks, 4096))
+    n_parts = math.ceil(n_blocks / BLOCKS_PER_TASK) or 1
     for level in (9, 27, 48, LENGTH):
         triples = bitmap if level == 9 else None
         cuts = limits(current, level, context.broadcast((triples, None)), n_blocks, n_ranges)

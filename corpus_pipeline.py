@@ -16,43 +16,49 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm import jaccard, language, packing, pii, suffix_dedup
+from granary.llm.rows import whole
 from granary.sources.tables import stored, table
 
 #: A document's main language must have at least this share of it.
 LEAST_SHARE = 0.5
+#: A column name that no table uses.
+LEFT = "corpus_pipeline:text_left"
 
 
-def with_text(docs: DataFrame, text: str) -> DataFrame:
-    """The columns of docs with another text and its length."""
-    new = {"text": F.col(text), "n_chars": F.char_length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": F.col(text)}
+def with_text(docs: DataFrame, text: Column) -> DataFrame:
+    """The columns of docs with another text, and with its length where they hold one."""
+    new = {"text": text} | ({"n_chars": F.char_length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return docs.withColumns(new)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a main language."""
-    found = language.predict(docs, *language.train(docs))
-    return found.where((F.col("lang_pred") != language.UND) & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+    found = docs.select(whole(docs).alias("row"), "text")
+    found = language.predict(found, *language.train(docs)).select("row", F.struct("lang_pred", "score").alias("found"))
+    return found.where((F.col("found.lang_pred") != language.UND) & (F.col("found.score") >= LEAST_SHARE)).select("row.*")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates, that with the smallest id."""
     others = jaccard.classes(docs).where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(others, "doc_id", "left_anti")
 
 
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that documents with smaller ids hold."""
-    return with_text(suffix_dedup.without_repeats(docs), "kept_text").select(*docs.columns)
+    rows = docs.select("doc_id", "text", whole(docs).alias("row"))
+    left = suffix_dedup.without_repeats(rows).select("row.*", F.col("kept_text").alias(LEFT))
+    return with_text(left, F.col(LEFT)).drop(LEFT)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data masked by its kind."""
-    found = docs.withColumn("_masked", F.when(F.col("text").isNotNull(), pii.find(spark, docs["text"])["redacted_text"]))
-    return with_text(found, "_masked").select(*docs.columns)
+    masked = docs.withColumn(LEFT, F.when(F.col("text").isNotNull(), pii.find(spark, docs["text"])["redacted_text"]))
+    return with_text(masked, F.col(LEFT)).drop(LEFT)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.sources.tables import small_batches
+
 #: Code points after which a long text is cut at the next safe boundary.
 PIECE_CHARS = 100_000
 
@@ -69,6 +71,8 @@ def encode_text(encoding, text: str | None) -> np.ndarray:
 def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "token_ids") -> Column:
     """Column of packed ids for ``df[text_col]``; use as ``df.withColumn(ids_col, encode(...))``."""
 
+    small_batches(df.sparkSession)
+
     @F.arrow_udf("binary")
     def packed(texts: pa.Array) -> pa.Array:
         encoding = rank_file_encoding(path, pattern)

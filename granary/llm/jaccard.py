@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from granary.llm.components import components
 from granary.llm.quality import WORD
-from granary.sources.tables import stored
+from granary.sources.tables import small_batches, stored
 
 ROWS = 6
 #: Texts in a block of the verification.
@@ -182,6 +182,7 @@ def verified(grouped: DataFrame, n: int, similarity: tuple[int, int]) -> DataFra
 
 def classes(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (4, 5), recall: float = 0.999, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """(doc_id, class_id, n_links): smallest id of the class, and number of other documents linked directly."""
+    small_batches(docs.sparkSession)
     nameless = docs.where("doc_id is null").select(docs["doc_id"].cast("long"), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     docs = docs.where("doc_id is not null")
     bands = bands_for(similarity[0] / similarity[1], recall, rows)

@@ -28,6 +28,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.llm.rows import whole
+from granary.sources.tables import small_batches
+
 #: Labelled rows to learn from, per language, in expectation.
 SAMPLE_DOCS = 8_000
 CELLS = 1 << 16
@@ -44,7 +47,7 @@ MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], np.uint32)
 def cells(text: str | None) -> np.ndarray:
     """Hash cells of a text's trigrams over lower-case letters and word breaks; empty without letters."""
     letters = NOT_LETTERS.sub(" ", (text or "").lower()).strip()
-    if not letters:
+    if not any(map(str.isalpha, letters)):
         return np.empty(0, np.uint16)
     a = np.frombuffer(f" {letters} ".encode("utf-32-le", "replace"), "<u4")
     mixed = a[:-2] * MULTIPLIERS[0] + a[1:-1] * MULTIPLIERS[1] + a[2:] * MULTIPLIERS[2]
@@ -59,6 +62,7 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], np.ndarray]:
     """Languages and their trigram probabilities (cells x languages)."""
+    small_batches(docs.sparkSession)
     labelled = docs.where(docs["lang"].isNotNull() & docs["doc_id"].isNotNull() & ~held_out(docs["doc_id"]))
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
@@ -125,7 +129,8 @@ def proportions(probabilities: np.ndarray, text: str | None) -> np.ndarray | Non
 
 
 def predict(docs: DataFrame, languages: list[str], probabilities: np.ndarray) -> DataFrame:
-    """Input columns with lang_pred, score (weight of that language) and lang_shares appended."""
+    """Input columns with lang_pred, score (weight of that language) and lang_shares appended; columns of these names are replaced."""
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast((languages, probabilities))
 
     @F.arrow_udf("struct<lang_pred string, score double, lang_shares array<double>>")
@@ -139,5 +144,4 @@ def predict(docs: DataFrame, languages: list[str], probabilities: np.ndarray) ->
         kinds = (pa.string(), pa.float64(), pa.list_(pa.float64()))
         return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(3)], names=["lang_pred", "score", "lang_shares"])
 
-    found = docs.withColumn("_found", infer(docs["text"]))
-    return found.withColumns({c: F.col(f"_found.{c}") for c in ("lang_pred", "score", "lang_shares")}).drop("_found")
+    return docs.select(whole(docs, ("lang_pred", "score", "lang_shares")).alias("row"), infer(docs["text"]).alias("found")).select("row.*", "found.*")

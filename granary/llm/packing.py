@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from granary.llm.bpe import encode_text, rank_file_encoding
-from granary.sources.tables import stored
+from granary.sources.tables import small_batches, stored
 
 #: Sequence ids of whole windows start here, those of packed tails at 0.
 WHOLE_BASE = 1 << 60
@@ -175,6 +175,7 @@ def ranked(tails: DataFrame, buckets: int = 256) -> DataFrame:
 
 def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str, pattern: str, window: int = 2048, end_id: int = 1) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, piece_ids for tails)."""
+    small_batches(docs.sparkSession)
     cut = stored(cut_documents(docs, window, tokenizer_path, ranks_path, pattern, end_id), "packing_cut")
     whole = cut.select("doc_id", "doc_tokens", "first_window", F.posexplode("window_crcs").alias("i", "ids_crc32")).select(
         "doc_id", (F.col("i") * window).cast("long").alias("start"), F.lit(window).cast("long").alias("length"), "ids_crc32", "doc_tokens", (F.col("first_window") + F.col("i")).alias("sequence_id"), F.lit(0).cast("long").alias("offset")

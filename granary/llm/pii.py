@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from granary.sources.tables import small_batches
+
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
 
@@ -297,6 +299,7 @@ def redacted(text: str, spans: list[Span]) -> str:
 
 def find(spark: SparkSession, text: Column, weights: Weights | None = None) -> Column:
     """Struct of base_spans, all_spans (strings as by ``listed``), n_<kind> of the base spans, and redacted_text."""
+    small_batches(spark)
     model = spark.sparkContext.broadcast(weights or train())
 
     @F.arrow_udf("struct<base_spans string, all_spans string, n_email long, n_ip long, n_card long, n_phone long, redacted_text string>")

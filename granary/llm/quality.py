@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.sources.tables import stored
+from granary.sources.tables import small_batches, stored
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
@@ -69,6 +69,7 @@ def text_counts(text: str | None) -> tuple[int, ...]:
 
 def signals(docs: DataFrame) -> DataFrame:
     """(doc_id, source, COUNTS) of every document."""
+    small_batches(docs.sparkSession)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

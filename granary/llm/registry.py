@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm import bpe, embeddings, html_text, jaccard, language, packing, pii, quality, suffix_dedup, token_counts
-from granary.sources.tables import shared_dir, stored, table
+from granary.sources.tables import shared_dir, small_batches, stored, table
 
 BPE_MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -26,6 +26,7 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     pages = table(spark, sf_dir, "pages")
+    small_batches(spark)
     texts = pages.select("page_id", "url", html_text.extract(pages["html"]).alias("text"))
     return texts.withColumn("n_chars", F.char_length("text").cast("long"))
 

@@ -44,6 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.llm.rows import whole
 from granary.sources.tables import dropped, small_batches, stored
 
 LENGTH = 50
@@ -683,9 +684,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """
     added = ("n_bytes", "n_removed", "n_spans", "kept_bytes", "kept_text")
     spans, firsts = repeated_spans(docs)
-    base = docs.select(*(docs[c] for c in docs.columns if c not in added))
-    key = F.when(F.col("doc_id").isNotNull(), F.unhex(F.substring(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256), 1, 32)))
-    base = base.withColumns({"_key": key, "_id": F.col("doc_id").cast("long")})
+    key = F.when(docs["doc_id"].isNotNull(), F.unhex(F.substring(F.sha2(F.coalesce(docs["text"], F.lit("")), 256), 1, 32)))
+    base = docs.select(whole(docs, added).alias("row"), docs["text"].alias("_whole_text"), key.alias("_key"), docs["doc_id"].cast("long").alias("_id"))
     spans = spans.select(F.col("doc_id").alias("_doc"), F.col("from_bytes").alias("_from"), F.col("to_bytes").alias("_to"))
     firsts = firsts.select(F.col("text_key").alias("_text"), F.col("rep").alias("_rep"))
     told = base.join(firsts.join(spans, F.col("_rep") == F.col("_doc"), "left"), F.col("_key") == F.col("_text"), "left")
@@ -710,5 +710,5 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
         return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=list(added))
 
-    done = told.withColumn("_found", cut("text", F.coalesce(F.col("_id") > F.col("_rep"), F.lit(False)), "_from", "_to"))
-    return done.withColumns({c: F.col(f"_found.{c}") for c in added}).drop("_found", "_key", "_id", "_text", "_rep", "_doc", "_from", "_to")
+    done = told.select("row", cut("_whole_text", F.coalesce(F.col("_id") > F.col("_rep"), F.lit(False)), "_from", "_to").alias("found"))
+    return done.select("row.*", "found.*")

@@ -58,8 +58,21 @@ def name_distance(a: Column, b: Column) -> Column:
     return F.when((F.length(x) > 0) & (F.length(y) > 0), F.levenshtein(x, y) / longest).otherwise(F.lit(1.0))
 
 
+def _month_start(year: Column, month: Column) -> Column:
+    """First day of a month that exists, else null; make_date isn't reached with what it would reject."""
+    ok = year.between(1, 9999) & month.between(1, 12)
+    return F.when(ok, F.make_date(F.when(ok, year).otherwise(1), F.when(ok, month).otherwise(1), F.lit(1)))
+
+
+def _rolled_day(year: Column, month: Column, day: Column) -> Column:
+    """Days up to 31; those beyond a month's end roll over."""
+    return F.when(day.between(1, 31), F.date_add(_month_start(year, month), F.coalesce(day, F.lit(1)) - 1))
+
+
 def _day(year: Column, month: Column, day: Column) -> Column:
-    return F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, day), "yyyy-MM-dd")
+    """Days that exist."""
+    rolled = _rolled_day(year, month, day)
+    return F.when(F.month(rolled) == month, rolled)
 
 
 def _number(text: Column, pattern: str, group: int) -> Column:
@@ -78,15 +91,10 @@ def _century(year: Column, pivot: int | None) -> Column:
 def clinical_day(text: Column) -> Column:
     """A day from ISO, ``DD Mon YYYY`` or ``DD/MM/YYYY``; two-digit years are 20xx; days beyond a month's end roll over."""
     month = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.regexp_extract(text, NAMED, 2))).cast("int")
-
-    def rolled(year: Column, month: Column, day: Column) -> Column:
-        ok = month.between(1, 12) & day.between(1, 31)
-        return F.when(ok, F.date_add(_day(year, F.when(ok, month).otherwise(1), F.lit(1)), day - 1))
-
     forms = (
-        rolled(_number(text, ISO, 1), _number(text, ISO, 2), _number(text, ISO, 3)),
-        rolled(_century(_number(text, NAMED, 3), None), F.when(month > 0, month), _number(text, NAMED, 1)),
-        rolled(_century(_number(text, SLASHED, 3), None), _number(text, SLASHED, 2), _number(text, SLASHED, 1)),
+        _rolled_day(_number(text, ISO, 1), _number(text, ISO, 2), _number(text, ISO, 3)),
+        _rolled_day(_century(_number(text, NAMED, 3), None), F.when(month > 0, month), _number(text, NAMED, 1)),
+        _rolled_day(_century(_number(text, SLASHED, 3), None), _number(text, SLASHED, 2), _number(text, SLASHED, 1)),
     )
     return F.coalesce(*forms)
 

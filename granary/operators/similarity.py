@@ -51,3 +51,68 @@ def weighted_match(parts: Sequence[tuple[float, Column]]) -> Column:
     """Sum of weights times scores over the sum of the weights whose score is known; null if none is."""
     total = sum((F.when(score.isNotNull(), weight).otherwise(0.0) for weight, score in parts), F.lit(0.0))
     return F.try_divide(sum((F.coalesce(score * weight, F.lit(0.0)) for weight, score in parts), F.lit(0.0)), total)
+
+
+def parts_of(hash_column: Column, digits: int, limit: int) -> Column:
+    """(index, text) of limit + 1 parts of a string: two strings with at most ``limit`` differing places share one."""
+    cuts = [round(digits * i / (limit + 1)) for i in range(limit + 2)]
+    return F.array(*(F.struct(F.lit(i).alias("i"), F.substring(hash_column, a + 1, b - a).alias("part")) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))))
+
+
+def pairs_within(rows: DataFrame, group: str, value: str, digits: int, limit: int, distance) -> DataFrame:
+    """(group, a, b): distinct values of a group, equally long, whose distance is at most ``limit``; a < b.
+
+    By the pigeonhole principle such values share one of limit + 1 parts, so they
+    meet in an equi-join on (group, part) and no group is paired with itself as a whole.
+    """
+    own = rows.select(group, value).where(F.length(value) == digits).distinct().withColumn("_p", F.explode(parts_of(F.col(value), digits, limit)))
+    left, right = own.select(group, F.col(value).alias("a"), "_p"), own.select(group, F.col(value).alias("b"), "_p")
+    met = left.join(right, [group, "_p"]).where("a < b").select(group, "a", "b").distinct()
+    return met.where(distance(F.col("a"), F.col("b")) <= limit)
+
+
+def differing_places(a: Column, b: Column) -> Column:
+    """Places at which two equally long strings differ."""
+    return F.aggregate(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: (x != y).cast("int")), F.lit(0), lambda s, v: s + v)
+
+
+def clusters(rows: DataFrame, pairs: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, value, cluster): the smallest value that links reach within the group, the value itself without links."""
+    from granary.operators.components import components
+
+    node = lambda c: F.concat_ws("\x1f", group, c)
+    tied = components(pairs.select(node("a").alias("a"), node("b").alias("b"))).select("node", F.element_at(F.split("component", "\x1f"), -1).alias("cluster"))
+    own = rows.select(group, value).distinct().withColumn("node", node(value))
+    return own.join(tied, "node", "left").select(group, value, F.coalesce("cluster", value).alias("cluster"))
+
+
+def clustered_names(names: DataFrame, claim: str, limit: float = 0.3) -> DataFrame:
+    """(claim, name, cluster): names by falling weight, each joining the first cluster near enough, else opening one.
+
+    The result depends on that order, so a claim's names (few by nature) are
+    taken in one pandas group; input columns are claim, name, weight.
+    """
+    import pandas as pd
+
+    def distance(a: str, b: str) -> float:
+        before = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+            before = row
+        return before[-1] / max(1, len(a), len(b))
+
+    def attach(group: pd.DataFrame) -> pd.DataFrame:
+        heads: list[str] = []
+        found = []
+        ordered = group.sort_values(["weight", "name"], ascending=[False, True])
+        for name in ordered["name"]:
+            head = next((h for h in heads if distance(name, h) <= limit), None)
+            if head is None:
+                heads.append(head := name)
+            found.append(head)
+        return pd.DataFrame({claim: ordered[claim], "name": ordered["name"], "cluster": found})
+
+    kind = names.schema[claim].dataType.simpleString()
+    return names.groupBy(claim, "name").agg(F.sum("weight").alias("weight")).groupBy(claim).applyInPandas(attach, f"{claim} {kind}, name string, cluster string")

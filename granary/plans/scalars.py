@@ -146,7 +146,7 @@ def f23_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(gate, 6).alias("confidence"))
 
 
-@plans.query("with h as (select doc_id, md5(coalesce(text, '')) as a, md5(coalesce(lang, '') || doc_id) as b from documents) select doc_id, (" + " + ".join(f"bit_count(xor(('0x' || a[{i}:{i + 7}])::bigint, ('0x' || b[{i}:{i + 7}])::bigint))" for i in range(1, 33, 8)) + ")::bigint as distance from h")
+@plans.query("with h as (select doc_id, md5(coalesce(text, '')) as a, md5(coalesce(lang, '') || doc_id) as b from documents) select doc_id, (" + " + ".join(f"bit_count(xor(('0x' || a[{i}:{i + 7}])::bigint, ('0x' || b[{i}:{i + 7}])::bigint))::bigint" for i in range(1, 33, 8)) + ")::bigint as distance from h")
 def d5_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bits between two hex digests."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("a"), F.md5(F.concat(F.coalesce("lang", F.lit("")), "doc_id")).alias("b"))

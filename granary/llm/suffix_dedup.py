@@ -53,8 +53,10 @@ GRAM = 24
 WINDOW = LENGTH - GRAM + 1
 #: Bytes of candidate text in a block, keys in a range, text bytes per bucket of minimizers, bytes hashed at a time.
 BLOCK_BYTES, RANGE_KEYS, BUCKET_BYTES, CHUNK_BYTES = 2 << 20, 2 << 20, 16 << 20, 1 << 20
-#: Blocks that a task names one after the other.
-BLOCKS_PER_TASK = 3
+#: Blocks, or key ranges, that a task takes one after the other.
+PER_TASK = 3
+#: Rows of an Arrow batch where a row is a block or its keys.
+BATCH_ROWS = 32
 #: Range limits are taken from so many keys of so many blocks; they steer balance only.
 SAMPLE_KEYS, SAMPLE_BLOCKS = 50_000, 16
 #: Text bytes whose minimizers are found at a time, so that the arrays stay in a processor's cache.
@@ -362,11 +364,14 @@ class Block:
         self.docs, self.starts, self.lengths = (expand(row[c], np.int64) for c in ("docs", "starts", "lengths"))
         self.data = np.frombuffer(row["data"], np.uint8)
         ends = np.cumsum(self.lengths)
-        self.part = np.repeat(np.arange(len(ends), dtype=np.int32), self.lengths)
         self.room = np.repeat(ends.astype(np.int32), self.lengths)
         self.room -= np.arange(len(self.data), dtype=np.int32)
         self.names = {c: expand(row[f"names{c}"], np.uint32) if row[f"names{c}"] else None for c in (1, 2)}
 
+    def part(self) -> np.ndarray:
+        """The stretch that each byte is in."""
+        return np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths)
+
     def sampled(self, c: int, width: int) -> np.ndarray:
         """Which positions c, c + 3, ... have ``width`` bytes before their stretch ends."""
         return self.room[c::3] >= width
@@ -527,29 +532,31 @@ def answers(asked: DataFrame, n_ranges: int, last: bool) -> DataFrame:
             columns = [np.concatenate(high)]
             if asked_rows[0]["low"]:
                 columns.append(np.concatenate([expand(r["low"], np.uint32) for r in asked_rows]).astype(U64))
+            sizes = [len(h) for h in high]
+            del high
             order, new = ordered(columns)
-            group = np.empty(len(order), np.int64)
-            group[order] = np.cumsum(new) - 1
-            n = int(new.sum())
+            del columns
+            starts = np.flatnonzero(new)
+            times = np.diff(np.append(starts, len(order)))
             rows = []
             if last:
                 # rows stand in block order, so the first of a group is in its smallest block
-                first = np.full(n, len(order))
-                np.minimum.at(first, group, np.arange(len(order)))
-                value = first[group] < np.arange(len(order))
+                value = np.empty(len(order), bool)
+                value[order] = order > np.repeat(np.minimum.reduceat(order, starts), times)
             else:
-                often = np.concatenate([np.unpackbits(np.frombuffer(r["often"], np.uint8), count=len(h)) for r, h in zip(asked_rows, high, strict=True)]).astype(bool)
-                alive = np.bincount(group, minlength=n) > 1
-                alive[group[often]] = True
-                names = np.cumsum(alive) * alive
-                value = names[group]
+                often = np.concatenate([np.unpackbits(np.frombuffer(r["often"], np.uint8), count=n) for r, n in zip(asked_rows, sizes, strict=True)]).astype(bool)
+                alive = (times > 1) | np.logical_or.reduceat(often[order], starts)
+                names = np.cumsum(alive, dtype=np.uint32)
+                names *= alive
+                value = np.empty(len(order), np.uint32)
+                value[order] = np.repeat(names, times)
                 rows.append((-1, asked_rows[0]["range"], b"", b"", int(alive.sum())))
-            for r, hi, size in zip(asked_rows, ends, map(len, high), strict=True):
+            for r, hi, size in zip(asked_rows, ends, sizes, strict=True):
                 v = value[hi - size : hi]
-                rows.append((r["block"], r["range"], np.packbits(v > 0).tobytes(), b"" if last else squeeze_sorted(v[v > 0].astype(np.uint32)), size))
+                rows.append((r["block"], r["range"], np.packbits(v > 0).tobytes(), b"" if last else squeeze_sorted(v[v > 0]), size))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64()])], names=["block", "range", "alive", "ranks", "n"])
 
-    return asked.repartition(n_ranges, "range").sortWithinPartitions("range").mapInArrow(answer, "block long, range int, alive binary, ranks binary, n long")
+    return asked.repartition(math.ceil(n_ranges / PER_TASK), "range").sortWithinPartitions("range").mapInArrow(answer, "block long, range int, alive binary, ranks binary, n long")
 
 
 def met(stored_blocks: DataFrame, replies: DataFrame, n_parts: int) -> DataFrame:
@@ -568,10 +575,10 @@ def reply_values(rows: list[dict], offsets: dict[int, int] | None) -> np.ndarray
         if offsets is None:
             out.append(alive)
             continue
-        value = np.zeros(r["n"], U64)
-        value[alive] = expand_sorted(r["ranks"], np.uint32).astype(U64) + U64(offsets[r["range"]])
+        value = np.zeros(r["n"], np.uint32)
+        value[alive] = expand_sorted(r["ranks"], np.uint32) + np.uint32(offsets[r["range"]])
         out.append(value)
-    return np.concatenate(out) if out else np.empty(0, bool if offsets is None else U64)
+    return np.concatenate(out) if out else np.empty(0, bool if offsets is None else np.uint32)
 
 
 def renamed(both: DataFrame, level: int, shared) -> DataFrame:
@@ -584,15 +591,15 @@ def renamed(both: DataFrame, level: int, shared) -> DataFrame:
             block = Block(row)
             at, columns = all_keys(block, level, ranks)
             values = reply_values(told, offsets)
-            own = np.zeros(len(at), U64)
+            own = np.zeros(len(at), np.uint32)
             if len(at):
                 order, new = ordered(columns)
-                own[order] = values[np.cumsum(new) - 1]
+                own[order] = np.repeat(values, np.diff(np.append(np.flatnonzero(new), len(order))))
             n = len(block.data)
             for c in (1, 2):
                 mine = (at < n) if c == 1 else (at >= n)
                 names = np.zeros(len(range(c, n, 3)), np.uint32)
-                names[at[mine] - (0 if c == 1 else n)] = own[mine].astype(np.uint32)
+                names[at[mine] - (0 if c == 1 else n)] = own[mine]
                 row[f"names{c}"] = squeeze(names)
             columns = [x.split()[0] for x in BLOCK_SCHEMA.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array([row[c]], pa.int64() if c == "block" else pa.binary()) for c in columns], names=columns)
@@ -610,20 +617,21 @@ def removals(both: DataFrame) -> DataFrame:
         for table in groups(batches, "block"):
             row, *told = table.to_pylist()
             block = Block(row)
-            go = np.zeros(len(block.data), bool)
+            go, part = np.zeros(len(block.data), bool), block.part()
             told_earlier = reply_values(told, None)
             for shift in range(3):
                 at, keys = last_keys(block, shift)
                 if len(at):
                     order, new = ordered([keys])
                     at = at[order]
-                    group = np.cumsum(new, dtype=np.int32) - 1
-                    doc = block.docs[block.part[at]]
-                    least = np.minimum.reduceat(doc, np.flatnonzero(new))
-                    go[at[(doc > least[group]) | told_earlier[: len(least)][group]]] = True
+                    starts = np.flatnonzero(new)
+                    times = np.diff(np.append(starts, len(at)))
+                    doc = block.docs[part[at]]
+                    least = np.minimum.reduceat(doc, starts)
+                    go[at[(doc > np.repeat(least, times)) | np.repeat(told_earlier[: len(least)], times)]] = True
                     told_earlier = told_earlier[len(least) :]
             i = np.flatnonzero(go)
-            part = block.part[i]
+            part = part[i]
             first = np.cumsum(block.lengths) - block.lengths
             begin = i - first[part] + block.starts[part]
             doc = block.docs[part]
@@ -639,8 +647,7 @@ def removals(both: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, from_bytes, to_bytes) of the distinct texts that lose something, and (text_key, rep) of all."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     keyed = docs.where("doc_id is not null").select(docs["doc_id"].cast("long").alias("doc_id"), F.unhex(F.substring(F.sha2(F.coalesce(docs["text"], F.lit("")), 256), 1, 32)).alias("text_key"), F.coalesce(docs["text"], F.lit("")).alias("text"))
     size = keyed.select(F.octet_length("text").alias("n")).agg(F.sum("n")).first()[0] or 0
     firsts = keyed.groupBy("text_key").agg(F.min("doc_id").alias("rep"))
@@ -649,13 +656,26 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = keyed.join(places.join(firsts, "text_key"), "text_key").where("doc_id = rep").select("doc_id", F.col("text").cast("binary").alias("text"), "places")
     parts = stored(stretches(rows), "stretches")
     total = parts.agg(F.sum(F.octet_length("data"))).first()[0] or 0
-    n_ranges = max(1, math.ceil(total / RANGE_KEYS))
     current = stored(blocks(parts, max(1, math.ceil(total / (2 * BLOCK_BYTES)))), "blocks")
     dropped(parts)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark = docs.sparkSession
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH_ROWS))
+    try:
+        return sorted_out(current, total), firsts
+    finally:
+        spark.conf.set(key, before)
+
+
+def sorted_out(current: DataFrame, total: int) -> DataFrame:
+    """Removals from stored blocks, which hold ``total`` bytes: all levels of names, then the merge."""
+    spark = current.sparkSession
+    n_ranges = max(1, math.ceil(total / RANGE_KEYS))
     n_blocks = current.count()
     context = spark.sparkContext
     bitmap = triple_bitmap(current)
-    n_parts = math.ceil(n_blocks / BLOCKS_PER_TASK) or 1
+    n_parts = math.ceil(n_blocks / PER_TASK) or 1
     for level in (9, 27, 48, LENGTH):
         triples = bitmap if level == 9 else None
         cuts = limits(current, level, context.broadcast((triples, None)), n_blocks, n_ranges)
@@ -673,7 +693,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         dropped(current)
         dropped(replies)
         current = following
-    return current, firsts
+    return current
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

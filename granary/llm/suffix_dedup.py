@@ -52,7 +52,7 @@ LENGTH = 50
 GRAM = 24
 WINDOW = LENGTH - GRAM + 1
 #: Bytes of candidate text in a block, keys in a range, text bytes per bucket of minimizers, bytes hashed at a time.
-BLOCK_BYTES, RANGE_KEYS, BUCKET_BYTES, CHUNK_BYTES = 2 << 20, 2 << 20, 16 << 20, 1 << 20
+BLOCK_BYTES, RANGE_KEYS, BUCKET_BYTES, CHUNK_BYTES = 3 << 19, 3 << 19, 16 << 20, 1 << 20
 #: Blocks, or key ranges, that a task takes one after the other.
 PER_TASK = 3
 #: Rows of an Arrow batch where a row is a block or its keys.

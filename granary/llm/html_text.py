@@ -2,8 +2,9 @@
 
 A page is cut into blocks at block-level tags.  Blocks inside elements that never
 hold an article (menus, headers, footers, sidebars, notices, adverts, forms,
-reader comments, scripts, styles) are left out by tag, role or class name.  The
-rest is classified twice:
+reader comments, scripts, styles) are left out by tag, role or class name, but
+an element marked by name only stays if it holds most of the page's dense text.
+The rest is classified twice:
 
 1. Link density, length and stop-word density decide a block as good or bad, or
    leave a short or in-between one open.  Inside an article or main element the
@@ -42,13 +43,16 @@ RAW = frozenset("script style noscript template svg math iframe object textarea
 LEFT_OUT = RAW | frozenset("head title nav header footer aside form button menu dialog fieldset label input option".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-# Parts of class, id and role names of what surrounds an article.
-SURROUNDINGS = re.compile(
-    r"(?<![a-z0-9])(?:ad|ads|adv|advert\w*|adsense|banner|breadcrumbs?|comments?|commentlist|complementary|consent|contentinfo|cookies?|disqus|footer|gdpr|login|masthead|menu|modal|navbar|navigation|nav|newsletter|notice|notification|overlay|pager|pagination|popup|promo\w*|recommended|related|replies|reply|respond|search|share|sharing|sidebar|signup|site-header|skip-link|social|sponsor\w*|subscribe|toc|toolbar|widget)(?![a-z0-9])"
-)
+# Names (class, id, role) of what surrounds an article: page furniture, and prose of others.
+FURNITURE = re.compile(r"banner|breadcrumbs?|complementary|contentinfo|footer|login|masthead|menu|modal|navbar|navigation|nav|notice|notification|overlay|pager|pagination|popup|search|share|sharing|sidebar|signup|social|subscribe|toc|toolbar")
+FOREIGN = re.compile(r"ad|ads|adv|advert\w*|adsense|comments?|commentlist|consent|cookies?|disqus|gdpr|newsletter|promo\w*|recommended|related|replies|reply|respond|sponsor\w*")
+# Whole names of furniture, and first and last parts of names that tell a state of the page ("no-sidebar", "comments-open").
+WHOLE = frozenset(("site-header", "skip-link"))
+STATE_FIRST = frozenset("no not non has have with without is show hide enable disable".split())
+STATE_LAST = frozenset("open opened closed free on off active inactive enabled disabled none".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-NAMES = re.compile(r"(?:\b(?:class|id|role))\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HIDDEN = re.compile(r"(?:\bhidden\b|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none)", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b")
 WORD = re.compile(r"\w+")
 
 #: Code points of a short and of a long block; shares of stop words and of linked characters.
@@ -66,11 +70,77 @@ class Block:
     parts: list[str] = field(default_factory=list)
     linked: list[str] = field(default_factory=list)
     in_article: bool = False
+    marked: frozenset[int] | None = None
+
+
+def attributes(text: str) -> dict[str, str]:
+    """Attributes of a tag, in lower case; the first of a name counts."""
+    out: dict[str, str] = {}
+    for name, *values in ATTRIBUTE.findall(text):
+        out.setdefault(name.lower(), "".join(values).lower())
+    return out
+
+
+def is_hidden(found: dict[str, str]) -> bool:
+    """Whether a tag's attributes hide the element."""
+    return "hidden" in found or found.get("aria-hidden", "").strip() == "true" or bool(NO_DISPLAY.search(found.get("style", "")))
+
+
+def mark(found: dict[str, str]) -> re.Pattern | None:
+    """What a tag's names say it is, by whole names or their first or last part; FURNITURE, FOREIGN or None."""
+    for name in " ".join(found.get(x, "") for x in ("class", "id", "role")).split():
+        parts = [x for x in re.split("[-_]+", name.split("--")[0]) if x]
+        if not parts or parts[0] in STATE_FIRST or parts[-1] in STATE_LAST:
+            continue
+        if "-".join(parts) in WHOLE:
+            return FURNITURE
+        for kind in (FOREIGN, FURNITURE):
+            if kind.fullmatch(parts[0]) or kind.fullmatch(parts[-1]):
+                return kind
+    return None
 
 
 def blocks(html: str) -> list[tuple[str, int, bool]]:
-    """(text, linked characters, in an article) of each block outside of what is left out."""
-    out: list[tuple[str, int, bool]] = []
+    """(text, linked characters, in an article) of each block outside of what is left out.
+
+    A first reading takes elements marked by name along.  One that holds most of
+    the dense text is a wrapper of the content and stays; the others go.
+    """
+    found, marks = read(html, None)
+    if not marks:
+        return [b[:3] for b in found]
+    return [b[:3] for b in read(html, wrappers(found, marks))[0]]
+
+
+def wrappers(found: list[tuple[str, int, bool, frozenset[int]]], marks: dict[int, re.Pattern]) -> frozenset[int]:
+    """Marked elements that hold more than half of the dense text.
+
+    Dense text in articles counts if there is any, else that of the page; prose
+    of others (comments, consent, adverts) counts only if there is no other and no
+    article.
+    """
+    foreign = {m for m, kind in marks.items() if kind is FOREIGN}
+    dense = [(len(b[0]), *b[2:]) for b in found if first_label(*b[:3]) in (GOOD, NEAR)]
+    own = [b for b in dense if not foreign & b[2]]
+    if not own and not any(b[2] and not foreign & b[3] for b in found):
+        own = dense
+    scope = [b for b in own if b[1]] or own
+    held: dict[int, int] = {}
+    for size, _, marked in scope:
+        for m in marked:
+            held[m] = held.get(m, 0) + size
+    total = sum(b[0] for b in scope)
+    return frozenset(m for m, size in held.items() if 2 * size > total)
+
+
+def read(html: str, kept: frozenset[int] | None) -> tuple[list[tuple[str, int, bool, frozenset[int]]], dict[int, re.Pattern]]:
+    """Blocks as in ``blocks`` with the marked elements around them, and all marked elements by position.
+
+    Elements marked by name are left out unless they are among those kept; None keeps all.
+    """
+    out: list[tuple[str, int, bool, frozenset[int]]] = []
+    marks: dict[int, re.Pattern] = {}
+    marked: list[tuple[int, int]] = []  # (depth, position) of the open marked elements that are read
     current = Block()
     stack: list[str] = []
     skip_at = -1  # depth of the element that is left out
@@ -81,7 +151,7 @@ def blocks(html: str) -> list[tuple[str, int, bool]]:
         nonlocal current
         text = " ".join(unescape("".join(current.parts)).split())
         if text:
-            out.append((text, len("".join(unescape("".join(current.linked)).split())), current.in_article))
+            out.append((text, len("".join(unescape("".join(current.linked)).split())), current.in_article, current.marked or frozenset()))
         current = Block(in_article=articles > 0)
 
     def add(text: str) -> None:
@@ -91,6 +161,9 @@ def blocks(html: str) -> list[tuple[str, int, bool]]:
                 breaks = 0
             current.parts.append(text)
             current.in_article |= articles > 0
+            if not text.isspace():
+                here = frozenset(m for _, m in marked)
+                current.marked = here if current.marked is None else current.marked & here
             if links:
                 current.linked.append(text)
 
@@ -119,22 +192,33 @@ def blocks(html: str) -> list[tuple[str, int, bool]]:
             continue
         if not ending:
             if name in ("article", "main"):
-                if skip_at >= 0 and not any(x in ("article", "main") for x in stack):
-                    del stack[skip_at:]  # what was left out hasn't been closed
+                left_out = marked[0][0] if marked and kept is None else skip_at
+                if left_out >= 0 and not any(x in ("article", "main") for x in stack):
+                    links -= stack[left_out : skip_at if skip_at >= 0 else None].count("a")
+                    del stack[left_out:]  # what was left out hasn't been closed
                     skip_at = -1
+                    marked = [m for m in marked if m[0] < left_out]
                     close()
                 articles += skip_at < 0
             links += name == "a" and skip_at < 0
             stack.append(name)
             if skip_at < 0 and name not in ("html", "body", "article", "main"):
-                names = " ".join(a or b or c for a, b, c in NAMES.findall(found[3])).lower().replace("_", " ")
-                if name in LEFT_OUT or SURROUNDINGS.search(names) or HIDDEN.search(found[3]):
+                own = attributes(found[3])
+                if name in LEFT_OUT or is_hidden(own):
                     skip_at = len(stack) - 1
+                elif kind := mark(own):
+                    marks[found.start()] = kind
+                    if kept is None or found.start() in kept:
+                        marked.append((len(stack) - 1, found.start()))
+                    else:
+                        skip_at = len(stack) - 1
             continue
         if name not in stack:
             continue
         while stack:
             top = stack.pop()
+            if marked and marked[-1][0] == len(stack):
+                marked.pop()
             if skip_at == len(stack):
                 skip_at = -1
             elif skip_at < 0:
@@ -144,7 +228,7 @@ def blocks(html: str) -> list[tuple[str, int, bool]]:
                 break
         current.in_article = articles > 0
     close()
-    return out
+    return out, marks
 
 
 def first_label(text: str, linked: int, in_article: bool) -> str:

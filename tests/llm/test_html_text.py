@@ -29,6 +29,27 @@ def test_pages(html, text):
     assert html_text.main_text(html) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f"<article><div class='overflow-hidden' style='overflow:hidden' aria-hidden='false'><p>{ARTICLE}</p></div></article>", ARTICLE),
+        (f"<article><p>{ARTICLE}</p><p hidden>{SECOND}</p><p aria-hidden=true>{SECOND}</p><p style='color:red; display: none'>{SECOND}</p></article>", ARTICLE),
+        (f"<div class='page no-sidebar'><p>{ARTICLE}</p><p>{SECOND}</p></div>", f"{ARTICLE}\n{SECOND}"),
+        (f"<article><div class='with-comments'><p>{ARTICLE}</p></div></article>", ARTICLE),
+        (f"<article><div class='elementor-widget'><p>{ARTICLE}</p></div></article>", ARTICLE),
+        (f"<div class='sidebar-right'><div class='sidebar'><p>{SECOND[:100]}</p></div><p>{ARTICLE}</p><p>{SECOND}</p></div>", f"{ARTICLE}\n{SECOND}"),
+        (f"<div class=search><p>{ARTICLE}</p><div class=comments><p>{SECOND}</p><p>{SECOND}</p><p>{SECOND}</p></div></div>", ARTICLE),
+        (f"<article><p>{ARTICLE}</p></article><div class='cookie-banner'><p>{SECOND}</p><p>{SECOND}</p></div><div class='related-posts'><p>{SECOND}</p></div>", ARTICLE),
+        (f"<p>{ARTICLE}</p><div class='site-footer'><p>{SECOND[:120]}</p></div><div class='comments-area'><p>{SECOND}</p><p>{SECOND}</p></div>", ARTICLE),
+        (f"<article><p>{ARTICLE[:90]}<span class=share>Share</span>{ARTICLE[90:]}</p></article>", ARTICLE),
+        (f"<div class=ad>{SECOND}</div><article><p>Word | word | word | word | word | word | word | word | word | word | word | word</p></article>", "Word | word | word | word | word | word | word | word | word | word | word | word"),
+        (f"<div class=ad><a href=x>Buy<article><p>{ARTICLE}</p></article>", ARTICLE),
+    ],
+)
+def test_names_and_hidden_attributes(html, text):
+    assert html_text.main_text(html) == text
+
+
 def test_long_broken_markup_is_linear():
     assert html_text.main_text("<p" + " a='" * 20_000) == ""
     assert html_text.main_text("<div>" * 20_000 + ARTICLE) in ("", ARTICLE)

@@ -13,6 +13,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A stream over the files of a parquet table, be it a directory of part files or a single file."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    reader = spark.readStream.schema(table(spark, sf_dir, name).schema)
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return reader.parquet(f"{sf_dir}/{name}.parquet")
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)  # streams list directories only
+
+
 def views(spark: SparkSession, sf_dir: str, *names: str) -> None:
     """Register the named tables as temporary views."""
     for name in names:

@@ -54,8 +54,29 @@ def _apply(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
     yield pd.DataFrame([(key[0], *new)], columns=[c.split()[0] for c in OUTPUT.split(", ")])
 
 
+def fold_batch(events: DataFrame, states: DataFrame) -> DataFrame:
+    """The states after one more micro-batch, by partial aggregates: a key with many events sends one row per task.
+
+    Events are split at the last one of the stored state: older ones are
+    dropped, that one again is a repeat, and of the others ids count once.
+    """
+    last = states.select("user_id", F.col("last_us").alias("_us"), F.col("last_id").alias("_id"))
+    once = timed(events).dropDuplicates(["user_id", "event_id"]).join(last, "user_id", "left")
+    split = once.where("_id is null or event_id <> _id").withColumn("_late", F.coalesce(F.col("us") < F.col("_us"), F.lit(False)))
+    kind = lambda k: F.count_if(~F.col("_late") & (F.col("event_type") == k))
+    found = split.groupBy("user_id").agg(
+        F.count_if(~F.col("_late")).alias("n_applied"), F.count_if("_late").alias("n_dropped"), F.max(F.when(~F.col("_late"), F.struct("us", "event_id"))).alias("last"), kind(OPENS).alias("n_opened"), kind(CLOSES).alias("n_closed")
+    )
+    total = lambda c: (F.coalesce(F.col(c), F.lit(0)) + F.coalesce(F.col(f"n_{c}"), F.lit(0))).alias(c)
+    latest = [F.coalesce(F.col(a), F.col(b), F.lit(-1)).cast("long").alias(b) for a, b in (("last.us", "last_us"), ("last.event_id", "last_id"))]
+    return states.join(found, "user_id", "full").select("user_id", total("applied"), total("dropped"), *latest, total("opened"), total("closed"))
+
+
 def stream_fold(events: DataFrame) -> DataFrame:
-    """The state of each key after every micro-batch that touches it (update mode)."""
+    """The state of each key after every micro-batch that touches it (update mode).
+
+    A key's rows of a micro-batch meet in one task; ``fold_batch`` has no such limit.
+    """
     return timed(events).groupBy("user_id").applyInPandasWithState(_apply, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
 
 

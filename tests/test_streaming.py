@@ -6,6 +6,7 @@ import tempfile
 
 
 
+from granary.plans import resolution
 from granary.streaming import folds
 
 SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
@@ -65,3 +66,20 @@ def test_session_windows(spark):
     rows = [row(1, 0, 1), row(2, 59, 1), row(3, 200, 1), row(4, 0, 2)]
     got = sorted((r["user_id"], r["n"]) for r in folds.sessions(events(spark, rows), "60 seconds").collect())
     assert got == [(1, 1), (1, 2), (2, 1)]
+
+
+def test_stream_over_a_table_of_part_files(spark):
+    rows = [row(i, 10 * i, i % 3, ("view", "signup", "purchase")[i % 5 % 3]) for i in range(40)]
+    for table in (rows, []):
+        folder = tempfile.mkdtemp(prefix="parts-")
+        events(spark, table).repartition(4, "event_id").write.parquet(f"{folder}/events.parquet")
+        got = sorted(map(tuple, resolution.s2_stream_fold(spark, folder).collect()))
+        assert got == sorted(map(tuple, folds.batch_fold(events(spark, table)).collect()))
+
+
+def test_fold_batch_splits_at_the_stored_state(spark):
+    states = spark.createDataFrame([(9, 5, 0, 50, 8, 1, 0)], folds.OUTPUT)
+    for batch in ([row(1, 100, 1), row(2, 200, 1)], [row(3, 150, 1, "signup"), row(4, 200, 1, "signup"), row(4, 200, 1, "signup")], [row(4, 200, 1), row(5, 90, 2, "purchase")]):
+        states = spark.createDataFrame(folds.fold_batch(events(spark, batch), states).collect(), folds.OUTPUT)
+    us = 1_704_067_200_000_000
+    assert sorted(map(tuple, states.collect())) == [(1, 3, 1, us + 200_000_000, 4, 1, 0), (2, 1, 0, us + 90_000_000, 5, 0, 1), (9, 5, 0, 50, 8, 1, 0)]

@@ -53,6 +53,41 @@ def weighted_match(parts: Sequence[tuple[float, Column]]) -> Column:
     return F.try_divide(sum((F.coalesce(score * weight, F.lit(0.0)) for weight, score in parts), F.lit(0.0)), total)
 
 
+#: Best score of two cases that differ in panel, kind or priority: 9 of 11.
+OTHER_BEST = round(9 / 11, 6)
+
+
+def most_alike(cases: DataFrame, k: int) -> DataFrame:
+    """(case_id, other, score): the k earlier cases most alike to each case by panel 4, kind 3, priority 2 and amount up to 2; the latest first on ties.
+
+    Exact, in two steps.  Cases of the same panel, kind and priority meet in an
+    equi-join; all of them score 9 of 11 at least, and no other case scores more.
+    A case whose k-th best is above that is settled.  The few others (the first
+    of each class, amounts like no other) are compared with all earlier cases,
+    where only scores that reach the k-th best found so far are ranked.  The
+    first step grows with the square of a class; each task keeps k rows a case
+    before the shuffle of the ranking.
+    """
+    from granary.sources.tables import stored
+
+    known = stored(cases.select("case_id", "opened", "panel", "kind", "priority", "claimed"), "cases")
+    q, c = known.alias("q"), known.alias("c")
+    equal = lambda x: F.col(f"q.{x}") == F.col(f"c.{x}")
+    earlier = (F.col("c.opened") < F.col("q.opened")) | (equal("opened") & (F.col("c.case_id") < F.col("q.case_id")))
+    near = 1 - F.least(F.lit(1.0), F.abs(F.col("q.claimed") - F.col("c.claimed")) / F.greatest("q.claimed", "c.claimed", F.lit(1.0)))
+    same = lambda x: F.when(F.col(f"q.{x}").isNotNull(), F.coalesce(equal(x), F.lit(False)).cast("double"))  # noqa: E731  # only what the asking case lacks has no weight
+    score = F.round(weighted_match([(4.0, same("panel")), (3.0, same("kind")), (2.0, same("priority")), (2.0, near)]), 6)
+    columns = [F.col("q.case_id").alias("case_id"), F.col("c.case_id").alias("other"), F.col("c.opened").alias("other_opened"), score.alias("score")]
+    best = lambda pairs: first_per(pairs, ["case_id"], [F.desc("score"), F.desc("other_opened"), F.desc("other")], k)
+    own = stored(best(q.join(c, equal("panel") & equal("kind") & equal("priority") & earlier).select(*columns)), "own_class")
+    reached = own.groupBy("case_id").agg(F.count("*").alias("n"), F.min("score").alias("least"))
+    settled = reached.where((F.col("n") >= k) & (F.col("least") > OTHER_BEST)).select("case_id")
+    at_least = F.coalesce(F.when(F.col("n") >= k, F.col("least")), F.lit(0.0)).alias("at_least")
+    asked = stored(known.join(settled, "case_id", "left_anti").join(reached, "case_id", "left").select(*known.columns, at_least), "asked")
+    wide = best(asked.alias("q").join(c, earlier & (score >= F.col("q.at_least"))).select(*columns))
+    return own.join(settled, "case_id", "left_semi").unionByName(wide).select("case_id", "other", "score")
+
+
 def parts_of(hash_column: Column, digits: int, limit: int) -> Column:
     """(index, text) of limit + 1 parts of a string: two strings with at most ``limit`` differing places share one."""
     cuts = [round(digits * i / (limit + 1)) for i in range(limit + 2)]

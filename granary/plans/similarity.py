@@ -37,7 +37,7 @@ def d7_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @plans.query(f"""with {CASES}, p as (select *, lag(case_id) over w as other, lag(kind) over w as k2, lag(priority) over w as p2, lag(claimed) over w as c2 from cases window w as (partition by panel order by opened, case_id))
 select case_id, other, round((4 + 3 * (kind = k2)::int + 2 * (priority = p2)::int + 2 * (1 - least(1, abs(claimed - c2) / greatest(claimed, c2, 1)))) / 11, 6) as score from p where other is not null""")
 def d8_metadata_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weighted likeness of each case and the one before it of the same panel."""
+    """Weighted likeness of each case and the one before it of the same panel; ``d8_similar_cases`` searches all earlier ones."""
     w = Window.partitionBy("panel").orderBy("opened", "case_id")
     p = cases(spark, sf_dir).withColumns({"other": F.lag("case_id").over(w), "k2": F.lag("kind").over(w), "p2": F.lag("priority").over(w), "c2": F.lag("claimed").over(w)}).where("other is not null")
     near = 1 - F.least(F.lit(1.0), F.abs(F.col("claimed") - F.col("c2")) / F.greatest("claimed", "c2", F.lit(1.0)))
@@ -45,6 +45,13 @@ def d8_metadata_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("case_id", "other", F.round(score, 6).alias("score"))
 
 
+@plans.query(f"""with {CASES}, s as (select q.case_id, c.case_id as other, c.opened, round((4 * (q.panel = c.panel)::int + 3 * (q.kind = c.kind)::int + 2 * (q.priority = c.priority)::int + 2 * (1 - least(1, abs(q.claimed - c.claimed) / greatest(q.claimed, c.claimed, 1)))) / 11, 6) as score
+from cases q join cases c on c.opened < q.opened or (c.opened = q.opened and c.case_id < q.case_id)), best as (select case_id, unnest(max({{s: score, o: opened, c: other}}, 5)) as b from s group by case_id) select case_id, b.c as other, b.s as score from best""")
+def d8_similar_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most alike of all earlier cases for every case, the latest first on ties."""
+    return sim.most_alike(cases(spark, sf_dir), 5)
+
+
 AUTHORITY = [("A", 3), ("N", 2), ("R", 1)]
 
 

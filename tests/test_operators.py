@@ -66,3 +66,14 @@ def test_nearest_rank_percentile(spark):
     dwell = spark.createDataFrame([("a", float(i)) for i in range(1, 21)] + [("b", 1.0)], "k string, dwell_s double")
     got = mining.dwell_stats(dwell, ["k"]).collect()
     assert [(r["k"], r["n"], r["p95_s"]) for r in got] == [("a", 20, 20.0)]
+
+
+def test_most_alike_searches_all_earlier_cases(spark):
+    from datetime import date
+
+    from granary.operators import similarity
+
+    rows = [(1, date(2024, 1, 1), "a", "x", "p", 100.0), (2, date(2024, 1, 2), "b", "x", "p", 100.0), (3, date(2024, 1, 3), "a", "y", "q", 900.0), (4, date(2024, 1, 4), "a", "x", "p", 100.0), (5, date(2024, 1, 4), "a", None, "p", 0.0)]
+    got = similarity.most_alike(spark.createDataFrame(rows, "case_id long, opened date, panel string, kind string, priority string, claimed double"), 2).collect()
+    want = {(2, 1): 7 / 11, (3, 1): (4 + 2 / 9) / 11, (3, 2): (2 / 9) / 11, (4, 1): 1.0, (4, 2): 7 / 11, (5, 4): 6 / 8, (5, 1): 6 / 8}
+    assert {(r["case_id"], r["other"]): r["score"] for r in got} == {k: round(v, 6) for k, v in want.items()}

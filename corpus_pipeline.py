@@ -1,6 +1,7 @@
 """Raw documents to packed training sequences.
 
-Five stages, each one operator: documents without a main language go; one
+Five stages, each one operator: documents without a main language go (those
+without a letter, where no row is labelled to learn languages from); one
 document of each near-duplicate class stays; passages that repeat across
 documents are cut from all but the first; personal data is masked; the rest is
 packed into windows.  Between stages the rows are a parquet table, so a lost
@@ -36,9 +37,12 @@ def with_text(docs: DataFrame, text: Column) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a main language."""
+    """Documents with a main language; where no language can be learned, those with a letter."""
+    languages, probabilities = language.train(docs)
+    if not languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     found = docs.select(whole(docs).alias("row"), "text")
-    found = language.predict(found, *language.train(docs)).select("row", F.struct("lang_pred", "score").alias("found"))
+    found = language.predict(found, languages, probabilities).select("row", F.struct("lang_pred", "score").alias("found"))
     return found.where((F.col("found.lang_pred") != language.UND) & (F.col("found.score") >= LEAST_SHARE)).select("row.*")
 
 

@@ -9,6 +9,7 @@ from test_suffix_dedup import brute as repeats
 
 import corpus_pipeline
 from granary.llm import language, pii
+from pyspark.sql import functions as F
 
 
 def test_stages_follow_each_other(spark, small):
@@ -49,5 +50,10 @@ def test_stages_keep_rows_of_any_shape(spark, small):
         assert corpus_pipeline.STAGES[4][1](spark, docs, small).count() >= docs.where("false").count()
 
 
+def test_unlabelled_documents_stay(spark):
+    docs = documents(spark, [(1, "Plain words."), (2, "Été"), (3, "1 2 3"), (4, ""), (5, None)]).withColumn("lang", F.lit(None).cast("string"))
+    assert sorted(r["doc_id"] for r in corpus_pipeline.language_stage(spark, docs, "").collect()) == [1, 2]
+
+
 def test_run(spark, small):
     assert corpus_pipeline.run(spark, small).count() > 0

@@ -39,7 +39,7 @@ BITS = " + ".join(f"bit_count(xor(('0x' || a.h[{i}:{i + 7}])::bigint, ('0x' || b
 reach as (select claim, x as node, y as other from pairs union select r.claim, r.node, p.y from reach r join pairs p on p.claim = r.claim and p.x = r.other), m as (select claim, node, min(other) as m from reach group by all)
 select distinct p.claim, h, least(h, coalesce(m, h)) as cluster from p left join m on m.claim = p.claim and m.node = p.h""")
 def d4_page_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page hashes of a claim within 16 of 256 bits, transitively one group."""
+    """Page hashes of a claim within 16 of 256 bits, transitively one group (D4, J16; D3's second hash and page counts of sections are not built)."""
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
     pages = table(spark, sf_dir, "documents").select(F.substring(digest, 1, 2).alias("claim"), F.lower(F.concat(F.substring(digest, 1, 62), F.lpad(F.lower(F.hex(F.col("doc_id") % 256)), 2, "0"))).alias("h"))
     pairs = sim.pairs_within(pages, "claim", "h", 64, 16, lambda a, b: hamming_hex(a, b, 64))
@@ -48,7 +48,7 @@ def d4_page_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plans.query()
 def d12_name_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of a claim attached greedily to the first near cluster (order-dependent; tested on its own)."""
+    """Names of a claim attached greedily to the first near cluster (of D12, without its seed prior; order-dependent; tested on its own)."""
     part, lines = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
     names = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", F.split("p_name", " ")[0].alias("name"), F.col("l_quantity").alias("weight"))
     return sim.clustered_names(names, "l_orderkey")
@@ -120,7 +120,7 @@ JSON_RULES = """[{"id": "range", "severity": "HIGH", "logic": {"field": "claimed
 
 @plans.query(f"with {CASES} select case_id, (100 - case when claimed between 1000 and 200000 then 0 else 10 end - case when regexp_matches(kind, '^[A-H]') then 0 else 5 end - case when status <> 'P' then 0 else 2 end)::bigint as score from cases")
 def r7_json_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules that come as JSON, compiled to columns."""
+    """Rules that come as JSON, compiled to columns (of R7: ranges, patterns and comparisons; no calculation, lookup or existence rule)."""
     own = [r.Rule(x["id"], x["logic"]["field"], x["logic"]["op"], tuple(x["logic"]["value"]), x["severity"]) for x in json.loads(JSON_RULES)]
     return r.readiness(cases(spark, sf_dir), "case_id", own).select("case_id", "score")
 

@@ -5,7 +5,8 @@ Every round hangs each node's larger neighbours under its smallest neighbour
 (small star), which flattens all trees in a logarithmic number of rounds
 (Kiveris et al., 2014).  Each round is two aggregations with partial sums and two
 joins whose one side is a row per node, so a hub with a third of all edges is
-split by Spark's skew handling.  Rounds are stored in the shared folder.
+split by Spark's skew handling.  Rounds are stored in the shared folder, and each
+deletes the one before.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.sources.tables import stored
+from granary.sources.tables import dropped, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -38,7 +39,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     current = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = mark(current)
     for _ in range(rounds):
-        current = stored(_small_star(_large_star(current)), "stars")
+        last, current = current, stored(_small_star(_large_star(current)), "stars")
+        dropped(last)
         after = mark(current)
         if after == before:
             break

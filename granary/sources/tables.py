@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,12 +33,16 @@ def views(spark: SparkSession, sf_dir: str, *names: str) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where it is unset (tests on one machine) a folder of the driver is used.
+    Only where it is unset and everything runs on this machine (``local`` master,
+    as in tests) a folder of the driver is used; on a cluster that is an error.
     """
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    configured = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not configured:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = f"file://{tempfile.mkdtemp(prefix='granary-')}"
-        spark.sparkContext.setCheckpointDir(configured)
+        context.setCheckpointDir(configured)
     return configured.rstrip("/")
 
 
@@ -44,11 +50,31 @@ def shared_dir(spark: SparkSession) -> str:
 TEXT_BATCH_ROWS = 500
 
 
+BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Hand whole texts to Python workers a few at a time; a smaller setting of the session stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= TEXT_BATCH_ROWS:
-        spark.conf.set(key, str(TEXT_BATCH_ROWS))
+    """Hand whole texts to Python workers a few at a time; a smaller setting of the session stays.
+
+    For operators that return a column or a table that is computed when the
+    caller uses it: the setting stays for the session.  Where an operator writes
+    its own tables, ``text_batches`` sets it for that time only.  A batch of long
+    texts ends earlier, at Spark's own ``arrow.maxBytesPerBatch``.
+    """
+    if not 0 < int(spark.conf.get(BATCH_KEY)) <= TEXT_BATCH_ROWS:
+        spark.conf.set(BATCH_KEY, str(TEXT_BATCH_ROWS))
+
+
+@contextmanager
+def text_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> Iterator[None]:
+    """At most ``rows`` rows in an Arrow batch while the block runs; a smaller setting of the session stays."""
+    before = spark.conf.get(BATCH_KEY)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(BATCH_KEY, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_KEY, before)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -70,10 +96,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(df: DataFrame) -> None:
-    """Delete the files of a table made by ``stored`` once nothing reads it any more."""
-    spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/granary/" in folder:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def dropped(*tables: DataFrame) -> None:
+    """Delete the files of tables made by ``stored`` once nothing reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/granary/" in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -46,35 +46,33 @@ def shared_dir(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
-#: Rows of an Arrow batch where rows carry whole texts: a batch of long rows must fit in a worker's memory.
-TEXT_BATCH_ROWS = 500
-
-
-BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows and bytes of an Arrow batch where rows carry whole texts: what a Python worker holds at a time (one longer text is a batch of its own).
+TEXT_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 500, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Hand whole texts to Python workers a few at a time; a smaller setting of the session stays.
+    """Hand whole texts to Python workers a few at a time; smaller settings of the session stay.
 
     For operators that return a column or a table that is computed when the
-    caller uses it: the setting stays for the session.  Where an operator writes
-    its own tables, ``text_batches`` sets it for that time only.  A batch of long
-    texts ends earlier, at Spark's own ``arrow.maxBytesPerBatch``.
+    caller uses it: the settings stay for the session.  Where an operator writes
+    its own tables, ``text_batches`` sets them for that time only.
     """
-    if not 0 < int(spark.conf.get(BATCH_KEY)) <= TEXT_BATCH_ROWS:
-        spark.conf.set(BATCH_KEY, str(TEXT_BATCH_ROWS))
+    for key, most in TEXT_BATCH.items():
+        now = int(spark.conf.get(key).rstrip("b"))
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
 
 
 @contextmanager
-def text_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> Iterator[None]:
-    """At most ``rows`` rows in an Arrow batch while the block runs; a smaller setting of the session stays."""
-    before = spark.conf.get(BATCH_KEY)
-    if not 0 < int(before) <= rows:
-        spark.conf.set(BATCH_KEY, str(rows))
+def text_batches(spark: SparkSession) -> Iterator[None]:
+    """``small_batches`` while the block runs."""
+    before = {key: spark.conf.get(key) for key in TEXT_BATCH}
+    small_batches(spark)
     try:
         yield
     finally:
-        spark.conf.set(BATCH_KEY, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

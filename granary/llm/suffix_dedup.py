@@ -8,9 +8,10 @@ a smaller id.  Suffixes need to be sorted by their first LENGTH = 50 bytes only.
    task; only stretches around those that two different texts share can repeat,
    so the suffix sort gets these stretches and nothing that could match is lost.
    Identical texts enter once, with their smallest id.
-2. Stretches are dealt into blocks by ranges of document ids.  Sampled positions
-   are those that are 1 or 2 modulo 3 (a difference cover: any two positions
-   become sampled ones after the same shift of 0, 1 or 2).
+2. Stretches are dealt into blocks by ranges of document ids; a document larger
+   than a block has blocks of its own.  Sampled positions are those that are 1 or
+   2 modulo 3 (a difference cover: any two positions become sampled ones after
+   the same shift of 0, 1 or 2).
 3. Sampled triples of bytes are sorted by counting and get their rank as name.
    Then recursion on names: triples of names (9 bytes), triples of those (27
    bytes), and two of those that overlap (48 bytes) are sorted and named in turn.
@@ -23,15 +24,22 @@ a smaller id.  Suffixes need to be sorted by their first LENGTH = 50 bytes only.
 Sorting is distributed by key range.  A block sends its distinct keys, sorted,
 and gets back ranks (or one bit per key in the last step) in the same order, so
 neither positions nor documents travel, and a passage that a third of all
-documents hold is sent once per block.  Range limits come from a bounded sample
-of keys; they steer balance only.  Every step ends in a table in the shared
+documents hold is sent once per block.  Every step ends in a table in the shared
 folder; tables are deleted once the next one is written.
 
+Scale.  An exchange has a row per block and key range.  Blocks and ranges grow
+with the square root of the data (``unit_bytes``), so these rows grow in
+proportion to it, up to the MOST_BYTES that a Python worker can hold (it takes
+some 60 bytes per byte of a block); beyond that rows hold fewer keys each.  What
+reaches the driver or is broadcast: a 2 MB bitmap of byte triples, and per range
+a sample of SAMPLE_KEYS keys, a limit and a count (under 200 bytes a range).
+
 Defined results: a null or short text loses nothing.  Texts are judged as they
 come in, not by what is left.  Equal texts: all but those with the smallest id go
-as a whole if they have 50 bytes.  Rows that repeat an id don't remove each
-other.  A null doc_id is larger than none: its row is kept whole and removes
-nothing.  Extra columns are kept.
+as a whole if they have 50 bytes.  Rows that repeat an id, with equal or other
+texts, don't remove each other and are each judged by themselves.  A null doc_id
+is larger than none: its row is kept whole and removes nothing.  Extra columns
+are kept.  A single text has to fit in a worker, its stretches needn't.
 """
 
 from __future__ import annotations
@@ -45,20 +53,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.rows import whole
-from granary.sources.tables import dropped, small_batches, stored
+from granary.sources.tables import dropped, small_batches, stored, text_batches
 
 LENGTH = 50
 #: Bytes of a minimizer's string; a 50-byte string holds LENGTH - GRAM + 1 of them.
 GRAM = 24
 WINDOW = LENGTH - GRAM + 1
-#: Bytes of candidate text in a block, keys in a range, text bytes per bucket of minimizers, bytes hashed at a time.
-BLOCK_BYTES, RANGE_KEYS, BUCKET_BYTES, CHUNK_BYTES = 3 << 19, 3 << 19, 16 << 20, 1 << 20
+#: Least and most bytes of candidate text in a block; a range gets about as many keys.
+LEAST_BYTES, MOST_BYTES = 1 << 20, 32 << 20
+#: Bytes of a block for each exchange row that it sends, on average, once blocks are larger than the least.
+BYTES_PER_ROW = 512
+#: Text bytes hashed at a time, in such units, per bucket of minimizers.
+BUCKET_UNITS = 8
 #: Blocks, or key ranges, that a task takes one after the other.
-PER_TASK = 3
-#: Rows of an Arrow batch where a row is a block or its keys.
-BATCH_ROWS = 32
-#: Range limits are taken from so many keys of so many blocks; they steer balance only.
-SAMPLE_KEYS, SAMPLE_BLOCKS = 50_000, 16
+PER_TASK = 4
+#: Range limits are taken from so many keys a range, of at least so many blocks; they steer balance only.
+SAMPLE_KEYS, SAMPLE_BLOCKS = 16, 16
 #: Text bytes whose minimizers are found at a time, so that the arrays stay in a processor's cache.
 CACHE_BYTES = 1 << 17
 U64 = np.uint64
@@ -68,17 +78,23 @@ TOP = U64(0xFFFFFFFFFFFFFFFF)
 # ---- small helpers
 
 
+def unit_bytes(total: int) -> int:
+    """Bytes of a block (or hashed chunk) for so much text: total / unit squared rows stay in proportion to the total."""
+    return min(MOST_BYTES, max(LEAST_BYTES, math.isqrt(total * BYTES_PER_ROW)))
+
+
 def squeeze(values: np.ndarray) -> bytes:
     """An array as compressed byte planes."""
     planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T) if len(values) else np.empty(0, np.uint8)
     return len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
-def expand(packed: bytes, kind: type) -> np.ndarray:
-    n, size = int.from_bytes(packed[:8], "little"), np.dtype(kind).itemsize
+def expand(packed: bytes | pa.Buffer, kind: type) -> np.ndarray:
+    view = memoryview(packed)
+    n, size = int.from_bytes(view[:8], "little"), np.dtype(kind).itemsize
     if n == 0:
         return np.empty(0, kind)
-    planes = np.frombuffer(pa.decompress(packed[8:], decompressed_size=n * size, codec="zstd"), np.uint8)
+    planes = np.frombuffer(pa.decompress(pa.py_buffer(view[8:]), decompressed_size=n * size, codec="zstd"), np.uint8)
     return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).ravel()
 
 
@@ -86,7 +102,7 @@ def squeeze_sorted(values: np.ndarray) -> bytes:
     return squeeze(np.diff(values, prepend=values.dtype.type(0)))
 
 
-def expand_sorted(packed: bytes, kind: type) -> np.ndarray:
+def expand_sorted(packed: bytes | pa.Buffer, kind: type) -> np.ndarray:
     return np.cumsum(expand(packed, kind), dtype=kind)
 
 
@@ -138,11 +154,17 @@ def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def rows_of(table: pa.Table | pa.RecordBatch) -> Iterator[dict]:
+    """One row after the other; binary values are views, not copies."""
+    for batch in table.to_batches() if isinstance(table, pa.Table) else [table]:
+        columns = [c if pa.types.is_binary(c.type) else c.to_pylist() for c in batch.columns]
+        for i in range(batch.num_rows):
+            yield {name: c[i].as_buffer() if isinstance(c, pa.Array) else c[i] for name, c in zip(batch.schema.names, columns, strict=True)}
+
+
 def single_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """One row at a time, so that only one block's values are held besides the batch."""
     for batch in batches:
-        for i in range(batch.num_rows):
-            yield batch.slice(i, 1).to_pylist()[0]
+        yield from rows_of(batch)
 
 
 def joined_intervals(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -198,7 +220,7 @@ def minimizers(data: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.nda
     return at, h[at]
 
 
-def anchors(keyed: DataFrame, buckets: int) -> DataFrame:
+def anchors(keyed: DataFrame, buckets: int, chunk_bytes: int) -> DataFrame:
     """Minimizers of all texts, packed per bucket of hashes; kind 1 rows are known to be shared already."""
     schema = "bucket int, kind int, keys binary, hashes binary, owners binary, places binary, shared binary"
 
@@ -243,7 +265,7 @@ def anchors(keyed: DataFrame, buckets: int) -> DataFrame:
                 if len(text) >= LENGTH and key not in held:
                     held[key] = text
                     size += len(text)
-                    if size >= CHUNK_BYTES:
+                    if size >= chunk_bytes:
                         yield chunk(held)
                         held, size = {}, 0
         if held:
@@ -259,17 +281,17 @@ def shared_places(found: DataFrame, buckets: int) -> DataFrame:
         for table in groups(batches, "bucket"):
             keys, hashes, owners, places, shared = [], [], [], [], []
             rows, bucket, n = [], table["bucket"][0].as_py(), 0
-            for r in table.to_pylist():
-                own, place = expand(r["owners"], np.uint32), expand(r["places"], np.uint32)
+            for r in rows_of(table):
                 if r["kind"] == 1:
-                    rows.append((bucket, r["keys"], squeeze(own), squeeze(place)))
+                    rows.append((bucket, r["keys"].to_pybytes(), r["owners"].to_pybytes(), r["places"].to_pybytes()))
                     continue
-                keys.append(r["keys"])
+                own, place = expand(r["owners"], np.uint32), expand(r["places"], np.uint32)
+                keys.append(r["keys"].to_pybytes())
                 hashes.append(expand_sorted(r["hashes"], U64))
                 owners.append(own + np.uint32(n))
                 places.append(place)
                 shared.append(np.unpackbits(np.frombuffer(r["shared"], np.uint8), count=len(own)).astype(bool))
-                n += len(r["keys"]) // 16
+                n += r["keys"].size // 16
             if hashes:
                 names = np.frombuffer(b"".join(keys), np.dtype("V16"))
                 _, text = np.unique(np.frombuffer(b"".join(keys), "<u8").reshape(-1, 2) @ np.array([1, 0x9E3779B97F4A7C15], U64), return_inverse=True)
@@ -292,12 +314,12 @@ def shared_places(found: DataFrame, buckets: int) -> DataFrame:
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, "target"):
             by_text: dict[bytes, list[np.ndarray]] = {}
-            for r in table.to_pylist():
-                own, place = expand(r["owners"], np.uint32), expand(r["places"], np.uint32)
+            for r in rows_of(table):
+                own, place, keys = expand(r["owners"], np.uint32), expand(r["places"], np.uint32), r["keys"].to_pybytes()
                 order = np.argsort(own, kind="stable")
-                cuts = np.searchsorted(own[order], np.arange(len(r["keys"]) // 16 + 1))
+                cuts = np.searchsorted(own[order], np.arange(len(keys) // 16 + 1))
                 for i in range(len(cuts) - 1):
-                    by_text.setdefault(r["keys"][16 * i : 16 * i + 16], []).append(place[order[cuts[i] : cuts[i + 1]]])
+                    by_text.setdefault(keys[16 * i : 16 * i + 16], []).append(place[order[cuts[i] : cuts[i + 1]]])
             yield pa.RecordBatch.from_arrays([pa.array(list(by_text), pa.binary()), pa.array([squeeze_sorted(np.unique(np.concatenate(v))) for v in by_text.values()], pa.binary())], names=["text_key", "places"])
 
     matched = found.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(match, "target int, keys binary, owners binary, places binary")
@@ -305,68 +327,144 @@ def shared_places(found: DataFrame, buckets: int) -> DataFrame:
 
 
 def stretches(texts: DataFrame) -> DataFrame:
-    """(doc_id, starts, lengths, data): the parts of each text around its shared minimizers."""
+    """(doc_id, text_key, starts, lengths, data): the parts of each text around its shared minimizers.
+
+    Equal rows that follow each other are taken once.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
             rows = []
-            for doc, text, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            for doc, key, text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if key == last:
+                    continue
+                last = key
                 data = text.as_buffer()
-                at = expand_sorted(places.as_py(), np.uint32).astype(np.int64)
+                at = expand_sorted(places.as_buffer(), np.uint32).astype(np.int64)
                 starts, ends = joined_intervals(np.maximum(0, at - (LENGTH - GRAM)), np.minimum(len(data), at + LENGTH))
                 raw = memoryview(data)
-                rows.append((doc, squeeze(starts), squeeze(ends - starts), b"".join(raw[s:e] for s, e in zip(starts, ends, strict=True))))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.int64(), pa.binary(), pa.binary(), pa.binary()])], names=["doc_id", "starts", "lengths", "data"])
+                rows.append((doc, key, squeeze(starts), squeeze(ends - starts), b"".join(raw[s:e] for s, e in zip(starts, ends, strict=True))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.int64(), *[pa.binary()] * 4])], names=["doc_id", "text_key", "starts", "lengths", "data"])
 
-    return texts.mapInArrow(cut, "doc_id long, starts binary, lengths binary, data binary")
+    return texts.mapInArrow(cut, "doc_id long, text_key binary, starts binary, lengths binary, data binary")
 
 
 # ---- 2. blocks
 
-BLOCK_SCHEMA = "block long, docs binary, starts binary, lengths binary, data binary, names1 binary, names2 binary"
+BLOCK_SCHEMA = "block long, turn long, keys binary, owners binary, docs binary, starts binary, lengths binary, data binary, names1 binary, names2 binary"
+BLOCK_COLUMNS = [x.split()[0] for x in BLOCK_SCHEMA.split(", ")]
 
 
-def blocks(parts: DataFrame, ranges: int) -> DataFrame:
-    """Stretches in document order, about BLOCK_BYTES a row; a document is never split."""
+def block_row(values: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if i < 2 else pa.binary()) for i, v in enumerate(values)], names=BLOCK_COLUMNS)
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        number = TaskContext.get().partitionId() << 24
+Part = tuple[int, bytes, np.ndarray, np.ndarray, memoryview]
 
-        def close(rows: list[tuple]) -> pa.RecordBatch:
-            lengths = [expand(r[2], np.int64) for r in rows]
-            docs = np.repeat(np.array([r[0] for r in rows], np.int64), [len(x) for x in lengths])
-            values = [number, squeeze(docs), squeeze(np.concatenate([expand(r[1], np.int64) for r in rows])), squeeze(np.concatenate(lengths)), b"".join(r[3] for r in rows), b"", b""]
-            return pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if i == 0 else pa.binary()) for i, v in enumerate(values)], names=[x.split()[0] for x in BLOCK_SCHEMA.split(", ")])
 
-        held: list[tuple] = []
-        size = 0
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size >= BLOCK_BYTES and row[0] != held[-1][0]:
-                    yield close(held)
-                    number += 1
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[3])
-        if held:
-            yield close(held)
+def pieces(part: Part, size: int) -> Iterator[Part]:
+    """A document's stretches in parts of at most ``size`` bytes; a stretch that is cut goes on LENGTH - 1 bytes earlier, so each string is in one part."""
+    doc, key, starts, lengths, data = part
+    if len(data) <= size:
+        yield part
+        return
+    own_starts: list[int] = []
+    own_lengths: list[int] = []
+    held, offset, begin = 0, 0, 0
+    for start, length in zip(starts.tolist(), lengths.tolist(), strict=True):
+        done = 0
+        while True:
+            n = min(length - done, max(LENGTH, size - held))
+            own_starts.append(start + done)
+            own_lengths.append(n)
+            held += n
+            whole = done + n == length
+            if held >= size or not whole:
+                yield doc, key, np.array(own_starts), np.array(own_lengths), data[begin : begin + held]
+                begin += held if whole else held - LENGTH + 1
+                own_starts, own_lengths, held = [], [], 0
+            if whole:
+                break
+            done += n - LENGTH + 1
+        offset += length
+    if held:
+        yield doc, key, np.array(own_starts), np.array(own_lengths), data[begin : begin + held]
+
+
+def blocks(parts: DataFrame, ranges: int, size: int) -> DataFrame:
+    """Stretches in document order, about ``size`` bytes a row.
+
+    ``turn`` grows with the documents' ids.  A document id with more than ``size``
+    bytes has several blocks of one turn, which hold nothing else.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = turn = TaskContext.get().partitionId() << 24
+        ready: list[Part] = []  # of ids that are complete
+        own: list[Part] = []  # of the id at hand
+        ready_bytes = own_bytes = 0
+        split, last = False, None  # whether the id at hand has blocks already, and that id
+
+        def close(rows: list[Part]) -> pa.RecordBatch:
+            nonlocal number
+            number += 1
+            keys = list(dict.fromkeys(r[1] for r in rows))
+            place = {k: i for i, k in enumerate(keys)}
+            times = [len(r[3]) for r in rows]
+            owners, docs = np.repeat(np.array([place[r[1]] for r in rows], np.uint32), times), np.repeat(np.array([r[0] for r in rows], np.int64), times)
+            return block_row([number, turn, b"".join(keys), squeeze(owners), squeeze(docs), squeeze(np.concatenate([r[2] for r in rows])), squeeze(np.concatenate([r[3] for r in rows])), b"".join(r[4] for r in rows), b"", b""])
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            """The id at hand is complete."""
+            nonlocal ready, own, ready_bytes, own_bytes, split, turn
+            if split:
+                if own:
+                    yield close(own)
+                turn += 1
+            else:
+                ready += own
+                ready_bytes += own_bytes
+            own, own_bytes, split = [], 0, False
+            if ready_bytes >= size:
+                yield close(ready)
+                ready, ready_bytes, turn = [], 0, turn + 1
 
-    return parts.repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id").mapInArrow(pack, BLOCK_SCHEMA)
+        for row in single_rows(batches):
+            if row["doc_id"] != last:
+                yield from ended()
+            last = row["doc_id"]
+            part = (last, row["text_key"].to_pybytes(), expand(row["starts"], np.int64), expand(row["lengths"], np.int64), memoryview(row["data"]))
+            for piece in pieces(part, size):
+                own.append(piece)
+                own_bytes += len(piece[4])
+                if own_bytes >= size:
+                    if ready:
+                        yield close(ready)
+                        ready, ready_bytes, turn = [], 0, turn + 1
+                    yield close(own)
+                    own, own_bytes, split = [], 0, True
+        yield from ended()
+        if ready:
+            yield close(ready)
+
+    return parts.repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", "text_key").mapInArrow(pack, BLOCK_SCHEMA)
 
 
 class Block:
     """A block's bytes, documents and names of sampled positions, ready for key building."""
 
     def __init__(self, row: dict):
-        self.block = row["block"]
+        self.block, self.turn = row["block"], row["turn"]
+        self.keys, self.owners = row["keys"], expand(row["owners"], np.uint32)
         self.docs, self.starts, self.lengths = (expand(row[c], np.int64) for c in ("docs", "starts", "lengths"))
         self.data = np.frombuffer(row["data"], np.uint8)
         ends = np.cumsum(self.lengths)
         self.room = np.repeat(ends.astype(np.int32), self.lengths)
         self.room -= np.arange(len(self.data), dtype=np.int32)
-        self.names = {c: expand(row[f"names{c}"], np.uint32) if row[f"names{c}"] else None for c in (1, 2)}
+        self.names = {c: expand(row[f"names{c}"], np.uint32) if row[f"names{c}"].size else None for c in (1, 2)}
 
     def part(self) -> np.ndarray:
         """The stretch that each byte is in."""
@@ -389,19 +487,19 @@ class Block:
 # ---- 3. names
 
 
-_RANKS: dict[bytes, np.ndarray] = {}
+class TripleRanks:
+    """Ranks of the byte triples in a bitmap, 1 for the smallest, from bits and their running counts (3 MB)."""
 
+    def __init__(self, bitmap: bytes):
+        self.words = np.frombuffer(bitmap, "<u8")
+        counts = np.bitwise_count(self.words)
+        self.before = np.cumsum(counts, dtype=np.uint32) - counts
+        self.size = int(counts.sum())
 
-def triple_ranks(bitmap: bytes | None) -> np.ndarray | None:
-    """Ranks of the byte triples in a bitmap, 1 for the smallest; the last table is kept by each worker."""
-    if bitmap is None:
-        return None
-    if bitmap not in _RANKS:
-        present = np.unpackbits(np.frombuffer(bitmap, np.uint8))
-        _RANKS.clear()
-        _RANKS[bitmap] = np.cumsum(present, dtype=np.uint32)
-        _RANKS[bitmap] *= present
-    return _RANKS[bitmap]
+    def __getitem__(self, triples: np.ndarray) -> np.ndarray:
+        word = triples >> np.uint32(6)
+        upto = (U64(2) << (triples & np.uint32(63)).astype(U64)) - U64(1)
+        return self.before[word] + np.bitwise_count(self.words[word] & upto)
 
 
 def triple_bitmap(stored_blocks: DataFrame) -> bytes:
@@ -422,11 +520,11 @@ def triple_bitmap(stored_blocks: DataFrame) -> bytes:
         bits = np.unpackbits(np.frombuffer(m["bits"], np.uint8), bitorder="little")
         first = (m["bucket"] - 1) * len(bits)
         present[first : first + len(bits)] = bits[: max(0, len(present) - first)]
-    return np.packbits(present).tobytes()
+    return np.packbits(present, bitorder="little").tobytes()
 
 
 #: Levels: what each names, from which names, and how many bytes it spans.
-def level_keys(block: Block, level: int, ranks: np.ndarray | None) -> dict[int, tuple[np.ndarray, list[np.ndarray]]]:
+def level_keys(block: Block, level: int, ranks: TripleRanks | None) -> dict[int, tuple[np.ndarray, list[np.ndarray]]]:
     """Per class of sampled positions: indexes of those that take part, and their key columns."""
     out = {}
     for c in (1, 2):
@@ -444,7 +542,7 @@ def level_keys(block: Block, level: int, ranks: np.ndarray | None) -> dict[int,
             parts = [p[at].astype(U64) for p in parts]
         if level == 9:  # byte triples have at most 2**24 names
             columns = [(parts[0] << U64(24)) | parts[1], parts[2]]
-            if int(ranks.max()) < 1 << 21:
+            if ranks.size < 1 << 21:
                 columns = [(parts[0] << U64(42)) | (parts[1] << U64(21)) | parts[2]]
         elif level == 27:
             columns = [(parts[0] << U64(32)) | parts[1], parts[2]]
@@ -477,25 +575,30 @@ def last_keys(block: Block, shift: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(at), np.concatenate(keys)
 
 
-def all_keys(block: Block, level: int, ranks: np.ndarray | None) -> tuple[np.ndarray, list[np.ndarray]]:
+def all_keys(block: Block, level: int, ranks: TripleRanks | None) -> tuple[np.ndarray, list[np.ndarray]]:
     """Positions (class 2 behind class 1 for names) and key columns of a level."""
     own = level_keys(block, level, ranks)
     return np.concatenate([own[1][0], own[2][0] + len(block.data)]), [np.concatenate(x) for x in zip(own[1][1], own[2][1], strict=True)]
 
 
+def ranks_of(bitmap: bytes | None) -> TripleRanks | None:
+    return TripleRanks(bitmap) if bitmap else None
+
+
 def limits(stored_blocks: DataFrame, level: int, shared, n_blocks: int, n_ranges: int) -> np.ndarray:
-    """First keys of each range but the lowest, from a bounded sample."""
-    every = max(1, n_blocks // SAMPLE_BLOCKS)
+    """First keys of each range but the lowest, from SAMPLE_KEYS keys a range of some of the blocks."""
+    used = min(n_blocks, max(SAMPLE_BLOCKS, math.ceil(n_ranges / 256)))
+    from_each = math.ceil(max(SAMPLE_KEYS * n_ranges, 20_000) / max(1, used))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = ranks_of(shared.value[0])
         for row in single_rows(batches):
             block = Block(row)
-            keys = np.concatenate([last_keys(block, k)[1] for k in range(3)]) if level == LENGTH else all_keys(block, level, triple_ranks(shared.value[0]))[1][0]
-            step = max(1, len(keys) // (SAMPLE_KEYS // SAMPLE_BLOCKS))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[::step].view(np.int64))], names=["key"])
+            keys = np.concatenate([last_keys(block, k)[1] for k in range(3)]) if level == LENGTH else all_keys(block, level, ranks)[1][0]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[:: max(1, len(keys) // from_each)].view(np.int64))], names=["key"])
 
-    some = stored_blocks.where(F.pmod(F.xxhash64("block"), F.lit(every)) == 0)
-    keys = np.sort(np.array([r["key"] for r in some.mapInArrow(sample, "key long").collect()], np.int64).view(U64))
+    some = stored_blocks.where(F.pmod(F.xxhash64("block"), F.lit(max(1, n_blocks // max(1, used)))) == 0)
+    keys = np.sort(some.mapInArrow(sample, "key long").toArrow()["key"].to_numpy().view(U64))
     return np.unique(keys[np.linspace(0, len(keys), n_ranges + 1).astype(np.int64)[1:-1]]) if len(keys) else keys
 
 
@@ -503,7 +606,7 @@ def requests(stored_blocks: DataFrame, level: int, shared) -> DataFrame:
     """Distinct sorted keys of each block, by key range; ``often`` marks those that occur twice in the block."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, cuts = triple_ranks(shared.value[0]), shared.value[1]
+        ranks, cuts = ranks_of(shared.value[0]), shared.value[1]
         for row in single_rows(batches):
             block = Block(row)
             if level == LENGTH:  # keys of different shifts differ, and sort by shift
@@ -515,23 +618,23 @@ def requests(stored_blocks: DataFrame, level: int, shared) -> DataFrame:
             rows = []
             for b in np.flatnonzero(np.diff(bounds)):
                 s = slice(bounds[b], bounds[b + 1])
-                rows.append((int(b), block.block, squeeze_sorted(distinct[0][s]), squeeze(distinct[1][s].astype(np.uint32)) if len(distinct) > 1 else b"", np.packbits(often[s]).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()])], names=["range", "block", "high", "low", "often"])
+                rows.append((int(b), block.block, block.turn, squeeze_sorted(distinct[0][s]), squeeze(distinct[1][s].astype(np.uint32)) if len(distinct) > 1 else b"", np.packbits(often[s]).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()])], names=["range", "block", "turn", "high", "low", "often"])
 
-    return stored_blocks.mapInArrow(ask, "range int, block long, high binary, low binary, often binary")
+    return stored_blocks.mapInArrow(ask, "range int, block long, turn long, high binary, low binary, often binary")
 
 
 def answers(asked: DataFrame, n_ranges: int, last: bool) -> DataFrame:
-    """Per block and range: ranks of the keys that occur more than once (0: once), or which keys a smaller block has."""
+    """Per block and range: ranks of the keys that occur more than once (0: once), or which keys a block of an earlier turn has."""
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, "range"):
-            asked_rows = sorted(table.to_pylist(), key=lambda r: r["block"])
-            high = [expand_sorted(r["high"], U64) for r in asked_rows]
+            asked_rows = [{k: r[k] for k in ("range", "block", "turn", "often")} for r in rows_of(table)]
+            high = [expand_sorted(r["high"], U64) for r in rows_of(table)]
             ends = np.cumsum([len(h) for h in high])
             columns = [np.concatenate(high)]
-            if asked_rows[0]["low"]:
-                columns.append(np.concatenate([expand(r["low"], np.uint32) for r in asked_rows]).astype(U64))
+            if next(rows_of(table))["low"].size:
+                columns.append(np.concatenate([expand(r["low"], np.uint32) for r in rows_of(table)]).astype(U64))
             sizes = [len(h) for h in high]
             del high
             order, new = ordered(columns)
@@ -540,9 +643,10 @@ def answers(asked: DataFrame, n_ranges: int, last: bool) -> DataFrame:
             times = np.diff(np.append(starts, len(order)))
             rows = []
             if last:
-                # rows stand in block order, so the first of a group is in its smallest block
+                _, turn = np.unique([r["turn"] for r in asked_rows], return_inverse=True)
+                turn = np.repeat(turn.astype(np.uint32), sizes)[order]
                 value = np.empty(len(order), bool)
-                value[order] = order > np.repeat(np.minimum.reduceat(order, starts), times)
+                value[order] = turn > np.repeat(np.minimum.reduceat(turn, starts), times)
             else:
                 often = np.concatenate([np.unpackbits(np.frombuffer(r["often"], np.uint8), count=n) for r, n in zip(asked_rows, sizes, strict=True)]).astype(bool)
                 alive = (times > 1) | np.logical_or.reduceat(often[order], starts)
@@ -563,11 +667,11 @@ def met(stored_blocks: DataFrame, replies: DataFrame, n_parts: int) -> DataFrame
     """Blocks with their replies, sorted so that a block's row comes first."""
     empty = lambda *names: [F.lit(None).cast("binary").alias(c) for c in names]
     own = stored_blocks.select("*", F.lit(-1).alias("range"), *empty("alive", "ranks"), F.lit(0).cast("long").alias("n"))
-    told = replies.where("block >= 0").select("block", *empty("docs", "starts", "lengths", "data", "names1", "names2"), "range", "alive", "ranks", "n")
+    told = replies.where("block >= 0").select("block", F.lit(None).cast("long").alias("turn"), *empty(*BLOCK_COLUMNS[2:]), "range", "alive", "ranks", "n")
     return own.unionByName(told).repartition(n_parts, "block").sortWithinPartitions("block", "range")
 
 
-def reply_values(rows: list[dict], offsets: dict[int, int] | None) -> np.ndarray:
+def reply_values(rows: list[dict], offsets: np.ndarray | None) -> np.ndarray:
     """The replies of a block in key order: names, or bits in the last step."""
     out = []
     for r in rows:
@@ -585,9 +689,9 @@ def renamed(both: DataFrame, level: int, shared) -> DataFrame:
     """Blocks with the names of the level in place of those before."""
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, offsets = triple_ranks(shared.value[0]), shared.value[1]
+        ranks, offsets = ranks_of(shared.value[0]), shared.value[1]
         for table in groups(batches, "block"):
-            row, *told = table.to_pylist()
+            row, *told = rows_of(table)
             block = Block(row)
             at, columns = all_keys(block, level, ranks)
             values = reply_values(told, offsets)
@@ -601,8 +705,8 @@ def renamed(both: DataFrame, level: int, shared) -> DataFrame:
                 names = np.zeros(len(range(c, n, 3)), np.uint32)
                 names[at[mine] - (0 if c == 1 else n)] = own[mine]
                 row[f"names{c}"] = squeeze(names)
-            columns = [x.split()[0] for x in BLOCK_SCHEMA.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array([row[c]], pa.int64() if c == "block" else pa.binary()) for c in columns], names=columns)
+            del at, columns, values, own, told
+            yield block_row([row[c] if isinstance(row[c], int | bytes) else row[c].to_pybytes() for c in BLOCK_COLUMNS])
 
     return both.mapInArrow(name, BLOCK_SCHEMA)
 
@@ -611,11 +715,11 @@ def renamed(both: DataFrame, level: int, shared) -> DataFrame:
 
 
 def removals(both: DataFrame) -> DataFrame:
-    """(doc_id, from_bytes, to_bytes): what goes from each document."""
+    """(text_key, from_bytes, to_bytes): what goes from each text, in one row or, if it is in several blocks, in more."""
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, "block"):
-            row, *told = table.to_pylist()
+            row, *told = rows_of(table)
             block = Block(row)
             go, part = np.zeros(len(block.data), bool), block.part()
             told_earlier = reply_values(told, None)
@@ -634,44 +738,47 @@ def removals(both: DataFrame) -> DataFrame:
             part = part[i]
             first = np.cumsum(block.lengths) - block.lengths
             begin = i - first[part] + block.starts[part]
-            doc = block.docs[part]
+            owner, keys = block.owners[part], block.keys.to_pybytes()
             rows = []
-            cuts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))[: len(doc)] if len(doc) else []
-            for lo, hi in zip(cuts, [*cuts[1:], len(doc)], strict=True):
+            bounds = [0, *(np.flatnonzero(owner[1:] != owner[:-1]) + 1).tolist(), len(owner)] if len(owner) else []
+            for lo, hi in zip(bounds, bounds[1:], strict=False):
                 s, e = joined_intervals(np.sort(begin[lo:hi]), np.sort(begin[lo:hi]) + LENGTH)
-                rows.append((int(doc[lo]), squeeze(s), squeeze(e)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.int64(), pa.binary(), pa.binary()])], names=["doc_id", "from_bytes", "to_bytes"])
+                k = int(owner[lo])
+                rows.append((keys[16 * k : 16 * k + 16], squeeze(s), squeeze(e)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary()) for k in range(3)], names=["text_key", "from_bytes", "to_bytes"])
+
+    return both.mapInArrow(decide, "text_key binary, from_bytes binary, to_bytes binary")
 
-    return both.mapInArrow(decide, "doc_id long, from_bytes binary, to_bytes binary")
+
+def text_key(docs: DataFrame):
+    """16 bytes that stand for a text."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(docs["text"], F.lit("")), 256), 1, 32))
 
 
 def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, from_bytes, to_bytes) of the distinct texts that lose something, and (text_key, rep) of all."""
-    small_batches(docs.sparkSession)
-    keyed = docs.where("doc_id is not null").select(docs["doc_id"].cast("long").alias("doc_id"), F.unhex(F.substring(F.sha2(F.coalesce(docs["text"], F.lit("")), 256), 1, 32)).alias("text_key"), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    size = keyed.select(F.octet_length("text").alias("n")).agg(F.sum("n")).first()[0] or 0
-    firsts = keyed.groupBy("text_key").agg(F.min("doc_id").alias("rep"))
-    buckets = max(1, math.ceil(size / BUCKET_BYTES))
-    places = shared_places(anchors(keyed, buckets), buckets)
-    rows = keyed.join(places.join(firsts, "text_key"), "text_key").where("doc_id = rep").select("doc_id", F.col("text").cast("binary").alias("text"), "places")
-    parts = stored(stretches(rows), "stretches")
-    total = parts.agg(F.sum(F.octet_length("data"))).first()[0] or 0
-    current = stored(blocks(parts, max(1, math.ceil(total / (2 * BLOCK_BYTES)))), "blocks")
-    dropped(parts)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    """(text_key, spans) of the distinct texts that lose something, and (text_key, rep) of all."""
     spark = docs.sparkSession
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(BATCH_ROWS))
-    try:
-        return sorted_out(current, total), firsts
-    finally:
-        spark.conf.set(key, before)
+    keyed = docs.where("doc_id is not null").select(docs["doc_id"].cast("long").alias("doc_id"), text_key(docs).alias("text_key"), F.coalesce(docs["text"], F.lit("")).alias("text"))
+    firsts = stored(keyed.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.max(F.octet_length("text")).alias("n")), "firsts")
+    size = firsts.agg(F.sum("n")).first()[0] or 0
+    chunk = unit_bytes(size)
+    buckets = max(1, math.ceil(size / (BUCKET_UNITS * chunk)))
+    with text_batches(spark):
+        places = shared_places(anchors(keyed, buckets, chunk), buckets)
+        rows = keyed.join(places.join(firsts.select("text_key", "rep"), "text_key"), "text_key").where("doc_id = rep").select("doc_id", "text_key", F.col("text").cast("binary").alias("text"), "places")
+        parts = stored(stretches(rows), "stretches")
+        total = parts.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+        unit = unit_bytes(total)
+        current = stored(blocks(parts, max(1, math.ceil(total / (PER_TASK * unit))), unit), "blocks")
+        dropped(parts)
+        spans = sorted_out(current, total)
+    return spans.groupBy("text_key").agg(F.collect_list(F.struct("from_bytes", "to_bytes")).alias("spans")), firsts.select("text_key", "rep")
 
 
 def sorted_out(current: DataFrame, total: int) -> DataFrame:
     """Removals from stored blocks, which hold ``total`` bytes: all levels of names, then the merge."""
     spark = current.sparkSession
-    n_ranges = max(1, math.ceil(total / RANGE_KEYS))
+    n_ranges = max(1, math.ceil(total / unit_bytes(total)))
     n_blocks = current.count()
     context = spark.sparkContext
     bitmap = triple_bitmap(current)
@@ -682,53 +789,70 @@ def sorted_out(current: DataFrame, total: int) -> DataFrame:
         replies = stored(answers(requests(current, level, context.broadcast((triples, cuts))), n_ranges, level == LENGTH), f"replies_{level}")
         both = met(current, replies, n_parts)
         if level < LENGTH:
-            offsets, names = {}, 0
-            for r in sorted(replies.where("block < 0").select("range", "n").collect(), key=lambda r: r["range"]):
-                offsets[r["range"]], names = names, names + r["n"]
-            if names >= 1 << 32:
+            counts = replies.where("block < 0").select("range", "n").toArrow()
+            in_range = np.zeros(n_ranges + 1, np.int64)
+            in_range[counts["range"].to_numpy() + 1] = counts["n"].to_numpy()
+            offsets = np.cumsum(in_range)
+            if offsets[-1] >= 1 << 32:
                 raise ValueError("more than 2**32 repeated strings: the ranks of a level need wider names")
             following = stored(renamed(both, level, context.broadcast((triples, offsets))), f"names_{level}")
         else:
             following = stored(removals(both), "removals")
-        dropped(current)
-        dropped(replies)
+        dropped(current, replies)
         current = following
     return current
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """Input columns with n_bytes, n_removed, n_spans, kept_bytes and kept_text (null where the text is null).
-
-    kept_bytes is what is left, byte by byte; kept_text is the same without
-    characters that lost some of their bytes.
-    """
-    added = ("n_bytes", "n_removed", "n_spans", "kept_bytes", "kept_text")
+def cut_texts(docs: DataFrame) -> DataFrame:
+    """(row, text, found): the columns but text as ``row``, the text, and ``found`` with n_bytes, n_removed, n_spans, kept_bytes, kept_text."""
     spans, firsts = repeated_spans(docs)
-    key = F.when(docs["doc_id"].isNotNull(), F.unhex(F.substring(F.sha2(F.coalesce(docs["text"], F.lit("")), 256), 1, 32)))
-    base = docs.select(whole(docs, added).alias("row"), docs["text"].alias("_whole_text"), key.alias("_key"), docs["doc_id"].cast("long").alias("_id"))
-    spans = spans.select(F.col("doc_id").alias("_doc"), F.col("from_bytes").alias("_from"), F.col("to_bytes").alias("_to"))
-    firsts = firsts.select(F.col("text_key").alias("_text"), F.col("rep").alias("_rep"))
-    told = base.join(firsts.join(spans, F.col("_rep") == F.col("_doc"), "left"), F.col("_key") == F.col("_text"), "left")
+    key = F.when(docs["doc_id"].isNotNull(), text_key(docs))
+    base = docs.select(whole(docs, ("text",)).alias("row"), docs["text"].alias("text"), key.alias("key"), docs["doc_id"].cast("long").alias("id"))
+    spans = spans.select(F.col("text_key").alias("span_key"), "spans")
+    told = base.join(firsts.join(spans, F.col("text_key") == F.col("span_key"), "left"), F.col("key") == F.col("text_key"), "left")
 
     @F.arrow_udf("struct<n_bytes long, n_removed long, n_spans long, kept_bytes binary, kept_text string>")
-    def cut(texts: pa.Array, copies: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
+    def cut(texts: pa.Array, copies: pa.Array, spans: pa.Array) -> pa.Array:
         rows = []
-        for text, copy, s, e in zip(texts, copies.to_pylist(), starts.to_pylist(), ends.to_pylist(), strict=True):
+        for text, copy, lost in zip(texts, copies.to_pylist(), spans, strict=True):
             raw = (text.as_py() or "").encode()
             if copy and len(raw) >= LENGTH:
                 rows.append((len(raw), len(raw), 1, b"", ""))
                 continue
-            pairs = list(zip(expand(s, np.int64).tolist(), expand(e, np.int64).tolist(), strict=True)) if s else []
-            kept, at = [], 0
-            for a, b in pairs:
-                kept.append(raw[at:a])
-                at = b
+            kept, at, n = [], 0, 0
+            if lost.is_valid and len(lost):
+                found = sorted((s, e) for x in lost.as_py() for s, e in zip(expand(x["from_bytes"], np.int64).tolist(), expand(x["to_bytes"], np.int64).tolist(), strict=True))
+                for s, e in zip(*(x.tolist() for x in joined_intervals(*map(np.array, zip(*found, strict=True)))), strict=True):
+                    kept.append(raw[at:s])
+                    at, n = e, n + 1
             kept.append(raw[at:])
             left = b"".join(kept)
-            clean = b"".join(kept).decode() if not pairs else "".join(x.decode(errors="ignore") for x in kept)
-            rows.append((len(raw), len(raw) - len(left), len(pairs), left, clean if text.is_valid else None))
+            clean = left.decode() if not n else "".join(x.decode(errors="ignore") for x in kept)
+            rows.append((len(raw), len(raw) - len(left), n, left, clean if text.is_valid else None))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
-        return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=list(added))
+        return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=list(ADDED))
+
+    small_batches(docs.sparkSession)
+    return told.select("row", "text", cut("text", F.coalesce(F.col("id") > F.col("rep"), F.lit(False)), "spans").alias("found"))
+
+
+ADDED = ("n_bytes", "n_removed", "n_spans", "kept_bytes", "kept_text")
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """Input columns with n_bytes, n_removed, n_spans, kept_bytes and kept_text (null where the text is null).
+
+    kept_bytes is what is left, byte by byte; kept_text is the same without
+    characters that lost some of their bytes.  Input columns of these names are
+    replaced.
+    """
+    kept = [c for c in docs.columns if c.lower() not in ADDED]
+    columns = [F.col("text") if c.lower() == "text" else F.col("row")[c].alias(c) for c in kept]
+    return cut_texts(docs).select(*columns, "found.*")
+
 
-    done = told.select("row", cut("_whole_text", F.coalesce(F.col("_id") > F.col("_rep"), F.lit(False)), "_from", "_to").alias("found"))
-    return done.select("row.*", "found.*")
+def replaced_text(docs: DataFrame) -> DataFrame:
+    """The columns of docs with what is left of each text in place of it, and n_chars, where there is such a column, of it."""
+    left = {"text": F.col("found.kept_text"), "n_chars": F.char_length("found.kept_text")}
+    columns = [(left[c.lower()].cast(docs.schema[c].dataType) if c.lower() in left else F.col("row")[c]).alias(c) for c in docs.columns]
+    return cut_texts(docs).select(*columns)

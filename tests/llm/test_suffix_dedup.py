@@ -52,6 +52,39 @@ def test_edges(spark):
     assert found(suffix_dedup.without_repeats(with_clashing_columns(documents(spark, rows)))) == brute(rows)
 
 
+def test_texts_that_share_an_id(spark):
+    a, b, c = prose(60, 21), prose(60, 22), prose(60, 23)
+    rows = [(5, prose(9, 31) + a), (5, a + b), (6, b + prose(9, 32)), (6, a[:60] + c), (7, c), (7, c), (7, prose(9, 33) + c[:80]), (8, c)]
+    assert found(suffix_dedup.without_repeats(documents(spark, rows))) == brute(rows)
+
+
+def test_documents_larger_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "LEAST_BYTES", 1 << 10)
+    long = prose(2_000, 41)
+    rows = [(i, prose(20, 200 + i) + long[300 * i : 300 * i + 700]) for i in range(1, 9)] + [(20, long), (20, long[:5_000] + prose(40, 42)), (21, long[1_000:4_000]), (30, long + long)] + [(40 + i, long[: 900 + i]) for i in range(12)]
+    assert found(suffix_dedup.without_repeats(documents(spark, rows))) == brute(rows)
+
+
+def test_pieces_hold_each_string_once():
+    import numpy as np
+
+    data = prose(400, 5).encode()
+    starts, lengths = np.array([0, 700, 760]), np.array([600, 55, len(data) - 655])
+    for size in (10, 64, 300, 5_000):
+        got = []
+        for _, _, s, n, piece in suffix_dedup.pieces((1, b"k", starts, lengths, memoryview(data)), size):
+            assert sum(n) == len(piece) and len(piece) <= max(size, 50) + 49
+            at = 0
+            for begin, length in zip(s.tolist(), n.tolist(), strict=True):
+                got += [(begin + k, bytes(piece[at + k : at + k + 50])) for k in range(length - 49)]
+                at += length
+        want, at = [], 0
+        for begin, length in zip(starts.tolist(), lengths.tolist(), strict=True):
+            want += [(begin + k, data[at + k : at + k + 50]) for k in range(length - 49)]
+            at += length
+        assert got == want
+
+
 def test_long_text_and_many_copies(spark):
     long = prose(40_000, 9)
     rows = [(i, prose(20, 100 + i) + long[5_000 * i : 5_000 * i + 6_000]) for i in range(1, 8)] + [(50, long), (51, long), (52, long[:-1])] + [(100 + i, long[:500]) for i in range(40)]

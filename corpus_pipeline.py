@@ -54,9 +54,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that documents with smaller ids hold."""
-    rows = docs.select("doc_id", "text", whole(docs).alias("row"))
-    left = suffix_dedup.without_repeats(rows).select("row.*", F.col("kept_text").alias(LEFT))
-    return with_text(left, F.col(LEFT)).drop(LEFT)
+    return suffix_dedup.replaced_text(docs)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,15 +1,18 @@
 """Near-duplicate texts: MinHash banding, then exact Jaccard on whole n-gram sets.
 
 1. One pass over all texts gives each its hash and its band hashes.  Identical
-   texts become one representative (the smallest id) with a count.
-2. Band hashes are shuffled; texts that share one are joined in a star around
-   the bucket's smallest id, never pair by pair.  The stars' components are the
+   texts become one, with a number, the smallest id and a count.
+2. Band hashes are shuffled into buckets; texts that share one are joined in a
+   star around one of them, never pair by pair.  The stars' components are
    candidate groups: two texts that share a band are in the same group.
-3. The n-gram sets of texts in groups of two or more are moved once to their
-   group.  Groups of more than BLOCK texts are cut into blocks and every pair of
-   blocks is compared on its own, so no task holds a large group.  All pairs of
-   a block are counted exactly as a product of incidence matrices; a task emits
-   a row per text (its number of links, its local root), not per pair.
+3. Pairs are verified in cells, either a whole candidate group or each bucket of
+   it by itself, whichever moves fewer sets: a group of near copies is a cell, a
+   long chain of accidental neighbours is cut into its buckets, so the work
+   never exceeds that of the buckets.  A pair that shares several buckets counts
+   in the first.  Cells of more than BLOCK texts are cut into blocks and every
+   pair of blocks is compared on its own, so no task holds a large cell.  All
+   pairs of a block are counted exactly as a product of incidence matrices; a
+   task emits a row per text (its number of links, its local root), not per pair.
 4. The components of the verified links are the classes.
 
 ``bands`` follow from the target recall: with r rows per band, a pair of
@@ -20,8 +23,9 @@ with still higher probability.  N-grams are compared by 64-bit hashes.
 Defined results: words are runs of anything but ASCII white space.  A text of one
 to four words has one n-gram, all its words; a text that is null or has no word
 has none, links with nothing and is a class by itself.  Identical texts link with
-one another.  Extra columns are ignored.  Rows that repeat a doc_id count as
-documents.  Rows without a doc_id link with nothing and have a null class.
+one another.  Extra columns are ignored.  Rows that repeat a doc_id, with equal or
+other texts, count as documents of their own.  Rows without a doc_id link with
+nothing and have a null class.
 """
 
 from __future__ import annotations
@@ -37,11 +41,14 @@ from pyspark.sql import functions as F
 
 from granary.operators.components import components
 from granary.llm.quality import WORD
-from granary.sources.tables import small_batches, stored
+from granary.llm.rows import text_key
+from granary.sources.tables import dropped, stored, text_batches
 
 ROWS = 6
 #: Texts in a block of the verification.
 BLOCK = 200
+#: Side of the texts of a block that is compared with itself; 0 and 1 are those of two blocks.
+WITHIN = 2
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -112,14 +119,15 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                         found[i] = h
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "text_key", "bands"])
 
-    keyed = docs.select(docs["doc_id"].cast("long"), F.unhex(F.substring(F.sha2(F.coalesce(docs["text"], F.lit("")), 256), 1, 32)).alias("text_key"), docs["text"])
+    keyed = docs.select(docs["doc_id"].cast("long"), text_key(docs).alias("text_key"), docs["text"])
     return keyed.mapInArrow(sign, "doc_id long, text_key binary, bands array<long>")
 
 
-def linked_counts(sets: list[np.ndarray], weights: np.ndarray, split: int, similarity: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+def linked_counts(sets: list[np.ndarray], weights: np.ndarray, split: int, similarity: tuple[int, int], earlier: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(weight of linked texts, local root) of each set in a block or a pair of blocks.
 
     split > 0: only pairs of one of the first ``split`` sets with one of the rest.
+    earlier: (texts x k) band hashes; a pair that agrees in one of them isn't counted here.
     similarity = (p, q): a pair links if intersection / union >= p / q, in whole numbers.
     """
     count = len(sets)
@@ -145,6 +153,10 @@ def linked_counts(sets: list[np.ndarray], weights: np.ndarray, split: int, simil
     if split:
         link[:split, :split] = False
         link[split:, split:] = False
+    if earlier.shape[1]:
+        i, j = np.nonzero(link)
+        elsewhere = (earlier[i] == earlier[j]).any(1)
+        link[i[elsewhere], j[elsewhere]] = False
     root = np.arange(count)
     while True:  # smallest index that can be reached: at most as many rounds as the longest path, halved by jumping
         reach = np.where(link, root[None, :], count).min(1, initial=count)
@@ -156,66 +168,126 @@ def linked_counts(sets: list[np.ndarray], weights: np.ndarray, split: int, simil
 
 
 def verified(grouped: DataFrame, n: int, similarity: tuple[int, int]) -> DataFrame:
-    """(rep, links, root) per text and block pair.  grouped: (cell, side, rep, copies, grams), whole cells in one task, sorted."""
+    """(node, links, root) per text and block pair.  grouped: (cell, side, node, copies, earlier, grams), whole cells in one task, sorted."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close(rows: list[tuple]) -> pa.RecordBatch:
-            rows = list({r[2]: r for r in rows}.values())  # a repeated row's text counts once here, its copies in r[3]
-            sets = [np.frombuffer(r[4], np.uint64) for r in rows]
+        def close(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
             split = sum(r[1] == 0 for r in rows)
-            links, root = linked_counts(sets, np.array([r[3] for r in rows], np.int64), 0 if split == len(rows) else split, similarity)
-            reps = np.array([r[2] for r in rows])
-            return pa.RecordBatch.from_arrays([pa.array(reps), pa.array(links, pa.int64()), pa.array(reps[root])], names=["rep", "links", "root"])
-
-        held: list[tuple] = []
+            if rows[0][1] != WITHIN and split in (0, len(rows)):
+                return  # one of the two blocks is empty
+            sets = [np.frombuffer(r[5], np.uint64) for r in rows]
+            links, root = linked_counts(sets, np.array([r[3] for r in rows], np.int64), split, similarity, np.array([r[4] for r in rows], np.int64).reshape(len(rows), -1))
+            nodes = np.array([r[2] for r in rows])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(links, pa.int64()), pa.array(nodes[root])], names=["node", "links", "root"])
+
+        held: dict[int, tuple] = {}  # a repeated row's text counts once here, its copies in r[3]
+        cell = None
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("cell", "side", "rep", "copies", "grams")), strict=True):
-                if held and held[0][0] != row[0]:
-                    yield close(held)
-                    held = []
-                held.append(row)
+            for row in zip(*(batch.column(c).to_pylist() for c in ("cell", "side", "node", "copies", "earlier", "grams")), strict=True):
+                if held and cell != row[0]:
+                    yield from close(list(held.values()))
+                    held = {}
+                cell = row[0]
+                held.setdefault(row[2], row)
         if held:
-            yield close(held)
+            yield from close(list(held.values()))
+
+    return grouped.mapInArrow(compare, "node long, links long, root long")
+
+
+def cells(texts: DataFrame, block: int) -> DataFrame:
+    """(node, places): the cells that each text is compared in, with their number of blocks and the band hashes before.
 
-    return grouped.mapInArrow(compare, "rep long, links long, root long")
+    Either all of a candidate group or each of its buckets, whichever sends fewer sets.
+    """
+    banded = texts.select("node", "bands", F.posexplode("bands").alias("nth", "band"))
+    buckets = banded.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    stars = banded.join(buckets.select("band", "hub"), "band").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    groups = stored(components(stars).select("node", F.col("component").alias("candidates")), "candidates")
+    blocks = F.ceil(F.col("n") / block)
+    of_bucket = buckets.join(groups, F.col("hub") == F.col("node")).groupBy("candidates").agg(F.sum(F.col("n") * blocks).alias("by_bucket"))
+    of_group = groups.groupBy("candidates").agg(F.count("*").alias("n"))
+    sizes = stored(of_group.join(of_bucket, "candidates").select("candidates", "n", (F.col("n") * blocks <= F.col("by_bucket")).alias("as_one")), "sizes")
+    member = groups.join(sizes, "candidates")
+    as_one = member.where("as_one").select("node", F.hex("candidates").alias("cell"), blocks.cast("int").alias("blocks"), F.array().cast("array<long>").alias("earlier"))
+    apart = banded.join(member.where("not as_one").select("node", "candidates"), "node").join(buckets.select("band", F.col("n")), "band")
+    by_bucket = apart.select("node", F.concat(F.hex("band"), F.lit("b")).alias("cell"), blocks.cast("int").alias("blocks"), F.slice("bands", F.lit(1), F.col("nth")).alias("earlier"))
+    # a text is in one group, or in as many buckets as there are bands
+    return as_one.unionByName(by_bucket).groupBy("node").agg(F.collect_list(F.struct("cell", "blocks", "earlier")).alias("places"))
+
+
+def judged(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (4, 5), recall: float = 0.999, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
+    """(doc_id, text_key, class_id, n_links, stays) of every row with a doc_id, as a stored table.
+
+    ``stays`` holds for the rows of one text in each class: of those with the
+    smallest id, the text whose key is the smallest.
+    """
+    spark = docs.sparkSession
+    docs = docs.where("doc_id is not null")
+    bands = bands_for(similarity[0] / similarity[1], recall, rows)
+    with text_batches(spark):
+        signed = stored(signatures(docs, n, bands, rows), "signatures")
+        texts = signed.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+        texts = stored(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
+        placed = texts.select("node", "rep", "copies", "text_key").join(cells(texts, block), "node")
+        keyed = docs.select(docs["doc_id"].cast("long").alias("rep"), text_key(docs).alias("text_key"), docs["text"])
+        wanted = keyed.join(placed, ["rep", "text_key"]).select("node", "copies", "places", "text")
+
+        def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last = None
+            for whole in batches:
+                for at in range(0, whole.num_rows, 256):
+                    batch = whole.slice(at, 256)
+                    nodes = batch.column(0).to_pylist()
+                    fresh = [i for i, x in enumerate(nodes) if x != (nodes[i - 1] if i else last)]  # equal rows follow each other
+                    last = nodes[-1]
+                    batch = batch.take(pa.array(fresh, pa.int32()))
+                    sets = ngram_sets(batch.column(3).to_pylist(), n)
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "copies", "places", "grams"])
+
+        kind = placed.schema["places"].dataType.simpleString()
+        sets = wanted.mapInArrow(grams, f"node long, copies long, places {kind}, grams binary").select("node", "copies", "grams", F.explode("places").alias("p"))
+        own = sets.select("node", "copies", "grams", "p.*").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        keys = F.concat_ws("/", "cell", F.least("own", "other").cast("string"), F.greatest("own", "other").cast("string"))
+        dealt = dealt.select(keys.alias("cell"), F.when(F.col("own") == F.col("other"), WITHIN).otherwise((F.col("own") > F.col("other")).cast("int")).alias("side"), "node", "copies", "earlier", "grams")
+        checked = stored(verified(dealt.repartition(F.col("cell")).sortWithinPartitions("cell", "side", "node"), n, similarity), "verified")
+    found = stored(components(checked.select(F.col("node").alias("a"), F.col("root").alias("b"))), "classes_found")
+    links = checked.groupBy("node").agg(F.sum("links").alias("links"))
+    of_text = texts.join(links, "node", "left").join(found, "node", "left").select("text_key", "rep", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), (F.size("bands") > 0).alias("filled"))
+    heads = of_text.join(found.select("component").distinct(), "component").groupBy("component").agg(F.min(F.struct("rep", "text_key")).alias("head"))
+    told = of_text.join(heads, "component", "left").select("text_key", "rep", "filled", "n_links", F.coalesce("head", F.struct("rep", "text_key")).alias("head"))
+    out = signed.select("doc_id", "text_key").join(told, "text_key").select(
+        "doc_id", "text_key", F.when(F.col("filled"), F.col("head.rep")).otherwise(F.col("doc_id")).alias("class_id"), F.when(F.col("filled"), F.col("n_links")).otherwise(0).cast("long").alias("n_links"),
+        (~F.col("filled") | (F.col("doc_id") == F.col("head.rep")) & (F.col("text_key") == F.col("head.text_key"))).alias("stays"),
+    )
+    result = stored(out, "judged")
+    dropped(signed, texts, checked, found)
+    return result
 
 
 def classes(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (4, 5), recall: float = 0.999, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """(doc_id, class_id, n_links): smallest id of the class, and number of other documents linked directly."""
-    small_batches(docs.sparkSession)
     nameless = docs.where("doc_id is null").select(docs["doc_id"].cast("long"), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    docs = docs.where("doc_id is not null")
-    bands = bands_for(similarity[0] / similarity[1], recall, rows)
-    signed = stored(signatures(docs, n, bands, rows), "signatures")
-    texts = signed.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max(F.size("bands")).alias("filled"))
-    texts = stored(texts, "texts")
-    banded = signed.join(texts.select("text_key", "rep"), "text_key").where("doc_id = rep").select("rep", F.explode("bands").alias("band")).distinct()
-    buckets = banded.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    stars = banded.join(buckets.select("band", "hub"), "band").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
-    groups = stored(components(stars).select(F.col("node").alias("rep"), F.col("component").alias("candidates")), "candidates")
-
-    sizes = groups.groupBy("candidates").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    member = groups.join(sizes, "candidates").join(texts.select("rep", "copies"), "rep").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    wanted = docs.select(docs["doc_id"].cast("long").alias("rep"), docs["text"]).join(member, "rep")
-
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                sets = ngram_sets(batch.column(batch.schema.get_field_index("text")).to_pylist(), n)
-                yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in ("candidates", "blocks", "own", "rep", "copies")), pa.array([s.tobytes() for s in sets], pa.binary())], names=["candidates", "blocks", "own", "rep", "copies", "grams"])
-
-    sets = wanted.mapInArrow(grams, "candidates long, blocks int, own int, rep long, copies long, grams binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    celled = sets.select("candidates", "own", "rep", "copies", "grams", other).select(
-        F.struct("candidates", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).alias("key"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "copies", "grams"
-    )
-    cells = celled.select(F.concat_ws("/", "key.candidates", "key.i", "key.j").alias("cell"), "side", "rep", "copies", "grams").repartition(F.col("cell")).sortWithinPartitions("cell", "side", "rep")
-    checked = stored(verified(cells, n, similarity), "verified")
-    found = components(checked.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    links = checked.groupBy("rep").agg(F.sum("links").alias("links"))
-    judged = texts.join(links, "rep", "left").join(found, texts["rep"] == found["node"], "left").select("text_key", "rep", "filled", F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return signed.select("doc_id", "text_key").join(judged, "text_key").select("doc_id", F.when(F.col("filled") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(F.col("filled") > 0, F.col("n_links")).otherwise(0).cast("long").alias("n_links")).unionByName(nameless)
+    return judged(docs, n, similarity, recall, rows, block).select("doc_id", "class_id", "n_links").unionByName(nameless)
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs but for one document of each class; rows equal in id and text are one document; rows without an id stay."""
+    found = judged(docs)
+    own = docs.withColumn(KEY, text_key(docs))
+    ids = found.select(F.col("doc_id").alias(f"{KEY}:id"), F.col("text_key").alias(f"{KEY}:text"), "stays")
+    same = (own["doc_id"].cast("long") == F.col(f"{KEY}:id")) & (own[KEY] == F.col(f"{KEY}:text"))
+    kept = own.join(ids.where("not stays").distinct(), same, "left_anti")
+    again = stored(ids.where("stays").groupBy(f"{KEY}:id", f"{KEY}:text").count().where("count > 1"), "repeated_rows")
+    if not again.isEmpty():
+        same = (kept["doc_id"].cast("long") == F.col(f"{KEY}:id")) & (kept[KEY] == F.col(f"{KEY}:text"))
+        kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", KEY]))
+    return kept.drop(KEY)
+
+
+#: A column name that no table uses.
+KEY = "jaccard:text_key"
 
 
 #: DuckDB SQL for ``classes`` over ``documents``: all pairs that share an n-gram, and components by recursion.

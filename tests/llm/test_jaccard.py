@@ -51,6 +51,23 @@ def test_group_larger_than_a_block(spark):
     assert rows_of(jaccard.classes(documents(spark, rows), block=8)) == brute(rows)
 
 
+def test_texts_that_share_an_id(spark):
+    a, b = prose(60, 11), prose(60, 12)
+    rows = [(5, a), (5, b), (6, a), (7, b), (8, a + " word"), (8, prose(40, 13)), (9, b), (9, b)]
+    assert rows_of(jaccard.classes(documents(spark, rows))) == brute(rows)
+    kept = sorted((r["doc_id"], r["text"]) for r in jaccard.one_of_each(documents(spark, [*rows, (None, a), (10, None), (10, None), (11, "")])).collect() if r["doc_id"] is not None)
+    assert [k for k in kept if k[0] < 10] == sorted([(5, a), (5, b), (8, rows[5][1])]) and [k[0] for k in kept if k[0] >= 10] == [10, 11]
+
+
+def test_chain_is_cut_into_its_buckets(spark):
+    words = prose(2000, 14).split()
+    rows = [(i, " ".join(words[9 * i : 9 * i + 100])) for i in range(200)] + [(300 + i, " ".join(words[300:400])) for i in range(5)]
+    assert rows_of(jaccard.classes(documents(spark, rows), block=4)) == brute(rows)
+    signed = jaccard.signatures(documents(spark, rows), 5, 20, 6).withColumnRenamed("doc_id", "node")
+    places = [p for r in jaccard.cells(signed, 4).collect() for p in r["places"]]
+    assert any(p["cell"].endswith("b") for p in places)
+
+
 def test_empty_table(spark):
     assert jaccard.classes(documents(spark, [])).count() == 0
 

@@ -9,7 +9,8 @@ from granary.llm import embeddings, registry
 
 
 def brute(rows: list[tuple[int, list | None]], limit: float = 0.95) -> list[tuple]:
-    sound = [(i, np.array(v, np.float64)) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    is_sound = lambda i, v: i is not None and bool(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)
+    sound = [(i, np.array(v, np.float64)) for i, v in rows if is_sound(i, v)]
     parent = list(range(len(sound)))
 
     def top(k: int) -> int:
@@ -29,7 +30,7 @@ def brute(rows: list[tuple[int, list | None]], limit: float = 0.95) -> list[tupl
     for k, (i, _) in enumerate(sound):
         least[top(k)] = min(i, least.get(top(k), i))
     out = [(i, n_links[k], least[top(k)], i == least[top(k)]) for k, (i, _) in enumerate(sound)]
-    out += [(i, 0, i, True) for i, v in rows if not (v and all(x is not None and np.isfinite(x) for x in v) and any(v))]
+    out += [(i, 0, i, i is not None) for i, v in rows if not is_sound(i, v)]
     return sorted(out, key=repr)
 
 
@@ -49,6 +50,24 @@ def test_edges_and_many_cells(spark):
     assert rows_of(got) == brute(rows)
 
 
+def test_ids_that_are_null_or_repeat(spark):
+    draw = np.random.default_rng(5)
+    base = draw.normal(size=(6, 8))
+    near = lambda k: (base[k] + 0.03 * draw.normal(size=8)).tolist()
+    rows = [(1, near(0)), (1, near(0)), (1, near(1)), (2, near(1)), (None, near(0)), (None, None), (3, near(2)), (4, near(2)), (4, near(3)), (5, near(3)), (5, near(4))]
+    assert rows_of(embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), per_pivot=3, block=2)) == brute(rows)
+
+
+def test_bounds_prune_where_the_data_have_structure():
+    draw = np.random.default_rng(6)
+    tight = np.repeat(draw.normal(size=(40, 32)), 50, 0) + 0.02 * draw.normal(size=(2000, 32))
+    x = embeddings.unit(tight)
+    pivots = embeddings.farthest_first(x, 40)
+    d = embeddings.distances(x, pivots)
+    own = d.min(1)
+    assert (d <= own[:, None] + 2 * np.sqrt(0.1)).sum() < 0.1 * d.size
+
+
 def test_tiny_and_large_components(spark):
     rows = [(1, [1e-300, 1e-300]), (2, [1e300, 1e300]), (3, [1.0, -1.0])]
     got = rows_of(embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))

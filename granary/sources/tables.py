@@ -94,6 +94,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder of this name, on any file system that Spark can read."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(found)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete the files of tables made by ``stored`` once nothing reads them any more."""
     for df in tables:

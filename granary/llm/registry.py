@@ -19,7 +19,7 @@ BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without bytes of 50-byte strings that documents with smaller ids hold."""
-    left = suffix_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    left = suffix_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), ("kept_bytes",))
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
 
 
@@ -39,7 +39,7 @@ def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rollup of all documents' tokens after a load, revisions, deletes of exact copies, and a replay.
 
-    Batch 1 loads every document under two tokenizer versions, batch 2 revises
+    Counts are stored once; then batch 1 loads every document under two tokenizer versions, batch 2 revises
     the first version's counts by the end-of-document id, batch 3 deletes every
     document that copies one with a smaller id, and batch 2 is then committed
     again, which changes nothing.
@@ -59,7 +59,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     token_counts.commit(revised, store, 2)
     token_counts.commit(deleted, store, 3)
     token_counts.commit(revised, store, 2)
-    return token_counts.totals(spark, store, [1, 2, 3])
+    return token_counts.totals(spark, store)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,11 +11,11 @@
    a window is full, so that only the very last sequence can need padding.
 
 A tail's place follows from its rank among the tails of its length, which is
-found per (length, hash bucket) with running totals over buckets, so that no
-task sees a whole length class.  Tail ids are moved once, keyed by row.
+found per (length, hash bucket) with running totals over buckets; a length has as
+many buckets as its count asks for, so that no task sees a whole length class.  Tail ids are moved once, keyed by row.
 
 Defined results: a null text is an empty text, which is one end id.  Repeated
-rows are documents of their own.  An empty table gives no pieces.  Texts may be
+rows are documents of their own; a null doc_id is kept as it is.  An empty table gives no pieces.  Texts may be
 of any length.  Other columns of the input, whatever their names, are ignored.
 """
 
@@ -32,10 +32,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from granary.llm.bpe import encode_text, rank_file_encoding
-from granary.sources.tables import small_batches, stored
+from granary.sources.tables import dropped, stored, text_batches
 
 #: Sequence ids of whole windows start here, those of packed tails at 0.
 WHOLE_BASE = 1 << 60
+#: Tails of one length that are ranked in a task, about.
+BUCKET_ROWS = 20_000
 #: Combinations are enumerated over this many of the most frequent lengths for three parts; pairs cover all lengths.
 TRIPLE_LENGTHS = 96
 #: Characters on which every version of Unicode agrees about letters, numbers and white space.
@@ -164,9 +166,14 @@ def plan(histogram: np.ndarray, window: int) -> tuple[list[tuple[int, int, int,
     return runs, stream, sequence
 
 
-def ranked(tails: DataFrame, buckets: int = 256) -> DataFrame:
-    """(row_key, tail_length, tail_rank): ranks 0.. within a length, without gathering a length anywhere."""
-    keyed = tails.select("row_key", "tail_length", F.pmod(F.xxhash64("row_key"), F.lit(buckets)).alias("bucket"))
+def ranked(tails: DataFrame, histogram: np.ndarray, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(row_key, tail_length, tail_rank): ranks 0.. within a length, without gathering a length anywhere.
+
+    ``histogram`` counts the lengths; the table of buckets per length has a row per length below the window.
+    """
+    spark = tails.sparkSession
+    buckets = spark.createDataFrame([(int(n), int(-(-histogram[n] // bucket_rows))) for n in np.flatnonzero(histogram)], "tail_length int, buckets int")
+    keyed = tails.select("row_key", "tail_length").join(F.broadcast(buckets), "tail_length").select("row_key", "tail_length", F.pmod(F.xxhash64("row_key"), F.col("buckets")).alias("bucket"))
     before = Window.partitionBy("tail_length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = keyed.groupBy("tail_length", "bucket").agg(F.count("*").alias("n")).select("tail_length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     within = keyed.withColumn("nth", F.row_number().over(Window.partitionBy("tail_length", "bucket").orderBy("row_key")) - 1)
@@ -174,9 +181,9 @@ def ranked(tails: DataFrame, buckets: int = 256) -> DataFrame:
 
 
 def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str, pattern: str, window: int = 2048, end_id: int = 1) -> DataFrame:
-    """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, piece_ids for tails)."""
-    small_batches(docs.sparkSession)
-    cut = stored(cut_documents(docs, window, tokenizer_path, ranks_path, pattern, end_id), "packing_cut")
+    """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), as a stored table."""
+    with text_batches(docs.sparkSession):
+        cut = stored(cut_documents(docs, window, tokenizer_path, ranks_path, pattern, end_id), "packing_cut")
     whole = cut.select("doc_id", "doc_tokens", "first_window", F.posexplode("window_crcs").alias("i", "ids_crc32")).select(
         "doc_id", (F.col("i") * window).cast("long").alias("start"), F.lit(window).cast("long").alias("length"), "ids_crc32", "doc_tokens", (F.col("first_window") + F.col("i")).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )
@@ -213,6 +220,9 @@ def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str, pattern: str, wi
                 out += [(doc_id, start + a, n, zlib.crc32(ids[4 * a : 4 * (a + n)]), doc_tokens, sequence, offset) for a, n, sequence, offset in cuts]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in (zip(*out, strict=True) if out else [()] * 7)], names=names)
 
-    moved = tails.select("row_key", "doc_id", "doc_tokens", "tail_ids").join(ranked(tails), "row_key").select("doc_id", "doc_tokens", "tail_ids", "tail_length", "tail_rank")
+    moved = tails.select("row_key", "doc_id", "doc_tokens", "tail_ids").join(ranked(tails, histogram), "row_key").select("doc_id", "doc_tokens", "tail_ids", "tail_length", "tail_rank")
     placed = moved.mapInArrow(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
-    return whole.unionByName(placed)
+    with text_batches(docs.sparkSession):
+        result = stored(whole.unionByName(placed), "packing_pieces")
+    dropped(cut)
+    return result

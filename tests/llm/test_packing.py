@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from fixtures import documents, prose, with_clashing_columns
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from granary.llm import packing, registry
@@ -90,3 +91,17 @@ def test_least_squares_fits_a_solvable_histogram():
         for v in combo[combo > 0]:
             histogram[v] += times
     assert np.allclose(packing.nonnegative_least_squares(combos, histogram), (50, 20, 10), atol=0.5)
+
+
+def test_ranks_of_one_hot_length(spark):
+    tails = spark.range(5000).select(F.col("id").alias("row_key"), F.when(F.col("id") % 3 < 2, 1).otherwise(F.col("id") % 40 + 1).cast("int").alias("tail_length"))
+    lengths = [r["tail_length"] for r in tails.collect()]
+    ranks = defaultdict(list)
+    for r in packing.ranked(tails, np.bincount(lengths, minlength=WINDOW), bucket_rows=100).collect():
+        ranks[r["tail_length"]].append(r["tail_rank"])
+    assert all(sorted(x) == list(range(len(x))) for x in ranks.values()) and sum(map(len, ranks.values())) == 5000
+
+
+def test_null_id(spark):
+    rows = packing.pack(documents(spark, [(None, prose(30, 1)), (1, "a")]), registry.BPE_FILE, registry.BPE_RANKS, public_tokenizers.PATTERN).collect()
+    assert sorted((r["doc_id"] is None, r["start"]) for r in rows) == [(False, 0), (True, 0)]

@@ -52,7 +52,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.rows import whole
+from granary.llm.rows import text_key, whole
 from granary.sources.tables import dropped, small_batches, stored, text_batches
 
 LENGTH = 50
@@ -63,8 +63,8 @@ WINDOW = LENGTH - GRAM + 1
 LEAST_BYTES, MOST_BYTES = 1 << 20, 32 << 20
 #: Bytes of a block for each exchange row that it sends, on average, once blocks are larger than the least.
 BYTES_PER_ROW = 512
-#: Text bytes hashed at a time, in such units, per bucket of minimizers.
-BUCKET_UNITS = 8
+#: Text bytes hashed at a time, and per bucket of minimizers, in units of the least size of a block.
+CHUNK_UNITS, BUCKET_UNITS = 4, 8
 #: Blocks, or key ranges, that a task takes one after the other.
 PER_TASK = 4
 #: Range limits are taken from so many keys a range, of at least so many blocks; they steer balance only.
@@ -72,7 +72,7 @@ SAMPLE_KEYS, SAMPLE_BLOCKS = 16, 16
 #: Text bytes whose minimizers are found at a time, so that the arrays stay in a processor's cache.
 CACHE_BYTES = 1 << 17
 U64 = np.uint64
-TOP = U64(0xFFFFFFFFFFFFFFFF)
+TOP = np.uint32(0xFFFFFFFF)
 
 
 # ---- small helpers
@@ -212,11 +212,12 @@ def minimizers(data: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.nda
                 done += size
         h = (h ^ (h >> U64(29))) * U64(0xBF58476D1CE4E5B9)
         h ^= h >> U64(32)
+    order = np.minimum((h >> U64(32)).astype(np.uint32), TOP - np.uint32(1))  # half of each hash decides; ties are all taken
     for end in limits[1:-1]:
-        h[max(0, end - GRAM + 1) : end] = TOP
-    least = slide(h, WINDOW, np.minimum)
-    pad = np.zeros(WINDOW - 1, U64)
-    at = np.flatnonzero((slide(np.concatenate([pad, least, pad]), WINDOW, np.maximum) == h) & (h != TOP))
+        order[max(0, end - GRAM + 1) : end] = TOP
+    least = slide(order, WINDOW, np.minimum)
+    pad = np.zeros(WINDOW - 1, np.uint32)
+    at = np.flatnonzero((slide(np.concatenate([pad, least, pad]), WINDOW, np.maximum) == order) & (order != TOP))
     return at, h[at]
 
 
@@ -750,11 +751,6 @@ def removals(both: DataFrame) -> DataFrame:
     return both.mapInArrow(decide, "text_key binary, from_bytes binary, to_bytes binary")
 
 
-def text_key(docs: DataFrame):
-    """16 bytes that stand for a text."""
-    return F.unhex(F.substring(F.sha2(F.coalesce(docs["text"], F.lit("")), 256), 1, 32))
-
-
 def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(text_key, spans) of the distinct texts that lose something, and (text_key, rep) of all."""
     spark = docs.sparkSession
@@ -764,7 +760,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     chunk = unit_bytes(size)
     buckets = max(1, math.ceil(size / (BUCKET_UNITS * chunk)))
     with text_batches(spark):
-        places = shared_places(anchors(keyed, buckets, chunk), buckets)
+        places = shared_places(anchors(keyed, buckets, CHUNK_UNITS * chunk), buckets)
         rows = keyed.join(places.join(firsts.select("text_key", "rep"), "text_key"), "text_key").where("doc_id = rep").select("doc_id", "text_key", F.col("text").cast("binary").alias("text"), "places")
         parts = stored(stretches(rows), "stretches")
         total = parts.agg(F.sum(F.octet_length("data"))).first()[0] or 0
@@ -803,15 +799,22 @@ def sorted_out(current: DataFrame, total: int) -> DataFrame:
     return current
 
 
-def cut_texts(docs: DataFrame) -> DataFrame:
-    """(row, text, found): the columns but text as ``row``, the text, and ``found`` with n_bytes, n_removed, n_spans, kept_bytes, kept_text."""
+ADDED = ("n_bytes", "n_removed", "n_spans", "kept_bytes", "kept_text")
+
+
+def cut_texts(docs: DataFrame, kept: tuple[str, ...]) -> DataFrame:
+    """(row, text, found): the columns but text as ``row``, the text, and ``found`` with n_bytes, n_removed, n_spans and, if wanted, kept_bytes and kept_text."""
     spans, firsts = repeated_spans(docs)
     key = F.when(docs["doc_id"].isNotNull(), text_key(docs))
     base = docs.select(whole(docs, ("text",)).alias("row"), docs["text"].alias("text"), key.alias("key"), docs["doc_id"].cast("long").alias("id"))
     spans = spans.select(F.col("text_key").alias("span_key"), "spans")
     told = base.join(firsts.join(spans, F.col("text_key") == F.col("span_key"), "left"), F.col("key") == F.col("text_key"), "left")
 
-    @F.arrow_udf("struct<n_bytes long, n_removed long, n_spans long, kept_bytes binary, kept_text string>")
+    added = [*ADDED[:3], *kept]
+    kinds = [pa.int64()] * 3 + [pa.binary() if c == "kept_bytes" else pa.string() for c in kept]
+    want_text = "kept_text" in kept
+
+    @F.arrow_udf(f"struct<n_bytes long, n_removed long, n_spans long, {', '.join(c + (' binary' if c == 'kept_bytes' else ' string') for c in kept)}>")
     def cut(texts: pa.Array, copies: pa.Array, spans: pa.Array) -> pa.Array:
         rows = []
         for text, copy, lost in zip(texts, copies.to_pylist(), spans, strict=True):
@@ -819,40 +822,35 @@ def cut_texts(docs: DataFrame) -> DataFrame:
             if copy and len(raw) >= LENGTH:
                 rows.append((len(raw), len(raw), 1, b"", ""))
                 continue
-            kept, at, n = [], 0, 0
+            pieces, at, n = [], 0, 0
             if lost.is_valid and len(lost):
                 found = sorted((s, e) for x in lost.as_py() for s, e in zip(expand(x["from_bytes"], np.int64).tolist(), expand(x["to_bytes"], np.int64).tolist(), strict=True))
                 for s, e in zip(*(x.tolist() for x in joined_intervals(*map(np.array, zip(*found, strict=True)))), strict=True):
-                    kept.append(raw[at:s])
+                    pieces.append(raw[at:s])
                     at, n = e, n + 1
-            kept.append(raw[at:])
-            left = b"".join(kept)
-            clean = left.decode() if not n else "".join(x.decode(errors="ignore") for x in kept)
-            rows.append((len(raw), len(raw) - len(left), n, left, clean if text.is_valid else None))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
-        return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=list(ADDED))
+            pieces.append(raw[at:])
+            left = b"".join(pieces)
+            clean = None if not want_text or not text.is_valid else text.as_py() if not n else "".join(x.decode(errors="ignore") for x in pieces)
+            rows.append((len(raw), len(raw) - len(left), n, left, clean))
+        return pa.StructArray.from_arrays([pa.array([r[ADDED.index(c)] for r in rows], k) for c, k in zip(added, kinds, strict=True)], names=added)
 
     small_batches(docs.sparkSession)
     return told.select("row", "text", cut("text", F.coalesce(F.col("id") > F.col("rep"), F.lit(False)), "spans").alias("found"))
 
 
-ADDED = ("n_bytes", "n_removed", "n_spans", "kept_bytes", "kept_text")
-
-
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, kept: tuple[str, ...] = ADDED[3:]) -> DataFrame:
     """Input columns with n_bytes, n_removed, n_spans, kept_bytes and kept_text (null where the text is null).
 
     kept_bytes is what is left, byte by byte; kept_text is the same without
-    characters that lost some of their bytes.  Input columns of these names are
+    characters that lost some of their bytes; ``kept`` names those wanted.  Input columns of these names are
     replaced.
     """
-    kept = [c for c in docs.columns if c.lower() not in ADDED]
-    columns = [F.col("text") if c.lower() == "text" else F.col("row")[c].alias(c) for c in kept]
-    return cut_texts(docs).select(*columns, "found.*")
+    columns = [F.col("text") if c.lower() == "text" else F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in ADDED]
+    return cut_texts(docs, kept).select(*columns, "found.*")
 
 
 def replaced_text(docs: DataFrame) -> DataFrame:
     """The columns of docs with what is left of each text in place of it, and n_chars, where there is such a column, of it."""
     left = {"text": F.col("found.kept_text"), "n_chars": F.char_length("found.kept_text")}
     columns = [(left[c.lower()].cast(docs.schema[c].dataType) if c.lower() in left else F.col("row")[c]).alias(c) for c in docs.columns]
-    return cut_texts(docs).select(*columns)
+    return cut_texts(docs, ("kept_text",)).select(*columns)

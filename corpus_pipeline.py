@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from granary.llm import jaccard, language, packing, pii, suffix_dedup
 from granary.llm.rows import whole
-from granary.sources.tables import stored, table
+from granary.sources.tables import dropped, stored, table
 
 #: A document's main language must have at least this share of it.
 LEAST_SHARE = 0.5
@@ -47,9 +47,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates, that with the smallest id."""
-    others = jaccard.classes(docs).where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti")
+    """One document of each class of near duplicates: of those with the smallest id, rows of one text; equal rows become one."""
+    return jaccard.one_of_each(docs)
 
 
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -84,7 +83,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES, 1):
-        docs = stage(spark, docs, sf_dir)
+        following = stage(spark, docs, sf_dir)
         if i < len(STAGES):
-            docs = stored(docs, f"stage_{name}")
+            following = stored(following, f"stage_{name}")
+        if i > 1:
+            dropped(docs)
+        docs = following
     return docs

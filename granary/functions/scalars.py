@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -75,11 +76,21 @@ def _day(year: Column, month: Column, day: Column) -> Column:
     return F.when(F.month(rolled) == month, rolled)
 
 
-def _number(text: Column, pattern: str, group: int) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit("")).cast("int")
+ISO, NAMED, SLASHED = r"^\d{4}-\d{1,2}-\d{1,2}$", r"^\d{1,2}[ -][A-Za-z]{3}[a-z]*[ ,-]+(?:\d{4}|\d{2})$", r"^\d{1,2}[/.-]\d{1,2}[/.-](?:\d{4}|\d{2})$"
 
 
-ISO, NAMED, SLASHED = r"^\s*(\d{4})-(\d{1,2})-(\d{1,2})\s*$", r"^\s*(\d{1,2})[ -]([A-Za-z]{3})[a-z]*[ ,-]+(\d{4}|\d{2})\s*$", r"^\s*(\d{1,2})[/.-](\d{1,2})[/.-](\d{4}|\d{2})\s*$"
+def _written_day(text: Column, day: Callable[[Column], Column]) -> Column:
+    """``day`` of a struct (form, a, b, c): which of the three forms a text has, and its numbers in order; null for other texts.
+
+    The struct is the only element of an array, so it is made once however often ``day`` reads it.
+    """
+    bare = F.btrim(text, F.lit(" \t\n\r\x0b\f"))
+    token = F.split(bare, "[ /.,-]+")
+    form = F.when(bare.rlike(ISO), "iso").when(bare.rlike(NAMED), "named").when(bare.rlike(SLASHED), "slashed")
+    month = F.nullif(F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(F.get(token, F.lit(1)), 1, 3))), F.lit(0)).cast("int")
+    number = lambda i: F.get(token, F.lit(i)).try_cast("int")
+    parts = F.struct(form.alias("form"), number(0).alias("a"), F.coalesce(number(1), month).alias("b"), number(2).alias("c"))
+    return F.get(F.transform(F.array(parts), lambda p: F.when(p["form"].isNotNull(), day(p))), F.lit(0))
 
 
 def _century(year: Column, pivot: int | None) -> Column:
@@ -90,26 +101,22 @@ def _century(year: Column, pivot: int | None) -> Column:
 
 def clinical_day(text: Column) -> Column:
     """A day from ISO, ``DD Mon YYYY`` or ``DD/MM/YYYY``; two-digit years are 20xx; days beyond a month's end roll over."""
-    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.regexp_extract(text, NAMED, 2))).cast("int")
-    forms = (
-        _rolled_day(_number(text, ISO, 1), _number(text, ISO, 2), _number(text, ISO, 3)),
-        _rolled_day(_century(_number(text, NAMED, 3), None), F.when(month > 0, month), _number(text, NAMED, 1)),
-        _rolled_day(_century(_number(text, SLASHED, 3), None), _number(text, SLASHED, 2), _number(text, SLASHED, 1)),
-    )
-    return F.coalesce(*forms)
+
+    def day(p: Column) -> Column:
+        iso = p["form"] == "iso"
+        return _rolled_day(F.when(iso, p["a"]).otherwise(_century(p["c"], None)), p["b"], F.when(iso, p["c"]).otherwise(p["a"]))
+
+    return _written_day(text, day)
 
 
 def strict_day(text: Column) -> Column:
     """As ``clinical_day`` with a pivot of 80 for two-digit years, day and month swapped where only that fits, and real days only."""
-    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.regexp_extract(text, NAMED, 2))).cast("int")
-    a, b, year = (_number(text, SLASHED, k) for k in (1, 2, 3))
-    swap = (b > 12) & (a <= 12)
-    forms = (
-        _day(_number(text, ISO, 1), _number(text, ISO, 2), _number(text, ISO, 3)),
-        _day(_century(_number(text, NAMED, 3), 80), F.when(month > 0, month), _number(text, NAMED, 1)),
-        _day(_century(year, 80), F.when(swap, a).otherwise(b), F.when(swap, b).otherwise(a)),
-    )
-    return F.coalesce(*forms)
+
+    def day(p: Column) -> Column:
+        iso, swap = p["form"] == "iso", (p["form"] == "slashed") & (p["b"] > 12) & (p["a"] <= 12)
+        return _day(F.when(iso, p["a"]).otherwise(_century(p["c"], 80)), F.when(swap, p["a"]).otherwise(p["b"]), F.when(iso, p["c"]).when(swap, p["b"]).otherwise(p["a"]))
+
+    return _written_day(text, day)
 
 
 def amount(text: Column) -> Column:

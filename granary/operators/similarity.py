@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from granary.functions.scalars import plain_name
 from granary.operators.relational import first_per
+from granary.sources.tables import stored
 
 
 def first_of_equal(rows: DataFrame, digest: Column, id_column: str) -> DataFrame:
@@ -18,15 +20,15 @@ def first_of_equal(rows: DataFrame, digest: Column, id_column: str) -> DataFrame
     of all rows share sends one row per task; the join back is on the digest and
     Spark splits it where it is skewed.
     """
-    keyed = rows.select(id_column, digest.alias("_digest"))
+    keyed = stored(rows.select(id_column, digest.alias("_digest")), "digests")  # digests are made once
     first = keyed.where("_digest is not null").groupBy("_digest").agg(F.min(id_column).alias("canonical_id"))
     return keyed.join(first, "_digest", "left").select(id_column, F.coalesce("canonical_id", id_column).alias("canonical_id"))
 
 
 def text_digest(text: Column) -> Column:
     """SHA-256 of a text's lower-case ASCII letters and digits; null if none are left."""
-    bare = plain_name(F.coalesce(text, F.lit("")))
-    return F.when(bare != "", F.sha2(bare, 256))
+    digest = F.sha2(plain_name(F.coalesce(text, F.lit(""))), 256)
+    return F.nullif(digest, F.lit(hashlib.sha256(b"").hexdigest()))
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
@@ -68,8 +70,6 @@ def most_alike(cases: DataFrame, k: int) -> DataFrame:
     first step grows with the square of a class; each task keeps k rows a case
     before the shuffle of the ranking.
     """
-    from granary.sources.tables import stored
-
     known = stored(cases.select("case_id", "opened", "panel", "kind", "priority", "claimed"), "cases")
     q, c = known.alias("q"), known.alias("c")
     equal = lambda x: F.col(f"q.{x}") == F.col(f"c.{x}")
@@ -124,30 +124,17 @@ def clusters(rows: DataFrame, pairs: DataFrame, group: str, value: str) -> DataF
 def clustered_names(names: DataFrame, claim: str, limit: float = 0.3) -> DataFrame:
     """(claim, name, cluster): names by falling weight, each joining the first cluster near enough, else opening one.
 
-    The result depends on that order, so a claim's names (few by nature) are
-    taken in one pandas group; input columns are claim, name, weight.
+    The result depends on that order, so a claim's distinct names (few by
+    nature) are folded in one array; input columns are claim, name, weight.
     """
-    import pandas as pd
-
-    def distance(a: str, b: str) -> float:
-        before = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            row = [i]
-            for j, y in enumerate(b, 1):
-                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
-            before = row
-        return before[-1] / max(1, len(a), len(b))
-
-    def attach(group: pd.DataFrame) -> pd.DataFrame:
-        heads: list[str] = []
-        found = []
-        ordered = group.sort_values(["weight", "name"], ascending=[False, True])
-        for name in ordered["name"]:
-            head = next((h for h in heads if distance(name, h) <= limit), None)
-            if head is None:
-                heads.append(head := name)
-            found.append(head)
-        return pd.DataFrame({claim: ordered[claim], "name": ordered["name"], "cluster": found})
-
-    kind = names.schema[claim].dataType.simpleString()
-    return names.groupBy(claim, "name").agg(F.sum("weight").alias("weight")).groupBy(claim).applyInPandas(attach, f"{claim} {kind}, name string, cluster string")
+    distance = lambda a, b: F.levenshtein(a, b) / F.greatest(F.lit(1), F.length(a), F.length(b))
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), F.col("name").alias("name"))))
+    start = F.struct(F.array().cast("array<string>").alias("heads"), F.array().cast("array<struct<name:string,cluster:string>>").alias("found"))
+
+    def attach(acc: Column, x: Column) -> Column:
+        near = F.get(F.filter(acc["heads"], lambda h: distance(x["name"], h) <= limit), F.lit(0))
+        heads = F.when(near.isNull(), F.concat(acc["heads"], F.array(x["name"]))).otherwise(acc["heads"])
+        return F.struct(heads.alias("heads"), F.concat(acc["found"], F.array(F.struct(x["name"].alias("name"), F.coalesce(near, x["name"]).alias("cluster")))).alias("found"))
+
+    summed = names.groupBy(claim, "name").agg(F.sum("weight").alias("weight"))
+    return summed.groupBy(claim).agg(ordered.alias("l")).select(claim, F.inline(F.aggregate("l", start, attach, lambda acc: acc["found"])))

@@ -46,9 +46,13 @@ def d4_page_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sim.clusters(pages, pairs, "claim", "h")
 
 
-@plans.query()
+@plans.query("""with recursive n as (select l_orderkey, split_part(p_name, ' ', 1) as name, sum(l_quantity) as weight from lineitem join part on l_partkey = p_partkey group by all),
+o as (select *, row_number() over (partition by l_orderkey order by weight desc, name) as k from n),
+g as (select l_orderkey, k, name, name as cluster, [name] as heads from o where k = 1
+union all select l_orderkey, k, name, coalesce(near, name), case when near is null then list_append(heads, name) else heads end from (select o.l_orderkey, o.k, o.name, g.heads, list_filter(g.heads, lambda h: levenshtein(o.name, h) / greatest(1, length(o.name), length(h)) <= 0.3)[1] as near from g join o on o.l_orderkey = g.l_orderkey and o.k = g.k + 1))
+select l_orderkey, name, cluster from g""")
 def d12_name_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of a claim attached greedily to the first near cluster (of D12, without its seed prior; order-dependent; tested on its own)."""
+    """Names of a claim attached greedily to the first near cluster (of D12, without its seed prior; order-dependent)."""
     part, lines = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
     names = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", F.split("p_name", " ")[0].alias("name"), F.col("l_quantity").alias("weight"))
     return sim.clustered_names(names, "l_orderkey")

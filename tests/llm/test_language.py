@@ -52,3 +52,55 @@ def test_mixture_raises_likelihood():
     p = np.array([[0.7, 0.1], [0.2, 0.2], [0.1, 0.7]])
     share, value = language.mixture(p, np.array([5.0, 1.0, 5.0]))
     assert np.allclose(share, 0.5, atol=1e-6) and value > 5 * np.log(0.7) + np.log(0.2) + 5 * np.log(0.1)
+
+
+def plain_proportions(probabilities, text):
+    """EM and forward selection in plain loops: every language is tried at each step."""
+    import math
+    from collections import Counter
+
+    counts = {int(c): n / language.OVERLAP for c, n in Counter(language.cells(text).tolist()).items()}
+    if not counts:
+        return None
+    total = sum(counts.values())
+
+    def fit(chosen):
+        share = {j: 1 / len(chosen) for j in chosen}
+        for _ in range(language.ROUNDS):
+            new = dict.fromkeys(chosen, 0.0)
+            for c, n in counts.items():
+                mix = sum(share[j] * probabilities[c][j] for j in chosen)
+                for j in chosen:
+                    new[j] += n * share[j] * probabilities[c][j] / mix
+            share = {j: v / total for j, v in new.items()}
+        return share, sum(n * math.log(sum(share[j] * probabilities[c][j] for j in chosen)) for c, n in counts.items())
+
+    languages = range(len(probabilities[0]))
+    share, best = max(((fit([j]), -j) for j in languages), key=lambda x: (x[0][1], x[1]))[0]
+    penalty = 0.5 * math.log(max(2.0, total)) + 2.0
+    while len(share) < len(languages):
+        tried = max((fit([*share, j]) for j in languages if j not in share), key=lambda x: x[1])
+        if tried[1] - best <= penalty:
+            break
+        share, best = tried
+    return [share.get(j, 0.0) for j in languages]
+
+
+def test_equals_plain_mixtures(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    _, probabilities = language.train(docs)
+    texts = [r["text"] for r in docs.orderBy("doc_id").limit(40).collect()]
+    texts = [t[:400] for t in texts if t] + [texts[0][:300] + " " + texts[k][:300] for k in range(1, 12) if texts[0] and texts[k]] + ["", "1 2", None]
+    plain = probabilities.tolist()
+    for text in texts:
+        want, got = plain_proportions(plain, text), language.proportions(probabilities, text)
+        assert (want is None) == (got is None)
+        if want is not None:
+            assert abs(np.array(want) - got).max() < 1e-6, text
+
+
+def test_ties_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "la casa"), (1, "la casa"), (2, "la casa")], "doc_id long, text string")
+    flat = np.full((language.CELLS, 2), 1 / language.CELLS)
+    rows = language.predict(docs, ["aa", "bb"], flat).collect()
+    assert {(r["lang_pred"], r["score"]) for r in rows} == {("aa", 1.0)} and len(rows) == 3

@@ -97,3 +97,19 @@ def test_dynamic_programme_equals_enumeration():
             end = {u[1]: k + 1 for k, u in enumerate(units)}
             chosen = sum(score[start[s], end[e], k] for k, s, e in pii.decode(sort, text, units, weights))
             assert chosen == pytest.approx(best(len(units)))
+
+
+# Forms that the generator of examples doesn't make.
+OTHER_FORMS = {
+    "You can reach our office on 0171 2345678 every day.": "0171 2345678", "Fax number: 020 7946 0958, please.": "020 7946 0958", "Mobile 07700 900123 after six": "07700 900123", "Rufen Sie Frau Weber unter 030/901820 an": "030/901820",
+    "mein Handy: 0151 23456789": "0151 23456789", "Appelez le 01 42 68 53 00 pour un rendez-vous": "01 42 68 53 00", "llámame al móvil 612 345 678": "612 345 678", "Ring 555-867-5309 tonight": "555-867-5309", "Office (212) 555 0187 or desk": "(212) 555 0187",
+    "tel. 1-800-555-0199": "1-800-555-0199", "write to maria.lopez [at] uni-berlin [dot] de today": "maria.lopez [at] uni-berlin [dot] de", "Her card 4111-1111-1111-1111 was stolen": "4111-1111-1111-1111", "debit card no. 4012888888881881 on file": "4012888888881881",
+}
+OTHER_NUMBERS = ["Founded in 1998-2004 with 12,500 members", "The ISBN is 978-3-16-148410-0", "Order 20240115 shipped on 2024-01-15", "He ran 100 200 400 800 meters", "Population 8 336 817 in 2020", "Coordinates 48.8566 2.3522", "Score 21-14 and 28-7", "pi is 3.14159265358979"]
+
+
+def test_forms_that_the_generator_does_not_make():
+    weights = pii.train()
+    spans = lambda t: [t[s:e] for _, s, e in sum(pii.found_spans(t, weights), [])]
+    assert sum(want in spans(t) for t, want in OTHER_FORMS.items()) >= 8  # of 13
+    assert sum(bool(spans(t)) for t in OTHER_NUMBERS) <= 1  # of 8

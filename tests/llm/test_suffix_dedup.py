@@ -9,19 +9,38 @@ from fixtures import documents, prose, with_clashing_columns
 from granary.llm import registry, suffix_dedup
 
 
-def brute(rows: list[tuple[int | None, str | None]]) -> dict[tuple, int]:
-    """Rows (doc_id, n_bytes, n_removed, n_spans, kept_sha256) and how often each comes."""
+def masked(rows: list[tuple[int | None, str | None]]) -> list[tuple[int | None, bytes, bytearray]]:
+    """(doc_id, bytes, which of them go) of each row."""
     first: dict[bytes, int] = {}
     texts = [(i, (t or "").encode()) for i, t in rows]
     for i, b in texts:
         for k in range(len(b) - 49 if i is not None else 0):
             first[b[k : k + 50]] = min(i, first.get(b[k : k + 50], i))
-    out: dict[tuple, int] = {}
+    out = []
     for i, b in texts:
         go = bytearray(len(b))
         for k in range(len(b) - 49 if i is not None else 0):
             if first[b[k : k + 50]] < i:
                 go[k : k + 50] = b"\1" * 50
+        out.append((i, b, go))
+    return out
+
+
+def kept_text(b: bytes, go: bytearray) -> str:
+    """What is left, run by run, without characters that lost some of their bytes."""
+    out, run = "", b""
+    for x, g in zip(b, go, strict=True):
+        if g:
+            out, run = out + run.decode(errors="ignore"), b""
+        else:
+            run += bytes([x])
+    return out + run.decode(errors="ignore")
+
+
+def brute(rows: list[tuple[int | None, str | None]]) -> dict[tuple, int]:
+    """Rows (doc_id, n_bytes, n_removed, n_spans, kept_sha256) and how often each comes."""
+    out: dict[tuple, int] = {}
+    for i, b, go in masked(rows):
         spans = sum(g and (k == 0 or not go[k - 1]) for k, g in enumerate(go))
         row = (i, len(b), sum(go), spans, hashlib.sha256(bytes(x for x, g in zip(b, go, strict=True) if not g)).hexdigest())
         out[row] = out.get(row, 0) + 1

@@ -82,15 +82,20 @@ ISO, NAMED, SLASHED = r"^\d{4}-\d{1,2}-\d{1,2}$", r"^\d{1,2}[ -][A-Za-z]{3}[a-z]
 def _written_day(text: Column, day: Callable[[Column], Column]) -> Column:
     """``day`` of a struct (form, a, b, c): which of the three forms a text has, and its numbers in order; null for other texts.
 
-    The struct is the only element of an array, so it is made once however often ``day`` reads it.
+    Text, tokens and struct are each the only element of an array, so they are made once however often they are read.
     """
-    bare = F.btrim(text, F.lit(" \t\n\r\x0b\f"))
-    token = F.split(bare, "[ /.,-]+")
-    form = F.when(bare.rlike(ISO), "iso").when(bare.rlike(NAMED), "named").when(bare.rlike(SLASHED), "slashed")
-    month = F.nullif(F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(F.get(token, F.lit(1)), 1, 3))), F.lit(0)).cast("int")
-    number = lambda i: F.get(token, F.lit(i)).try_cast("int")
-    parts = F.struct(form.alias("form"), number(0).alias("a"), F.coalesce(number(1), month).alias("b"), number(2).alias("c"))
-    return F.get(F.transform(F.array(parts), lambda p: F.when(p["form"].isNotNull(), day(p))), F.lit(0))
+
+    def tokens(bare: Column) -> Column:
+        form = F.when(bare.rlike(ISO), "iso").when(bare.rlike(NAMED), "named").when(bare.rlike(SLASHED), "slashed")
+        return F.struct(form.alias("form"), F.split(bare, "[ /.,-]+").alias("t"))
+
+    def parts(x: Column) -> Column:
+        number = lambda i: F.get(x["t"], F.lit(i)).try_cast("int")
+        month = F.nullif(F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(F.get(x["t"], F.lit(1)), 1, 3))), F.lit(0)).cast("int")
+        return F.struct(x["form"].alias("form"), number(0).alias("a"), F.when(x["form"] == "named", month).otherwise(number(1)).alias("b"), number(2).alias("c"))
+
+    found = F.filter(F.transform(F.array(F.btrim(text, F.lit(" \t\n\r\x0b\f"))), tokens), lambda x: x["form"].isNotNull())
+    return F.get(F.transform(F.transform(found, parts), day), F.lit(0))
 
 
 def _century(year: Column, pivot: int | None) -> Column:

@@ -93,6 +93,7 @@ class Block:
     parts: list[tuple[str, bool, Mark | None]] = field(default_factory=list)
     in_article: bool = False
     heading: bool = False
+    whole: Text | None = None
 
 
 @dataclass
@@ -104,18 +105,17 @@ class Text:
     in_article: bool
     heading: bool = False
     marked: bool = False
+    label: str = ""
 
 
-def tag_at(html: str, at: int, quotes_end: dict[str, int]) -> tuple[str, dict[str, str], int]:
-    """(name, attributes, end) of the tag whose name begins at a position; the first attribute of a name counts."""
-    found = NAME.match(html, at)
-    name, at = found[0].lower(), found.end()
+def tag_rest(html: str, at: int, quotes_end: dict[str, int]) -> tuple[dict[str, str], int]:
+    """(attributes, end) of the tag whose name ends at a position; the first attribute of a name counts."""
     own: dict[str, str] = {}
     while True:
         found = ATTRIBUTE.match(html, at)
         if not found:
             end = html.find(">", at)
-            return name, own, end + 1 if end >= 0 else len(html)
+            return own, end + 1 if end >= 0 else len(html)
         key, value, at = found[1].lower(), found[2] or "", found.end()
         if value in ("'", '"') and value:
             if quotes_end.get(value, len(html)) <= at:  # known: none behind this place
@@ -125,7 +125,7 @@ def tag_at(html: str, at: int, quotes_end: dict[str, int]) -> tuple[str, dict[st
             if close < 0:
                 quotes_end[value] = min(at, quotes_end.get(value, at))
                 end = html.find(">", at)
-                return name, own, end + 1 if end >= 0 else len(html)
+                return own, end + 1 if end >= 0 else len(html)
             value, at = html[at:close], close + 1
         own.setdefault(key, value.lower())
 
@@ -162,8 +162,8 @@ def read(html: str) -> tuple[list[Block], list[Mark]]:
     breaks = 0
     at, n = 0, len(html)
 
-    def is_open(*names: str) -> bool:
-        return any(open_names.get(x) for x in names)
+    def in_article() -> bool:
+        return bool(open_names.get("article") or open_names.get("main"))
 
     def close(heading: bool = False) -> None:
         nonlocal current
@@ -176,7 +176,7 @@ def read(html: str) -> tuple[list[Block], list[Mark]]:
         if skip_at < 0 and text:
             if not text.isspace():
                 breaks = 0
-                current.in_article |= is_open("article", "main")
+                current.in_article = current.in_article or in_article()
             current.parts.append((text, link_at >= 0, stack[-1][1] if stack else None))
 
     def pop() -> str:
@@ -204,7 +204,8 @@ def read(html: str) -> tuple[list[Block], list[Mark]]:
                     break
             continue
         ending = following == "/"
-        if not NAME.match(html, start + 1 + ending):
+        named = NAME.match(html, start + 1 + ending)
+        if not named:
             if not ending or start + 2 >= n:
                 add("<")
                 at = start + 1
@@ -212,7 +213,11 @@ def read(html: str) -> tuple[list[Block], list[Mark]]:
                 end = html.find(">", start)
                 at = end + 1 if end >= 0 else n
             continue
-        name, own, at = tag_at(html, start + 1 + ending, quotes_end)
+        name, at = named[0].lower(), named.end()
+        if html.startswith(">", at):
+            own, at = {}, at + 1
+        else:
+            own, at = tag_rest(html, at, quotes_end)
         if name in RAW and not ending:
             end = None if name in unclosed else RAW_END[name].search(html, at)
             if not end:
@@ -220,7 +225,7 @@ def read(html: str) -> tuple[list[Block], list[Mark]]:
                 end = NEXT_BLOCK.search(html, at)
                 at = end.start() if end else n
             else:
-                at = tag_at(html, end.start() + 2, quotes_end)[2]
+                at = tag_rest(html, end.end(), quotes_end)[1]
             add(" ")
             continue
         if name == "br":
@@ -240,7 +245,7 @@ def read(html: str) -> tuple[list[Block], list[Mark]]:
                 while pop() != name:
                     pass
             continue
-        if name in ("article", "main") and not is_open("article", "main"):
+        if name in ("article", "main") and not in_article():
             # what is left out or marked hasn't been closed
             depth = next((i for i, x in enumerate(stack) if x[1] or i == skip_at), None)
             while depth is not None and len(stack) > depth:
@@ -254,8 +259,8 @@ def read(html: str) -> tuple[list[Block], list[Mark]]:
             link_at = len(stack)
         inside = stack[-1][1] if stack else None
         if skip_at < 0 and name not in ("html", "body", "article", "main"):
-            kind = names_mark(own)
-            if name in LEFT_OUT or is_hidden(own):
+            kind = names_mark(own) if own else None
+            if name in LEFT_OUT or own and is_hidden(own):
                 skip_at = len(stack)
             elif kind or name in MARKED:
                 inside = Mark(inside, kind is FOREIGN or inside is not None and inside.foreign)
@@ -282,7 +287,10 @@ def weigh(found: list[Block], marks: list[Mark]) -> None:
     """
     of = lambda block: next((p[2] for p in block.parts if not p[0].isspace()), None)
     foreign = lambda block: (m := of(block)) is not None and m.foreign
-    dense = [b for b in found if first_label(seen(b, None)) in (GOOD, NEAR)]
+    for b in found:
+        b.whole = seen(b, None)
+        b.whole.label = first_label(b.whole)
+    dense = [b for b in found if b.whole.label in (GOOD, NEAR)]
     own = [b for b in dense if not foreign(b)]
     if not own and not any(b.in_article and not foreign(b) for b in found):
         own = dense
@@ -306,7 +314,7 @@ def blocks(html: str) -> list[Text]:
         weigh(found, marks)
     out = []
     for block in found:
-        own = seen(block, False)
+        own = block.whole if block.whole and not any(p[2] for p in block.parts) else seen(block, False)
         if not own.text:
             own = seen(block, True)
             own.marked, own.in_article = True, False
@@ -343,7 +351,7 @@ def first_label(block: Text) -> str:
 
 def labels(found: list[Text]) -> list[bool]:
     """Pass 2: whether each block belongs to the main text."""
-    first = [first_label(b) for b in found]
+    first = [b.label or first_label(b) for b in found]
     if GOOD not in first:
         articles = any(b.in_article for b in found)
         return [x != BAD and (b.in_article if articles else x == NEAR) for x, b in zip(first, found, strict=True)]

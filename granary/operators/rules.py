@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,3 +81,79 @@ def shadow(rows: DataFrame, key: str, live: list[Rule], draft: list[Rule]) -> Da
     other = readiness(rows, key, draft).select(key, F.col("score").alias("draft_score"), F.col("blocking").alias("draft"))
     a, b = (F.filter(F.split(c, ","), lambda x: x != "") for c in ("live", "draft"))
     return both.join(other, key).select(key, "live_score", "draft_score", F.array_join(F.array_except(b, a), ",").alias("newly_blocking"), F.array_join(F.array_except(a, b), ",").alias("no_longer_blocking"))
+
+
+@dataclass(frozen=True)
+class StageRule:
+    """What a stage requires: ``field op expected``, of severity blocking, warning or info, within a scope of column values."""
+
+    rule_id: str
+    stage: str
+    field: str
+    op: str
+    expected: tuple
+    severity: str
+    scope: tuple[tuple[str, str], ...] = ()
+    everywhere: bool = False
+
+
+# What an unmet requirement of a stage costs.
+STAGE_PENALTY = {"blocking": 25, "warning": 5}
+
+
+def stage_requirements(rows: DataFrame, key: str, rules: list[StageRule], stage: str) -> DataFrame:
+    """(key, score, ready, blocking, warnings, info): the stage's rules that apply to a row, by a projection without a shuffle.
+
+    All dimensions of a scope must match, also those of a rule for everywhere; a
+    rule with neither applies to nothing.  Information is listed whether met or
+    not and costs nothing.
+    """
+    own = [x for x in rules if x.stage == stage and (x.everywhere or x.scope)]
+    applies = {x.rule_id: reduce(lambda a, b: a & b, (F.coalesce(F.col(c) == v, F.lit(False)) for c, v in x.scope), F.lit(True)) for x in own}
+    unmet = {x.rule_id: applies[x.rule_id] & ~compared(x.op, F.col(x.field), *map(F.lit, x.expected)) for x in own}
+    lost = sum((F.when(unmet[x.rule_id], STAGE_PENALTY[x.severity]).otherwise(0) for x in own if x.severity in STAGE_PENALTY), F.lit(0))
+
+    def listed(severity: str, which: dict[str, Column]) -> Column:
+        return F.array_join(F.array_compact(F.array(*(F.when(which[x.rule_id], x.rule_id) for x in own if x.severity == severity), F.lit(None).cast("string"))), ",")
+
+    blocking = listed("blocking", unmet)
+    return rows.select(key, F.greatest(F.lit(0), 100 - lost).cast("long").alias("score"), (blocking == "").alias("ready"), blocking.alias("blocking"), listed("warning", unmet).alias("warnings"), listed("info", applies).alias("info"))
+
+
+def impact_summary(rows: DataFrame, key: str, rules: list[Rule], warning_only: set[str], confidence: str | None = None) -> DataFrame:
+    """(key, passed, failed, skipped, errored, critical_failures, score): failures of rules that only warn count as failed and cost nothing."""
+    known = F.col(confidence) if confidence else None
+    status = {x.rule_id: outcome(x, rows.columns, known) for x in rules}
+    count = lambda state, of: sum((F.when(status[x.rule_id] == state, 1).otherwise(0) for x in of), F.lit(0)).cast("long")
+    costly = [x for x in rules if x.rule_id not in warning_only]
+    lost = sum((F.when(status[x.rule_id] == "FAIL", PENALTY[x.severity]).otherwise(0) for x in costly), F.lit(0))
+    states = [count(s, rules).alias(n) for s, n in (("PASS", "passed"), ("FAIL", "failed"), ("SKIP", "skipped"), ("ERROR", "errored"))]
+    critical = count("FAIL", [x for x in costly if x.severity == "CRITICAL"]).alias("critical_failures")
+    return rows.select(key, *states, critical, F.greatest(F.lit(0), 100 - lost).cast("long").alias("score"))
+
+
+def label_scores(results: DataFrame) -> DataFrame:
+    """(rule_id, scorable, correct, false_block, false_pass, over_abstain, missing, left_out) of rows (rule_id, expected, actual, semantic).
+
+    A null actual is missing; a semantic rule that skipped is left out of what can be scored.
+    """
+    left_out = F.col("semantic") & F.coalesce(F.col("actual") == "SKIP", F.lit(False))
+    scored = F.col("actual").isNotNull() & ~left_out
+    pair = lambda e, a: F.count_if(scored & (F.col("expected") == e) & (F.col("actual") == a))
+    abstained = F.count_if(scored & (F.col("actual") == "SKIP") & F.col("expected").isin("PASS", "FAIL"))
+    return results.groupBy("rule_id").agg(
+        F.count_if(scored).alias("scorable"), F.count_if(scored & (F.col("expected") == F.col("actual"))).alias("correct"), pair("PASS", "FAIL").alias("false_block"), pair("FAIL", "PASS").alias("false_pass"),
+        abstained.alias("over_abstain"), F.count_if(F.col("actual").isNull()).alias("missing"), F.count_if(left_out).alias("left_out"),
+    )
+
+
+# Lower bounds of the confidence bins, the last one closed at 1.
+BINS = (0.0, 0.5, 0.7, 0.9)
+
+
+def confidence_bins(results: DataFrame) -> DataFrame:
+    """(low, n, accuracy) per confidence bin of rows (confidence, correct); bins without rows stay, with a null accuracy."""
+    low = reduce(lambda rest, b: F.when(F.col("confidence") >= b, b).otherwise(rest), BINS, F.lit(None).cast("double"))
+    found = results.where("confidence between 0 and 1").groupBy(low.alias("low")).agg(F.count("*").alias("n"), F.round(F.avg(F.col("correct").cast("int")), 6).alias("accuracy"))
+    bins = results.sparkSession.createDataFrame([(b,) for b in BINS], "low double")
+    return bins.join(found, "low", "left").select("low", F.coalesce("n", F.lit(0)).alias("n"), "accuracy")

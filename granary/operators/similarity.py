@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.functions.scalars import plain_name
+from granary.functions.scalars import hamming_hex, plain_name
 from granary.operators.relational import first_per
 from granary.sources.tables import stored
 
@@ -138,3 +138,26 @@ def clustered_names(names: DataFrame, claim: str, limit: float = 0.3) -> DataFra
 
     summed = names.groupBy(claim, "name").agg(F.sum("weight").alias("weight"))
     return summed.groupBy(claim).agg(ordered.alias("l")).select(claim, F.inline(F.aggregate("l", start, attach, lambda acc: acc["found"])))
+
+
+def near_sections(sections: DataFrame, claim: str, limit: int = 16) -> DataFrame:
+    """(section, first_section): sections of a claim with equally many pages, every page within ``limit`` bits on both hashes, as transitive groups.
+
+    Sections are (claim, section, pages), pages an array of (p, d) of 64 hex
+    digits.  Equal sections are one row of the comparison, so copies aren't
+    paired; the rest meet on parts of the first page's first hash (a section
+    without pages is alone) and all pages are then compared.
+    """
+    from granary.operators.components import components
+
+    keyed = sections.withColumn("_key", F.sha2(F.concat_ws("\x1f", F.col(claim).cast("string"), F.to_json("pages")), 256))
+    distinct = keyed.where(F.size("pages") > 0).groupBy(claim, "_key").agg(F.first("pages").alias("pages"))
+    block = F.concat_ws("\x1f", F.col(claim).cast("string"), F.size("pages").cast("string"))
+    own = distinct.select(block.alias("block"), "_key", "pages", F.explode(parts_of(F.get("pages", F.lit(0))["p"], 64, limit)).alias("part"))
+    a, b = (own.select("block", "part", F.col("_key").alias(k), F.col("pages").alias(f"pages_{k}")) for k in "ab")
+    apart = lambda x, y, h: hamming_hex(x[h], y[h], 64)
+    near = F.forall(F.zip_with("pages_a", "pages_b", lambda x, y: (apart(x, y, "p") <= limit) & (apart(x, y, "d") <= limit)), lambda ok: ok)
+    pairs = a.join(b, ["block", "part"]).where("a < b").where(near).select("a", "b").distinct()
+    tied = keyed.join(components(pairs), F.col("_key") == F.col("node"), "left").select("section", F.coalesce("component", "_key").alias("_group"))
+    first = tied.groupBy("_group").agg(F.min("section").alias("first_section"))
+    return tied.join(first, "_group").select("section", "first_section")

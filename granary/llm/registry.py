@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import bpe, embeddings, html_text, jaccard, language, packing, pii, quality, suffix_dedup, token_counts
+from granary.llm import bpe, embeddings, fill_middle, html_text, jaccard, language, packing, pii, quality, suffix_dedup, token_counts
 from granary.sources.tables import shared_dir, small_batches, stored, table
 
 BPE_MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -103,9 +103,17 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in its fill-in-the-middle form, as digests of output and rebuilt text."""
+    docs = table(spark, sf_dir, "documents")
+    wanted = ("n_units", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+    found = docs.select("doc_id", fill_middle.fill_middle(docs, wanted=wanted).alias("f"))
+    return found.select("doc_id", F.col("f.n_units").alias("n"), "f.form", "f.prefix_chars", "f.middle_chars", "f.output_sha256", "f.restored_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_html_extraction, op3_embedding_near_dedup, op4_token_counts, op5_packing, op6_pii, op7_quality_rules, op8_ngram_jaccard, op9_byte_bpe, op10_language_id)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_html_extraction, op3_embedding_near_dedup, op4_token_counts, op5_packing, op6_pii, op7_quality_rules, op8_ngram_jaccard, op9_byte_bpe, op10_language_id, op11_fill_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_embedding_near_dedup": embeddings.SQL, "op7_quality_rules": quality.SQL, "op8_ngram_jaccard": jaccard.SQL}
+    return {"op3_embedding_near_dedup": embeddings.SQL, "op7_quality_rules": quality.SQL, "op8_ngram_jaccard": jaccard.SQL, "op11_fill_middle": fill_middle.SQL}

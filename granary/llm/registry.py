@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import bpe, embeddings, fill_middle, html_text, jaccard, language, packing, pii, quality, suffix_dedup, token_counts
+from granary.llm import anchor_dedup, bpe, embeddings, fill_middle, html_text, jaccard, language, packing, pii, quality, suffix_dedup, token_counts
 from granary.sources.tables import shared_dir, small_batches, stored, table
 
 BPE_MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -111,9 +111,15 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("f.n_units").alias("n"), "f.form", "f.prefix_chars", "f.middle_chars", "f.output_sha256", "f.restored_sha256")
 
 
+def op13_anchor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without words of 13-word windows that documents with smaller ids hold."""
+    left = anchor_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_html_extraction, op3_embedding_near_dedup, op4_token_counts, op5_packing, op6_pii, op7_quality_rules, op8_ngram_jaccard, op9_byte_bpe, op10_language_id, op11_fill_middle)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_html_extraction, op3_embedding_near_dedup, op4_token_counts, op5_packing, op6_pii, op7_quality_rules, op8_ngram_jaccard, op9_byte_bpe, op10_language_id, op11_fill_middle, op13_anchor_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_embedding_near_dedup": embeddings.SQL, "op7_quality_rules": quality.SQL, "op8_ngram_jaccard": jaccard.SQL, "op11_fill_middle": fill_middle.SQL}
+    return {"op3_embedding_near_dedup": embeddings.SQL, "op7_quality_rules": quality.SQL, "op8_ngram_jaccard": jaccard.SQL, "op11_fill_middle": fill_middle.SQL, "op13_anchor_dedup": anchor_dedup.SQL}

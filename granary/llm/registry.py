@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import anchor_dedup, bpe, embeddings, fill_middle, html_text, jaccard, language, packing, pii, quality, suffix_dedup, token_counts
-from granary.sources.tables import shared_dir, small_batches, stored, table
+from granary.llm import anchor_dedup, bpe, embeddings, fill_middle, html_text, jaccard, language, packing, pii, prefix_trie, quality, suffix_dedup, token_counts
+from granary.sources.tables import dropped, shared_dir, small_batches, stored, table
 
 BPE_MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -111,6 +111,14 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("f.n_units").alias("n"), "f.form", "f.prefix_chars", "f.middle_chars", "f.output_sha256", "f.restored_sha256")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, rebuilt with borrowed openings."""
+    turns, ids, source = prefix_trie.spliced(table(spark, sf_dir, "conversations"))
+    nodes = prefix_trie.prefix_trie(turns, ids)
+    dropped(source)
+    return nodes
+
+
 def op13_anchor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without words of 13-word windows that documents with smaller ids hold."""
     left = anchor_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -118,8 +126,8 @@ def op13_anchor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_html_extraction, op3_embedding_near_dedup, op4_token_counts, op5_packing, op6_pii, op7_quality_rules, op8_ngram_jaccard, op9_byte_bpe, op10_language_id, op11_fill_middle, op13_anchor_dedup)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_html_extraction, op3_embedding_near_dedup, op4_token_counts, op5_packing, op6_pii, op7_quality_rules, op8_ngram_jaccard, op9_byte_bpe, op10_language_id, op11_fill_middle, op12_prefix_trie, op13_anchor_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_embedding_near_dedup": embeddings.SQL, "op7_quality_rules": quality.SQL, "op8_ngram_jaccard": jaccard.SQL, "op11_fill_middle": fill_middle.SQL, "op13_anchor_dedup": anchor_dedup.SQL}
+    return {"op3_embedding_near_dedup": embeddings.SQL, "op7_quality_rules": quality.SQL, "op8_ngram_jaccard": jaccard.SQL, "op11_fill_middle": fill_middle.SQL, "op12_prefix_trie": prefix_trie.SQL, "op13_anchor_dedup": anchor_dedup.SQL}

@@ -18,6 +18,8 @@ class Plans:
 
     def query(self, sql: str | None = None) -> Callable[[Query], Query]:
         def add(function: Query) -> Query:
+            if function.__name__ in self.queries:
+                raise ValueError(f"two queries named {function.__name__}")
             self.queries[function.__name__] = function
             if sql:
                 self.sql[function.__name__] = sql

@@ -12,7 +12,14 @@ MODULES = ("mining", "relational", "scalars", "similarity", "rules", "streams",
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: query for m in MODULES for name, query in import_module(f"granary.plans.{m}").plans.queries.items()}
+    """Queries by name; a name that two modules use is an error."""
+    found: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+    for m in MODULES:
+        own = import_module(f"granary.plans.{m}").plans.queries
+        if twice := found.keys() & own.keys():
+            raise ValueError(f"queries of two modules: {sorted(twice)}")
+        found |= own
+    return found
 
 
 def oracle_sql() -> dict[str, str]:

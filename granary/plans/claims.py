@@ -13,6 +13,7 @@ from granary.operators import similarity as sim
 from granary.operators.cases import cases
 from granary.operators.domain import shape_of_change
 from granary.plans.base import CASES, Plans
+from granary.plans.scalars import check_digit_sql
 from granary.sources.tables import stored, table
 
 plans = Plans()
@@ -239,19 +240,34 @@ def _letters(key: Column) -> Column:
     return F.concat(F.lit("XQ"), F.lpad(key.cast("string"), 7, "0"))
 
 
-@plans.query("""select o_orderkey, 'K' || (10000 + o_orderkey % 80000) as registration, '20' || lpad((o_orderkey % 100)::varchar, 2, '0') || '12345678' as national_id, case when o_orderkey % 3 <> 2 then 'XQ' || lpad(o_orderkey::varchar, 7, '0') end as scheme_id, case when o_orderkey % 4 <> 0 then '91' || lpad(o_orderkey::varchar, 12, '0') end as health_id,
-array_to_string(case when o_orderkey % 2 = 0 then ['98' || lpad(o_orderkey::varchar, 8, '0')] else [] end, ',') as mobiles, round(o_totalprice, 2) as first_amount, 2 as n_amounts from orders""")
-def f6_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entities found in letters: registration, identities, mobile numbers and amounts."""
+@plans.query(check_digit_sql("""select o_orderkey, 'MPMC:K' || (10000 + o_orderkey % 80000) as registrations, case when valid then digits else '' end as national_ids, case when o_orderkey % 3 <> 2 then 'XQ' || lpad(o_orderkey::varchar, 7, '0') else '' end as scheme_ids,
+case when o_orderkey % 4 <> 0 then '91' || lpad(o_orderkey::varchar, 12, '0') else '' end as health_ids, case when o_orderkey % 2 = 0 then '98' || lpad(o_orderkey::varchar, 8, '0') else '' end as mobiles, strftime(o_orderdate, '%Y-%m-%d') as days, round(o_totalprice, 2) as first_amount, 2 as n_amounts from ({checked}) join orders using (o_orderkey)"""))
+def f6_letter_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts found in letters: registrations with their council, identities by check digit and nearby words, mobile numbers, dates, amounts."""
     key = F.col("o_orderkey")
-    digits = F.lpad(key.cast("string"), 12, "0")
+    digits, national = F.lpad(key.cast("string"), 12, "0"), F.lpad((key * 7919 + 200_000_000_000).cast("string"), 12, "0")
+    grouped = lambda c, *sizes: F.concat_ws("-", *(F.substring(c, 1 + sum(sizes[:i]), n) for i, n in enumerate(sizes)))
     scheme = F.when(key % 3 == 0, F.concat(F.lit("PMJAY card "), _letters(key))).when(key % 3 == 1, F.concat(F.lit("card "), _letters(key), F.lit(" of Ayushman Bharat"))).otherwise(F.concat(F.lit("card "), _letters(key)))
-    health = F.concat(F.when(key % 4 != 0, "ABHA ").otherwise("No "), F.lit("91-"), F.substring(digits, 1, 4), F.lit("-"), F.substring(digits, 5, 4), F.lit("-"), F.substring(digits, 9, 4))
+    health = F.concat(F.when(key % 4 != 0, "ABHA ").otherwise("No "), F.lit("91-"), grouped(digits, 4, 4, 4))
     mobile = F.when(key % 2 == 0, F.concat(F.lit("+91 98"), F.lpad(key.cast("string"), 8, "0"))).otherwise(F.concat(F.lit("12398"), F.lpad(key.cast("string"), 8, "0")))
-    letter = F.concat_ws("; ", F.concat(F.lit("Dr A, Reg. No. K"), 10000 + key % 80000), F.concat(F.lit("id 20"), F.lpad((key % 100).cast("string"), 2, "0"), F.lit(" 1234 5678")), scheme, F.lit("." * 90), health, F.concat(F.lit("call "), mobile), F.concat(F.lit("Rs. "), F.format_number("o_totalprice", 2)), F.lit("paid 1/-"))
-    told = table(spark, sf_dir, "orders").select("o_orderkey", letter.alias("t"))
+    day = F.when(key % 3 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(key % 3 == 1, F.date_format("o_orderdate", "dd MMM yyyy")).otherwise(F.date_format("o_orderdate", "dd/MM/yyyy"))
+    letter = F.concat_ws("; ", F.concat(F.lit("Dr A, M.P.M.C. Reg. No. K"), 10000 + key % 80000), F.concat(F.lit("id "), grouped(national, 4, 4, 4)), scheme, F.lit("." * 90), health, F.concat(F.lit("call "), mobile), F.concat(F.lit("on "), day), F.concat(F.lit("Rs. "), F.format_number("o_totalprice", 2)), F.lit("paid 1/-"))
     t = F.col("t")
-    return told.select("o_orderkey", en.registration(t).alias("registration"), en.national_id(t).alias("national_id"), en.scheme_id(t).alias("scheme_id"), en.health_id(t).alias("health_id"), F.array_join(en.mobiles(t), ",").alias("mobiles"), F.get(en.amounts(t), F.lit(0)).alias("first_amount"), F.size(en.amounts(t)).alias("n_amounts"))
+    told = table(spark, sf_dir, "orders").select("o_orderkey", letter.alias("t")).select("o_orderkey", *_facts(t))
+    return told.withColumns({"first_amount": F.get("amounts", F.lit(0)), "n_amounts": F.size("amounts")}).drop("amounts")
+
+
+def _facts(text: Column) -> list[Column]:
+    doctors = F.transform(en.registrations(text), lambda r: F.concat_ws(":", F.coalesce(r["council"], F.lit("")), r["number"]))
+    lists = {"registrations": doctors, "national_ids": en.national_ids(text), "scheme_ids": en.scheme_ids(text), "health_ids": en.health_ids(text), "mobiles": en.mobiles(text), "days": F.transform(en.days(text), lambda d: d["day"])}
+    return [F.array_join(c, ",").alias(name) for name, c in lists.items()] + [en.amounts(text).alias("amounts")]
+
+
+@plans.query()
+def f6_document_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same facts in every whole text of the documents; a null text has none."""
+    told = table(spark, sf_dir, "documents").select("doc_id", *_facts(F.coalesce("text", F.lit(""))))
+    return told.withColumn("amounts", F.array_join(F.transform("amounts", lambda a: F.format_string("%.2f", a)), ","))
 
 
 @plans.query("""select o_orderkey, case o_orderkey % 5 when 0 then 'CLM-' || lpad(o_orderkey::varchar, 8, '0') when 4 then null else lpad(o_orderkey::varchar, 8, '0') end as claim_no, case when o_orderkey % 2 = 0 then '00000000-0000-4000-8000-' || lpad(o_orderkey::varchar, 12, '0') else 'ffffffff-0000-4000-8000-000000000000' end as uuid,

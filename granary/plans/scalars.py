@@ -57,13 +57,17 @@ def f6_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(F.regexp_extract_all(text, F.lit("[6-9][0-9]{9}"), 0)).cast("long").alias("n_mobile"), F.size(F.regexp_extract_all(text, F.lit("[0-9]{4}-[0-9]{2}-[0-9]{2}"), 0)).cast("long").alias("n_dates"), F.regexp_extract(text, "[6-9][0-9]{9}", 0).alias("first_mobile"))
 
 
-def _check_digit_sql() -> str:
+CHECKED = "select o_orderkey, digits, regexp_matches(digits, '^[2-9][0-9]{11}$') and c12 = 0 as valid from ({steps})"
+
+
+def check_digit_sql(around: str = "{checked}") -> str:
     """The check digit step by step, from the last digit on."""
     steps = "".join(f", substr([{', '.join(map(repr, fn.VERHOEFF_D))}][c{i} + 1], substr('{fn.VERHOEFF_P[i % 8]}', substr(digits, {12 - i}, 1)::int + 1, 1)::int + 1, 1)::int as c{i + 1}" for i in range(12))
-    return f"select o_orderkey, digits, regexp_matches(digits, '^[2-9][0-9]{{11}}$') and c12 = 0 as valid from (select o_orderkey, lpad((o_orderkey * 7919 + 200000000000)::varchar, 12, '0') as digits, 0 as c0{steps} from orders)"
+    inner = f"select o_orderkey, lpad((o_orderkey * 7919 + 200000000000)::varchar, 12, '0') as digits, 0 as c0{steps} from orders"
+    return around.replace("{checked}", CHECKED.replace("{steps}", inner))
 
 
-@plans.query(_check_digit_sql())
+@plans.query(check_digit_sql())
 def f7_check_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twelve-digit numbers with a right check digit."""
     digits = F.lpad((F.col("o_orderkey") * 7919 + 200_000_000_000).cast("string"), 12, "0")

@@ -69,18 +69,6 @@ def one(spark, column, text):
     return spark.createDataFrame([(text,)], "t string").select(column(F.col("t"))).first()[0]
 
 
-def test_entities(spark):
-    assert one(spark, en.registration, "Registration Number: a1234") == "A1234"
-    assert one(spark, en.national_id, "no 1234 5678 9012, ok") == "123456789012"
-    assert one(spark, en.national_id, "91-1234-5678-9012") is None and one(spark, en.national_id, "123456789012") is None
-    assert one(spark, en.scheme_id, "PMJAY no MCETESFVS") == "MCETESFVS"
-    assert one(spark, en.scheme_id, "PMJAY " + "." * 90 + " MCETESFVS") is None
-    assert one(spark, en.health_id, "id 91-1234-5678-9012") is None and one(spark, en.health_id, None) is None
-    assert one(spark, en.mobiles, "+919812345678, 6012345678 and 19812345678") == ["9812345678", "6012345678"]
-    assert one(spark, en.amounts, "INR 1,200.50 and 300/- or 300 only, ₹1,200.50") == [1200.5, 300.0]
-    assert one(spark, en.claim_number, "Claim ID: AB-12345") == "AB-12345" and one(spark, en.claim_number, "") is None
-
-
 def test_rupees_and_templates(spark):
     got = spark.createDataFrame([(v,) for v in (0.0, 999.4, 1000.0, 123456.0, 12345678.0, -1000.0)], "v double").select(en.rupees(F.col("v"))).collect()
     assert [r[0] for r in got] == ["₹0", "₹999", "₹1,000", "₹1,23,456", "₹1,23,45,678", "-₹1,000"]

@@ -8,13 +8,13 @@ near.  All stays in the JVM; a null text gives null, an empty one empty arrays.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from granary.functions.scalars import verhoeff_valid
+from granary.functions.scalars import let, verhoeff_valid
 
 # Bodies that register doctors, words between a body and its number, words that name the scheme, its members and the health id, words that look like a scheme id.
 COUNCILS = ("MPMC", "MCI", "NMC", "MMC", "KMC", "GMC", "TNMC", "DMC", "RMC", "HPMC", "MSMC", "UPMC")
@@ -37,11 +37,6 @@ TOKEN = r"(?i)\+(t[0-9a-f]{12})@"
 PLACEHOLDER = re.compile(r"\{\{\s*([\w.\[\]-]+)\s*\}\}")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often the body uses it."""
-    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
-
-
 def tokens(text: Column, token: str) -> Column:
     """array<struct<at, token>>: all matches of a pattern without groups, with their places (from 1)."""
     pattern = F.lit(rf"(?s)(.*?)({token}|\z)")  # the end counts as a match, or what follows the last token would be tried again from each of its characters

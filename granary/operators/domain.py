@@ -113,12 +113,6 @@ def shape_of_change(before: Column, after: Column) -> Column:
     return F.when(before.eqNullSafe(after), "no_change").when(a != b, "type_change").when(a == "string", F.when(shorter, "truncation").otherwise("replacement")).when(a == "number", "numeric").otherwise("structural")
 
 
-def same_json(a: Column, b: Column) -> Column:
-    """Equality of two flat JSON objects whatever the order of their keys."""
-    entries = lambda x: F.array_sort(F.map_entries(F.from_json(x, "map<string,string>")))
-    return entries(a).eqNullSafe(entries(b))
-
-
 # ---- places
 
 

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from granary.functions import json_values as jv
 from granary.functions import scalars as fn
 from granary.operators import domain as d
 from granary.operators import relational as rel
@@ -23,8 +24,8 @@ WORDS = "list_distinct(list_filter(string_split(trim(regexp_replace(lower({}), '
 def a7_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows appended to a table in three writes, read back."""
     path = f"{shared_dir(spark)}/granary/append-{uuid.uuid4().hex}/orders"
-    for status in ("F", "O", "P"):
-        table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == status).write.mode("append").parquet(path)
+    for part in range(3):  # by key, so that every row is in one of them, whatever its status
+        table(spark, sf_dir, "orders").where(F.coalesce(F.pmod("o_orderkey", F.lit(3)), F.lit(0)) == part).write.mode("append").parquet(path)
     return spark.read.parquet(path).groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
@@ -283,7 +284,7 @@ def f24_payload_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, kind = F.get_json_object("props", "$.k"), F.col("event_type")
     one = F.concat(F.lit('{"k":'), k, F.lit(',"t":"'), kind, F.lit('"}'))
     two = F.concat(F.lit('{"t":"'), F.when(kind == "error", "changed").otherwise(kind), F.lit('","k":'), k, F.lit("}"))
-    return table(spark, sf_dir, "events").select("event_id", k.alias("k"), d.same_json(one, two).alias("same"))
+    return table(spark, sf_dir, "events").select("event_id", k.alias("k"), jv.same_json(one, two).alias("same"))
 
 
 @plans.query(f"""with {NAMED_LINES}, p as (select a.l_orderkey, levenshtein(a.name, b.name) as edits, len(list_intersect({WORDS.format('a.name', 1)}, {WORDS.format('b.name', 1)})) / least(len({WORDS.format('a.name', 1)}), len({WORDS.format('b.name', 1)})) as overlap from n a join n b on a.l_orderkey = b.l_orderkey and a.name < b.name),

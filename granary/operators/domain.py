@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.scalars import name_tokens
+from granary.operators.ordered import running
 from granary.operators.relational import first_per
 
 # Mean radius of the earth in km.
@@ -142,8 +143,7 @@ def applied_in_order(log: DataFrame, key: str, arrival: str, time: str, event_id
     The last applied time is the largest before, for what is dropped is smaller;
     its id is that of the latest row that reached it.
     """
-    before = Window.partitionBy(key).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
-    last = F.max(F.struct(F.col(time).alias("t"), F.col(arrival).alias("a"), F.col(event_id).alias("id"))).over(before)
-    told = log.withColumn("_last", last)
+    last = F.struct(F.col(time).alias("t"), F.col(arrival).alias("a"), F.col(event_id).alias("id"))
+    told, _ = running(log, [key], [arrival], {"_last": ("max", last)}, inclusive=False)
     policy = F.when(F.col("_last").isNull(), "applied").when(F.col("_last.id") == F.col(event_id), "duplicate").when(F.col(time) < F.col("_last.t"), "late").otherwise("applied")
     return told.withColumn("policy", policy).drop("_last")

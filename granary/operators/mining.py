@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.operators import ordered
+
 # Least group sizes and thresholds of the miners.
 QUERY_LEAST, QUERY_RATE = 5, 0.6
 DEDUCTION_LEAST, DEDUCTION_RATE = 5, 0.4
@@ -53,21 +55,21 @@ def amount_variance(cases: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def dwell_times(events: DataFrame, key: str, stage: str, time: str, tie: str) -> DataFrame:
-    """(key, stage, dwell_s): seconds from each event of a key to its next one; the last has none."""
-    after = F.lead(time).over(Window.partitionBy(key).orderBy(time, tie))
-    dwell = (F.unix_micros(after.cast("timestamp")) - F.unix_micros(F.col(time).cast("timestamp"))) / 1e6
-    return events.select(key, stage, dwell.alias("dwell_s")).where("dwell_s is not null")
+    """(key, stage, dwell_s): seconds from each event of a key to its next one; the last has none.  A key of any size."""
+    rows = events.select(key, stage, F.unix_micros(F.col(time).cast("timestamp")).alias("us"), tie)
+    timed, _ = ordered.running(rows, [key], ["us", tie], {"next_us": ("min", F.col("us"))}, inclusive=False, backwards=True)
+    return timed.select(key, stage, ((F.col("next_us") - F.col("us")) / 1e6).alias("dwell_s")).where("dwell_s is not null")
 
 
 def dwell_stats(dwell: DataFrame, keys: Sequence[str], least: int = DWELL_LEAST) -> DataFrame:
     """Mean, population deviation, nearest-rank 95th percentile and confidence 1 / (1 + cv) per group.
 
-    The nearest-rank value is element floor(0.95 n) of the sorted values.  It is
-    found by ranks, so no group is gathered into an array.
+    The nearest-rank value is element floor(0.95 n) of the sorted values, found by
+    counts per value, so groups may be as few and as large as they like.
     """
-    ranked = dwell.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("dwell_s"))).withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
-    at = F.floor(F.col("_n") * 0.95) + 1
-    found = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("dwell_s").alias("mean_s"), F.stddev_pop("dwell_s").alias("sd_s"), F.max(F.when(F.col("_rank") == F.least(at, F.col("_n")), F.col("dwell_s"))).alias("p95_s"))
+    found = dwell.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("dwell_s").alias("mean_s"), F.stddev_pop("dwell_s").alias("sd_s"))
+    ranks, _ = ordered.percentiles(dwell, keys, "dwell_s", {"p95_s": (0.95, "rank")})
+    found = ordered.matched(found, ranks, keys)
     return found.where(F.col("n") >= least).withColumn("confidence", F.when(F.col("mean_s") > 0, 1 / (1 + F.col("sd_s") / F.col("mean_s"))).otherwise(F.lit(0.0)))
 
 

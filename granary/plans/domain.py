@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from granary.functions import json_values as jv
 from granary.functions import scalars as fn
 from granary.operators import domain as d
+from granary.operators import mining, ordered
 from granary.operators import relational as rel
 from granary.operators.cases import cases
 from granary.plans.base import CASES, Plans
@@ -50,11 +51,12 @@ select user_id, not list_contains(docs, 'error') as no_error, list_contains(docs
 def b15_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conditions that come as data: documents there or missing, amounts, sequences, dwell times; an unknown kind is null."""
     events = table(spark, sf_dir, "events")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    timed = events.withColumn("hours", (F.unix_micros(F.lead("ts").over(w).cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 3.6e9)
-    stages = timed.groupBy("user_id", "event_type").agg(F.max("hours").alias("h")).groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "h"))).alias("stages"))
-    users = events.groupBy("user_id").agg(F.collect_set("event_type").alias("docs"), F.sum("value").alias("amount"), F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"]).alias("outcomes"))
-    return users.join(stages, "user_id").select("user_id", *(d.condition(spec).alias(name) for name, spec in SPECS.items()))
+    dwelt = mining.dwell_times(events, "user_id", "event_type", "ts", "event_id")
+    stages = dwelt.groupBy("user_id", "event_type").agg((F.max("dwell_s") / 3600).alias("h")).groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "h"))).alias("stages"))
+    wanted = SPECS["sequence"]["sequence"]
+    matched, _ = ordered.reached(events, ["user_id"], ["ts", "event_id"], F.col("event_type"), len(wanted) + 1, ordered.sequence_step(wanted))
+    users = events.groupBy("user_id").agg(F.collect_set("event_type").alias("docs"), F.sum("value").alias("amount")).join(matched, "user_id").withColumn("outcomes", F.slice(F.array(*map(F.lit, wanted)), 1, F.col("state")))  # the part of the sequence that came
+    return users.join(stages, "user_id", "left").withColumn("stages", F.coalesce("stages", F.map_from_entries(F.array().cast("array<struct<a:string,b:double>>")))).select("user_id", *(d.condition(spec).alias(name) for name, spec in SPECS.items()))
 
 
 @plans.query("""select event_id, json_extract_string(props, '$.k')::bigint as k, '{"k":' || (json_extract_string(props, '$.k')::bigint + 1) || ',"meta":{"seen":true}}' as patched from events""")

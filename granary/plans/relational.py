@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from granary.operators import ordered
 from granary.operators import relational as rel
 from granary.operators.cases import cases
 from granary.plans.base import CASES, Plans
@@ -208,8 +209,9 @@ step as (select user_id, l, list_position(l, 'signup') as a from s), step2 as (s
 select user_id, coalesce(c > 0, false) as matched from step3""")
 def b16_ordered_subsequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether given kinds of events occur in order, gaps allowed."""
-    listed = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("l"))
-    return listed.select("user_id", rel.in_order(F.col("l.event_type"), ("signup", "error", "purchase")).alias("matched"))
+    wanted, events = ("signup", "error", "purchase"), table(spark, sf_dir, "events")
+    found, _ = ordered.reached(events, ["user_id"], ["ts", "event_id"], F.col("event_type"), len(wanted) + 1, ordered.sequence_step(wanted))
+    return found.select("user_id", (F.col("state") == len(wanted)).alias("matched"))
 
 
 @plans.query("select event_id, json_extract_string(props, '$.k')::bigint as k from events")
@@ -335,8 +337,9 @@ def j21_as_of_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 150).alias("user_id"), (F.lit("2024-01-10").cast("timestamp_ntz") + F.make_dt_interval((F.col("o_orderkey") % 15).cast("int"))).alias("at"))
     points = table(spark, sf_dir, "events").select("user_id", F.col("ts").alias("at"), F.lit(0).alias("side"), "event_id", F.lit(None).cast("long").alias("o_orderkey"), "value")
     asked = orders.select("user_id", "at", F.lit(1).alias("side"), F.lit(None).cast("long").alias("event_id"), "o_orderkey", F.lit(None).cast("double").alias("value"))
-    before = Window.partitionBy("user_id").orderBy("at", "side", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return points.unionByName(asked).withColumn("cap", F.last("value", ignorenulls=True).over(before)).where("side = 1").select("o_orderkey", "cap")
+    latest = F.when(F.col("value").isNotNull(), F.struct("at", "event_id", "value"))
+    found, _ = ordered.running(points.unionByName(asked), ["user_id"], ["at", "side", "event_id", "o_orderkey"], {"latest": ("max", latest)})
+    return found.where("side = 1").select("o_orderkey", F.col("latest.value").alias("cap"))
 
 
 @plans.query(f"with {DUPLICATES} select first_id, count(*) as n, string_agg(doc_id::varchar, ',' order by doc_id) as members from firsts group by first_id having count(*) > 1")
@@ -378,7 +381,10 @@ def g7_filtered_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 @plans.query("select event_type, round(quantile_cont(value, 0.5), 4) as p50, round(quantile_cont(value, 0.95), 4) as p95, round(stddev_samp(value), 4) as sd from events group by event_type")
 def g10_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact interpolated percentiles and sample deviation."""
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.percentile("value", 0.5), 4).alias("p50"), F.round(F.percentile("value", 0.95), 4).alias("p95"), F.round(F.stddev_samp("value"), 4).alias("sd"))
+    events = table(spark, sf_dir, "events").select("event_type", "value")
+    found, _ = ordered.percentiles(events, ["event_type"], "value", {"p50": (0.5, "between"), "p95": (0.95, "between")})
+    spread = events.groupBy("event_type").agg(F.round(F.stddev_samp("value"), 4).alias("sd"))
+    return ordered.matched(spread, found, ["event_type"]).select("event_type", F.round("p50", 4).alias("p50"), F.round("p95", 4).alias("p95"), "sd")
 
 
 @plans.query("with s as (select least(100, round(value / 4.9)) as v from events) select (floor(v / 20) + 1)::bigint as bucket, count(*) as n, round(avg(v), 6) as mean from s where v >= 0 and v < 100 group by all")
@@ -452,8 +458,9 @@ def g26_two_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @plans.query("select user_id, event_id, row_number() over (partition by user_id order by ts desc, event_id desc) as place, count(*) over (partition by user_id) as cluster from events")
 def w1_latest_and_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place from the latest and size of the cluster."""
-    own = Window.partitionBy("user_id")
-    return table(spark, sf_dir, "events").select("user_id", "event_id", F.row_number().over(own.orderBy(F.desc("ts"), F.desc("event_id"))).cast("long").alias("place"), F.count("*").over(own).alias("cluster"))
+    events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id")
+    placed, _ = ordered.running(events, ["user_id"], ["ts", "event_id"], {"place": ("sum", F.lit(1))}, backwards=True)
+    return ordered.matched(placed, events.groupBy("user_id").agg(F.count("*").alias("cluster")), ["user_id"]).select("user_id", "event_id", "place", "cluster")
 
 
 @plans.query("select distinct on (user_id) user_id, event_id, event_type from events order by user_id, ts desc, event_id desc")

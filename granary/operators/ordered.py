@@ -131,3 +131,24 @@ def sequence_step(wanted: Sequence[str]) -> Callable[[Column, Column], Column]:
     """The automaton of an ordered subsequence, gaps allowed: state k once the first k values have come."""
     values = F.array(*map(F.lit, wanted))
     return lambda state, symbol: F.when(F.coalesce(symbol == F.get(values, state), F.lit(False)), state + 1).otherwise(state)
+
+
+def near_in_time(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, other_at: str, before_s: int, after_s: int) -> DataFrame:
+    """Pairs of rows of one key where right's time lies in [at - before_s, at + after_s): left's columns and right's without keys.
+
+    Time is cut into bins as long as the span.  A right row lies in one bin, a left row
+    asks the two at most that its span touches; so each pair meets once, and a key's rows
+    are spread over as many tasks as it has bins.  Rows with a null key or time meet none.
+    """
+    width = (before_s + after_s) * 1_000_000
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    low, high = us(at) - before_s * 1_000_000, us(at) + after_s * 1_000_000
+    bins = F.array_distinct(F.array(F.floor(low / width), F.floor((high - 1) / width)))
+    asked = left.where(F.col(at).isNotNull()).select(F.struct(*(F.col(f"`{c}`") for c in left.columns)).alias("ordered:left"), low.alias("ordered:low"), high.alias("ordered:high"), F.explode(bins).alias("ordered:bin"))
+    own = [c for c in right.columns if c not in keys]
+    other = right.select(us(other_at).alias("ordered:us"), F.floor(us(other_at) / width).alias("ordered:in"), F.struct(*(F.col(f"`{c}`") for c in right.columns)).alias("ordered:right"))
+    on = (F.col("`ordered:bin`") == F.col("`ordered:in`")) & (F.col("`ordered:us`") >= F.col("`ordered:low`")) & (F.col("`ordered:us`") < F.col("`ordered:high`"))
+    for k in keys:
+        on = on & (F.col("`ordered:left`")[k] == F.col("`ordered:right`")[k])
+    met = asked.join(other, on)
+    return met.select(*(F.col("`ordered:left`")[c].alias(c) for c in left.columns), *(F.col("`ordered:right`")[c].alias(c) for c in own))

@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "m1_query_rate"
-MODULES = ("mining", "relational", "scalars", "similarity", "rules", "streams", "resolution", "domain", "claims", "documents")
+MODULES = ("mining", "relational", "scalars", "similarity", "rules", "streams", "resolution", "domain", "claims", "documents", "sinks")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

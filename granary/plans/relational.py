@@ -41,44 +41,6 @@ def a8_insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel.inserted_if_absent(target, events.where("event_type <> 'error'"), ["user_id", "event_type"], [F.asc("ts"), F.asc("event_id")]).select("user_id", "event_type", "event_id")
 
 
-OLD_NEW = """old as (select user_id, count(*) as n, max(value) as top, min(event_type) as sample from events where ts < timestamp '2024-01-15' and user_id % 3 <> 0 group by user_id),
-new as (select user_id, count(*) as n, max(value) as top, max(event_type) as sample from events where ts >= timestamp '2024-01-15' and user_id % 5 <> 0 group by user_id)"""
-
-
-def old_new(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    events, cut = table(spark, sf_dir, "events"), F.lit("2024-01-15").cast("timestamp_ntz")
-    old = events.where((F.col("ts") < cut) & (F.col("user_id") % 3 != 0)).groupBy("user_id").agg(F.count("*").alias("n"), F.max("value").alias("top"), F.min("event_type").alias("sample"))
-    return old, events.where((F.col("ts") >= cut) & (F.col("user_id") % 5 != 0)).groupBy("user_id").agg(F.count("*").alias("n"), F.max("value").alias("top"), F.max("event_type").alias("sample"))
-
-
-@plans.query(f"""with {OLD_NEW} select user_id, coalesce(o.n, 0) + coalesce(w.n, 0) as n, greatest(o.top, w.top) as top, coalesce(o.sample, w.sample) as sample,
-case when o.n is null then 'inserted' when w.n is null then 'kept' else 'updated' end as action from old o full join new w using (user_id)""")
-def a9_upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts added, largest value kept, old sample kept; says what was inserted and what updated."""
-    return rel.upserted(*old_new(spark, sf_dir), ["user_id"], {"n": "sum", "top": "greatest", "sample": "old"})
-
-
-@plans.query(f"with {OLD_NEW} select user_id, coalesce(w.n, o.n) as n, coalesce(w.top, o.top) as top from old o full join new w using (user_id)")
-def a10_plain_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Replace on key: the latest version of each key stays."""
-    old, new = old_new(spark, sf_dir)
-    both = old.withColumn("version", F.lit(1)).unionByName(new.withColumn("version", F.lit(2)))
-    return rel.first_per(both, ["user_id"], [F.desc("version")]).select("user_id", "n", "top")
-
-
-@plans.query(f"with {OLD_NEW} select user_id, greatest(o.n, w.n) as n, coalesce(o.sample, w.sample) as sample from old o full join new w using (user_id)")
-def a11_coalescing_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Old values stay unless null; the larger count wins."""
-    return rel.upserted(*old_new(spark, sf_dir), ["user_id"], {"n": "greatest", "sample": "old"}).drop("action")
-
-
-@plans.query(f"with {OLD_NEW} select user_id, n, 'new' as origin from new where user_id not in (select user_id from old) union all select user_id, n, 'existing' from old")
-def a13_insert_or_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inserted rows, and the existing row where nothing was inserted."""
-    old, new = old_new(spark, sf_dir)
-    return new.join(old, "user_id", "left_anti").select("user_id", "n", F.lit("new").alias("origin")).unionByName(old.select("user_id", "n", F.lit("existing").alias("origin")))
-
-
 DUPLICATES = "firsts as (select doc_id, lang, source, min(doc_id) over (partition by coalesce(text, '')) as first_id from documents)"
 
 
@@ -302,9 +264,10 @@ def j13_substring_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j14_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the same key within a half-open span of time."""
     events = table(spark, sf_dir, "events")
-    b = events.select(F.col("user_id").alias("u"), F.col("ts").alias("at"), F.col("event_id").alias("other"), F.col("value").alias("v"))
-    near = (F.col("user_id") == F.col("u")) & (F.col("at") >= F.col("ts") - F.expr("interval '1' hour")) & (F.col("at") < F.col("ts") + F.expr("interval '5' hour"))
-    return events.where("event_type = 'signup'").join(b, near, "left").groupBy("event_id").agg(F.count("other").alias("n_near"), F.round(F.coalesce(F.sum("v"), F.lit(0.0)), 4).alias("spent"))
+    others = events.select("user_id", F.col("ts").alias("at"), F.col("event_id").alias("other"), F.col("value").alias("v"))
+    asked = events.where("event_type = 'signup'").select("user_id", "ts", "event_id")
+    near = ordered.near_in_time(asked, others, ["user_id"], "ts", "at", 3600, 5 * 3600).groupBy("event_id").agg(F.count("*").alias("n_near"), F.round(F.sum("v"), 4).alias("spent"))
+    return asked.select("event_id").join(near, "event_id", "left").na.fill({"n_near": 0, "spent": 0.0})
 
 
 RULE_SETS = [(1, None, None, 0), (2, "ASIA", None, 1), (3, "ASIA", "BUILDING", 2), (4, None, "MACHINERY", 1), (5, "EUROPE", None, 1), (6, "EUROPE", None, 1)]

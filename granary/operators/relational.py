@@ -29,14 +29,15 @@ def upserted(old: DataFrame, new: DataFrame, keys: Sequence[str], policy: dict[s
     """Merge of two tables on a key, with how each column is merged and ``action``.
 
     policy: ``sum`` adds, ``greatest`` keeps the larger, ``old`` keeps what was
-    there unless null, ``new`` takes the new value unless null.  A full outer
-    join on the key: one shuffle of either side.
+    there unless null, ``new`` takes the new value unless null, ``replace`` takes it
+    also where it is null.  A full outer join on the key: one shuffle of either side.
     """
     rules = {
         "sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)),
         "greatest": lambda a, b: F.greatest(a, b),
         "old": lambda a, b: F.coalesce(a, b),
         "new": lambda a, b: F.coalesce(b, a),
+        "replace": lambda a, b: F.when(F.col("_new").isNotNull(), b).otherwise(a),
     }
     a, b = old.withColumn("_old", F.lit(True)).alias("a"), new.withColumn("_new", F.lit(True)).alias("b")
     joined = a.join(b, list(keys), "full_outer")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,8 @@ from granary.operators.cases import cases
 from granary.operators.domain import shape_of_change
 from granary.plans.base import CASES, Plans
 from granary.plans.scalars import check_digit_sql
-from granary.sources.tables import stored, table
+from granary.sources.tables import shared_dir, stored, table, table_stream
+from granary.streaming import dossiers
 
 plans = Plans()
 
@@ -31,6 +34,10 @@ LOG = f"""log as (select *, case when value < 250 or kind = 'claim_created' then
 
 def claim_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(claim, event_id, us, kind, payload, k) made of the event table."""
+    return as_claim_log(table(spark, sf_dir, "events"))
+
+
+def as_claim_log(events: DataFrame) -> DataFrame:
     k, kind = F.get_json_object("props", "$.k").cast("int"), F.col("event_type")
     item = F.when(k % 10 != 0, F.concat(F.lit("i"), (k % 4).cast("string")))
     stage = F.when(k % 7 != 0, F.upper(kind))
@@ -39,7 +46,7 @@ def claim_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 4 != 0, kind).alias("outcome"), kind.alias("category"), F.concat(F.lit("s"), (k % 20).cast("string")).alias("section_id"), kind.alias("verdict"),
     )
     named = F.get(F.array(*map(F.lit, KINDS)), (F.col("event_id") % len(KINDS)).cast("int"))
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("claim"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), named.alias("kind"), F.to_json(payload).alias("payload"), k.alias("k"))
+    return events.select(F.col("user_id").alias("claim"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), named.alias("kind"), F.to_json(payload).alias("payload"), k.alias("k"))
 
 
 ITEMS_SQL = "kind in ({})".format(", ".join(f"'{k}'" for k in ds.ITEM_KINDS))
@@ -61,7 +68,7 @@ count(distinct event_type || section) filter (where kind = 'section_classified')
 count(*) filter (where kind in ('query_raised', 'ai_draft_created', 'claim_action_dispatched') and item is null) as n_malformed, count(*) filter (where kind in ('claim_harmonised', 'harmonisation_corrected', 'inbound_email_unmatched', 'rule_override', 'section_corrected', 'made_up')) as n_unknown
 from log group by claim""")
 def s2_dossier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All 23 kinds of events of a claim folded to one row."""
+    """A claim's events folded to one row; document events other than classified sections only raise the version."""
     return ds.dossier(claim_log(spark, sf_dir))
 
 
@@ -72,6 +79,25 @@ def s2_open_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ds.open_items(claim_log(spark, sf_dir))
 
 
+def streamed(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the tables that the log, read as a stream, was folded into."""
+    root = f"{shared_dir(spark)}/granary/{uuid.uuid4().hex}/dossiers"
+    dossiers.kept(as_claim_log(table_stream(spark, sf_dir, "events")), root).trigger(availableNow=True).start().awaitTermination()
+    return root
+
+
+@plans.query(plans.sql["s2_dossier"])
+def s2_dossier_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dossiers by a stream over the event files, with state per claim; equals the batch fold."""
+    return dossiers.dossiers(spark, streamed(spark, sf_dir))
+
+
+@plans.query(plans.sql["s2_open_items"])
+def s2_open_items_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open items by the same stream."""
+    return dossiers.open_items(spark, streamed(spark, sf_dir))
+
+
 # ---- rules
 
 STAGE_RULES = [

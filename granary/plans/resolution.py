@@ -178,16 +178,6 @@ def s2_stream_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     of files, not of times, decide which events are late.  Its size does no harm,
     for it is reduced by partial aggregates before it meets the states.
     """
-    base = f"{shared_dir(spark)}/granary/stream-{uuid.uuid4().hex}"
-    done: list[int] = []
-
-    def states(session: SparkSession) -> DataFrame:
-        return session.read.schema(folds.OUTPUT).parquet(f"{base}/states/{done[-1]:09d}") if done else session.createDataFrame([], folds.OUTPUT)
-
-    def keep(batch: DataFrame, number: int) -> None:
-        folds.fold_batch(batch, states(batch.sparkSession)).write.mode("overwrite").parquet(f"{base}/states/{number:09d}")  # a repeated batch replaces itself
-        done.append(number)
-
-    query = table_stream(spark, sf_dir, "events").writeStream.foreachBatch(keep).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return states(spark)
+    root = f"{shared_dir(spark)}/granary/{uuid.uuid4().hex}/fold"
+    folds.kept(table_stream(spark, sf_dir, "events"), root).trigger(availableNow=True).start().awaitTermination()
+    return folds.newest_states(spark, root)

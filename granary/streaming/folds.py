@@ -12,10 +12,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from granary.sources.tables import exists
+
 STATE = "applied long, dropped long, last_us long, last_id long, opened long, closed long"
 OUTPUT = f"user_id long, {STATE}"
 OPENS, CLOSES = "signup", "purchase"
@@ -72,6 +74,34 @@ def fold_batch(events: DataFrame, states: DataFrame) -> DataFrame:
     return states.join(found, "user_id", "full").select("user_id", total("applied"), total("dropped"), *latest, total("opened"), total("closed"))
 
 
+def states_after(spark: SparkSession, root: str, batch: int) -> DataFrame:
+    """The states that a batch left; none before the first."""
+    return spark.read.schema(OUTPUT).parquet(f"{root}/states/{batch:09d}") if batch >= 0 else spark.createDataFrame([], OUTPUT)
+
+
+def newest_states(spark: SparkSession, root: str) -> DataFrame:
+    """The states after the last batch under a folder."""
+    batch = -1
+    while exists(spark, f"{root}/states/{batch + 1:09d}/_SUCCESS"):
+        batch += 1
+    return states_after(spark, root, batch)
+
+
+def kept(events: DataFrame, root: str):
+    """A writer that folds an event stream into states under ``root``, by ``fold_batch``; call ``start``.
+
+    Batch n reads what batch n - 1 left, by the number that the checkpoint under
+    ``root`` gives it, so a restart, also in another session, goes on where the last
+    batch ended, and a repeated batch replaces itself.
+    """
+
+    def keep(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        fold_batch(batch, states_after(spark, root, number - 1)).write.mode("overwrite").parquet(f"{root}/states/{number:09d}")
+
+    return events.writeStream.foreachBatch(keep).option("checkpointLocation", f"{root}/checkpoint")
+
+
 def stream_fold(events: DataFrame) -> DataFrame:
     """The state of each key after every micro-batch that touches it (update mode).
 

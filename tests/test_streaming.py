@@ -83,3 +83,20 @@ def test_fold_batch_splits_at_the_stored_state(spark):
         states = spark.createDataFrame(folds.fold_batch(events(spark, batch), states).collect(), folds.OUTPUT)
     us = 1_704_067_200_000_000
     assert sorted(map(tuple, states.collect())) == [(1, 3, 1, us + 200_000_000, 4, 1, 0), (2, 1, 0, us + 90_000_000, 5, 0, 1), (9, 5, 0, 50, 8, 1, 0)]
+
+
+def test_fold_goes_on_after_a_restart(spark, small, tmp_path):
+    """Three starts, each with new part files and a new query; the states go on from the checkpoint."""
+    events = spark.read.parquet(f"{small}/events.parquet")
+    cuts = events.approxQuantile("event_id", [0.3, 0.7], 0.01)
+    source, root = f"{tmp_path}/events", f"{tmp_path}/out"
+    parts = [events.where(events.event_id <= cuts[0]), events.where((events.event_id > cuts[0]) & (events.event_id <= cuts[1])), events.where(events.event_id > cuts[1])]
+    states = None
+    for part in parts:
+        part.write.mode("append").parquet(source)
+        folds.kept(spark.readStream.schema(events.schema).parquet(source), root).trigger(availableNow=True).start().awaitTermination()
+        states = part if states is None else states.unionByName(part)
+    plain = folds.states_after(spark, root, -1)
+    for part in parts:
+        plain = spark.createDataFrame(folds.fold_batch(part, plain).collect(), folds.OUTPUT)
+    assert sorted(map(tuple, folds.newest_states(spark, root).collect())) == sorted(map(tuple, plain.collect()))

@@ -69,7 +69,7 @@ class Fold(StatefulProcessor):
         self.items = handle.getMapState("items", "list string, item string", "gone_us long, gone_id long, us array<long>, ids array<long>")
         self.columns = [c.split()[0] for c in STATE.split(", ")]
 
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timer_values) -> Iterator[Row]:
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         if self.value.exists():
             now = dict(zip(self.columns, self.value.get(), strict=True))
         else:

@@ -93,7 +93,8 @@ def registrations(text: Column) -> Column:
         known = F.transform(F.filter(found, lambda t: t["council"].isNotNull()), lambda t: t["number"])
         return let(known, lambda k: F.filter(found, lambda t: t["council"].isNotNull() | ~F.array_contains(k, t["number"])))
 
-    return let(F.array_distinct(F.filter(F.transform(tokens(text, r"(?<![\p{L}\p{N}_])[A-Za-z]?\d{3,7}(?![\p{L}\p{N}_])"), told), lambda t: t.isNotNull())), once)
+    found = let(F.array_distinct(F.filter(F.transform(tokens(text, r"(?<![\p{L}\p{N}_])[A-Za-z]?\d{3,7}(?![\p{L}\p{N}_])"), told), lambda t: t.isNotNull())), once)
+    return only_if(holds_any(text, ("REG", "MC", "M.C", "COUNCIL")) & text.rlike(r"\d{3}"), found)
 
 
 def merged_groups(groups: Sequence[int]) -> list[list[int]]:
@@ -130,25 +131,36 @@ def grouped_numbers(text: Column, groups: Sequence[int]) -> Column:
     return F.flatten(F.transform(tokens(text, r"(?<![\p{L}\p{N}_])\d+(?:[\s-]\d+)*(?![\p{L}\p{N}_])"), of_run))
 
 
+def only_if(test: Column, found: Column) -> Column:
+    """``found`` where a cheap necessary condition holds, else an empty array: most texts have none of these and are not scanned for tokens."""
+    return F.when(test, found).otherwise(F.when(test.isNotNull(), F.array()))
+
+
+def holds_any(text: Column, words: Sequence[str]) -> Column:
+    """Whether a text holds one of some upper-case words, in any case."""
+    return names_any(F.upper(text), words)
+
+
 def _values(found: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda x: x["token"]))
 
 
 def national_ids(text: Column) -> Column:
     """Numbers of three groups of four digits whose check digit is right and whose first is neither 0 nor 1."""
-    return F.filter(_values(grouped_numbers(text, NATIONAL_GROUPS)), verhoeff_valid)
+    return only_if(text.rlike(r"\d{4}[\s-]?\d{4}[\s-]?\d{4}"), F.filter(_values(grouped_numbers(text, NATIONAL_GROUPS)), verhoeff_valid))
 
 
 def health_ids(text: Column) -> Column:
     """Numbers of 2, 4, 4 and 4 digits near a word for the health id."""
-    return _values(F.filter(grouped_numbers(text, HEALTH_GROUPS), lambda x: names_any(around(text, F.struct(x["at"].alias("at"), x["run"].alias("token")), HEALTH_WINDOW), HEALTH_WORDS)))
+    found = F.filter(grouped_numbers(text, HEALTH_GROUPS), lambda x: names_any(around(text, F.struct(x["at"].alias("at"), x["run"].alias("token")), HEALTH_WINDOW), HEALTH_WORDS))
+    return only_if(holds_any(text, [w.split()[0] for w in HEALTH_WORDS]) & text.rlike(r"\d"), _values(found))
 
 
 def scheme_ids(text: Column) -> Column:
     """Codes of 8 to 12 capitals and digits near the scheme's name, then 12 to 15 digits near it or near a word for its members, unless they are a national id."""
     capital = F.filter(tokens(text, r"(?<![\p{L}\p{N}_])[A-Z][A-Z0-9]{7,11}(?![\p{L}\p{N}_])"), lambda x: ~x["token"].isin(*NOT_SCHEME_IDS) & names_any(around(text, x, SCHEME_WINDOW), SCHEME_WORDS))
     digits = F.filter(tokens(text, r"(?<![\p{L}\p{N}_])\d{12,15}(?![\p{L}\p{N}_])"), lambda x: names_any(around(text, x, SCHEME_WINDOW), (*SCHEME_WORDS, *MEMBER_WORDS)) & ~verhoeff_valid(x["token"]))
-    return F.array_distinct(F.concat(_values(capital), _values(digits)))
+    return only_if(holds_any(text, (*SCHEME_WORDS, *(w.split()[0] for w in MEMBER_WORDS))), F.array_distinct(F.concat(_values(capital), _values(digits))))
 
 
 def mobiles(text: Column) -> Column:
@@ -186,7 +198,7 @@ def days(text: Column) -> Column:
     iso = F.transform(F.regexp_extract_all(text, F.lit(rf"{edge}\d{{4}}-\d\d-\d\d{end}"), F.lit(0)), lambda t: made(_day(part(t, 0), part(t, 1), part(t, 2)), F.lit("year_first")))
     numbers = F.transform(F.regexp_extract_all(text, F.lit(rf"{edge}\d\d?[/.-]\d\d?[/.-]\d{{2,4}}{end}"), F.lit(0)), numeric)
     names = F.transform(F.regexp_extract_all(text, F.lit(rf"(?i){edge}\d\d?\s+(?:{'|'.join(MONTHS)})[a-z]*\s+\d{{2,4}}{end}"), F.lit(0)), named)
-    return F.array_distinct(F.filter(F.concat(iso, numbers, names), lambda d: d.isNotNull()))
+    return only_if(text.rlike(r"\d[/.\s-]"), F.array_distinct(F.filter(F.concat(iso, numbers, names), lambda d: d.isNotNull())))
 
 
 def amounts(text: Column) -> Column:
@@ -201,7 +213,8 @@ def amounts(text: Column) -> Column:
         behind = F.filter(found, lambda x: any_of(F.startswith(right(x), F.lit(m)) for m in MARKS_AFTER) & ~F.coalesce(before(text, x["at"], 1).rlike(r"[\p{L}_]"), F.lit(False)))
         return F.array_distinct(F.filter(F.concat(F.transform(ahead, value), F.transform(behind, value)), lambda v: v > 0))
 
-    return let(tokens(text, r"\d[\d,]*(?:\.\d{1,2})?"), marked)
+    beside = r"\d(?:(?<=(?:RS\.?|INR|₹|RUPEES)\s{0,12}\d)|,*\s*(?:/-|RS|INR|RUPEES|ONLY))"  # looks around digits only
+    return only_if(F.upper(text).rlike(beside), let(tokens(text, r"\d[\d,]*(?:\.\d{1,2})?"), marked))
 
 
 def claim_number(text: Column) -> Column:

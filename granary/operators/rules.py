@@ -44,12 +44,17 @@ def evaluated(rows: DataFrame, key: str, rules: list[Rule], confidence: str | No
 
 def readiness(rows: DataFrame, key: str, rules: list[Rule], confidence: str | None = None) -> DataFrame:
     """Score from 100 and rule lists per row, without a shuffle: what ``evaluated`` says, folded in place."""
+    return rows.select(key, *(c.alias(name) for name, c in readiness_columns(rows, rules, confidence).items()))
+
+
+def readiness_columns(rows: DataFrame, rules: list[Rule], confidence: str | None = None) -> dict[str, Column]:
+    """score, blocking, warnings, errored and abstained as columns of rows."""
     known = F.col(confidence) if confidence else None
     status = {r.rule_id: outcome(r, rows.columns, known) for r in rules}
     grave = ("CRITICAL", "HIGH")
     lost = sum((F.when(status[r.rule_id] == "FAIL", PENALTY[r.severity]).otherwise(0) for r in rules), F.lit(0))
     listed = lambda state, severe: F.array_join(F.array_compact(F.array(*(F.when(status[r.rule_id] == state, r.rule_id) for r in rules if severe is None or (r.severity in grave) == severe), F.lit(None).cast("string"))), ",")
-    return rows.select(key, F.greatest(F.lit(0), 100 - lost).cast("long").alias("score"), listed("FAIL", True).alias("blocking"), listed("FAIL", False).alias("warnings"), listed("ERROR", None).alias("errored"), listed("SKIP", True).alias("abstained"))
+    return {"score": F.greatest(F.lit(0), 100 - lost).cast("long"), "blocking": listed("FAIL", True), "warnings": listed("FAIL", False), "errored": listed("ERROR", None), "abstained": listed("SKIP", True)}
 
 
 def bucket(score: Column) -> Column:
@@ -76,11 +81,52 @@ def calibration(evaluations: DataFrame, feedback: DataFrame) -> DataFrame:
 
 
 def shadow(rows: DataFrame, key: str, live: list[Rule], draft: list[Rule]) -> DataFrame:
-    """Scores of both rule sets and what the draft newly blocks or no longer blocks; both are read in one pass."""
-    both = readiness(rows, key, live).select(key, F.col("score").alias("live_score"), F.col("blocking").alias("live"))
-    other = readiness(rows, key, draft).select(key, F.col("score").alias("draft_score"), F.col("blocking").alias("draft"))
+    """Scores of both rule sets and what the draft newly blocks or no longer blocks: one projection of rows."""
+    now, then = readiness_columns(rows, live), readiness_columns(rows, draft)
+    both = rows.select(key, now["score"].alias("live_score"), then["score"].alias("draft_score"), now["blocking"].alias("live"), then["blocking"].alias("draft"))
     a, b = (F.filter(F.split(c, ","), lambda x: x != "") for c in ("live", "draft"))
-    return both.join(other, key).select(key, "live_score", "draft_score", F.array_join(F.array_except(b, a), ",").alias("newly_blocking"), F.array_join(F.array_except(a, b), ",").alias("no_longer_blocking"))
+    return both.select(key, "live_score", "draft_score", F.array_join(F.array_except(b, a), ",").alias("newly_blocking"), F.array_join(F.array_except(a, b), ",").alias("no_longer_blocking"))
+
+
+@dataclass(frozen=True)
+class RuleSet:
+    """Rules that hold from a moment on, until the next set of a later one."""
+
+    version: int
+    valid_from: str
+    rules: tuple[Rule, ...]
+
+
+def version_at(moment: Column, sets: list[RuleSet]) -> Column:
+    """The version that holds at a moment; null before the first and for a null moment."""
+    chosen = F.lit(None).cast("int")
+    for s in sorted(sets, key=lambda s: s.valid_from):
+        chosen = F.when(moment >= F.lit(s.valid_from).cast("timestamp"), s.version).otherwise(chosen)
+    return chosen
+
+
+def replayed(rows: DataFrame, key: str, moment: str, sets: list[RuleSet], target: int, confidence: str | None = None) -> DataFrame:
+    """(key, version, rule_id, before, after, score_before, score_after): each row's rules by the set of its moment and by the target set.
+
+    A rule that only one set has is null under the other; a row from before the first set
+    is left out.  One projection and an explode, whatever the number of sets: each set
+    is compiled once, and a row takes the columns of its own.
+    """
+    known = F.col(confidence) if confidence else None
+    by_version = {s.version: {r.rule_id: outcome(r, rows.columns, known) for r in s.rules} for s in sets}
+    scores = {s.version: readiness_columns(rows, list(s.rules), confidence)["score"] for s in sets}
+    version = version_at(F.col(moment).cast("timestamp"), sets)
+
+    def of_own(columns: dict[int, Column | None]) -> Column:
+        chosen = F.lit(None)
+        for v, c in columns.items():
+            chosen = chosen if c is None else F.when(F.col("_version") == v, c).otherwise(chosen)
+        return chosen
+
+    names = sorted({r.rule_id for s in sets for r in s.rules})
+    parts = F.array(*(F.struct(F.lit(n).alias("rule_id"), of_own({v: rules.get(n) for v, rules in by_version.items()}).cast("string").alias("before"), by_version[target].get(n, F.lit(None)).cast("string").alias("after")) for n in names))
+    told = rows.withColumn("_version", version).where("_version is not null").select(key, F.col("_version").alias("version"), of_own(scores).cast("long").alias("score_before"), scores[target].alias("score_after"), F.inline(parts))
+    return told.where("before is not null or after is not null").select(key, "version", "rule_id", "before", "after", "score_before", "score_after")
 
 
 @dataclass(frozen=True)

@@ -127,3 +127,22 @@ def e8_confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels against a predicted class."""
     joined = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
     return joined.groupBy(F.col("quality").alias("actual"), (F.col("n_chars") > 500).cast("int").alias("predicted")).agg(F.count("*").alias("n"))
+
+
+REPLAYED = [
+    r.RuleSet(1, "1995-01-01", (r.Rule("lines", "n_lines", "GREATER_THAN_OR_EQUAL", (1,), "CRITICAL"), r.Rule("open_query", "queried", "EQUALS", (False,), "HIGH"))),
+    r.RuleSet(2, "1997-06-01", (r.Rule("lines", "n_lines", "GREATER_THAN_OR_EQUAL", (2,), "CRITICAL"), r.Rule("open_query", "queried", "EQUALS", (False,), "HIGH"), r.Rule("share", "approved", "GREATER_THAN", (50000.0,), "LOW"))),
+    r.RuleSet(3, "2000-01-01", (r.Rule("lines", "n_lines", "GREATER_THAN_OR_EQUAL", (3,), "HIGH"), r.Rule("status", "status", "NOT_EQUALS", ("P",), "MEDIUM"), r.Rule("share", "approved", "GREATER_THAN", (50000.0,), "LOW"))),
+]
+
+
+@plans.query(f"""with {CASES}, v as (select *, case when opened >= timestamp '2000-01-01' then 3 when opened >= timestamp '1997-06-01' then 2 when opened >= timestamp '1995-01-01' then 1 end as version from cases),
+s as (select *, case when n_lines >= case version when 1 then 1 when 2 then 2 else 3 end then 'PASS' else 'FAIL' end as l0, case when n_lines >= 3 then 'PASS' else 'FAIL' end as l1, case when version < 3 then case when queried then 'FAIL' else 'PASS' end end as q0, case when version > 1 then case when approved > 50000 then 'PASS' else 'FAIL' end end as s0, case when approved > 50000 then 'PASS' else 'FAIL' end as s1,
+  case when version = 3 then case when status <> 'P' then 'PASS' else 'FAIL' end end as t0, case when status <> 'P' then 'PASS' else 'FAIL' end as t1 from v where version is not null),
+p as (select *, 100 - case when l0 = 'FAIL' then case when version < 3 then 25 else 10 end else 0 end - case when q0 = 'FAIL' then 10 else 0 end - case when s0 = 'FAIL' then 2 else 0 end - case when t0 = 'FAIL' then 5 else 0 end as old, 100 - case when l1 = 'FAIL' then 10 else 0 end - case when s1 = 'FAIL' then 2 else 0 end - case when t1 = 'FAIL' then 5 else 0 end as new from s),
+u as (select version, old, new, 'lines' as rule_id, l0 as before, l1 as after from p union all select version, old, new, 'open_query', q0, null from p union all select version, old, new, 'share', s0, s1 from p union all select version, old, new, 'status', t0, t1 from p)
+select version, rule_id, before, after, count(*) as n, round(avg(new - old), 6) as mean_change from u where before is not null or after is not null group by all""")
+def e3_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed and open cases replayed under the newest rule set: what each rule said by the set of the case's day and says now, with the change of scores."""
+    told = r.replayed(cases(spark, sf_dir), "case_id", "opened", REPLAYED, 3)
+    return told.groupBy("version", "rule_id", "before", "after").agg(F.count("*").alias("n"), F.round(F.avg(F.col("score_after") - F.col("score_before")), 6).alias("mean_change"))

@@ -70,15 +70,28 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def farthest_first(x: np.ndarray, k: int) -> np.ndarray:
-    """k rows, each the farthest from those before it."""
+    """k of some unit vectors, each the farthest from those before it.
+
+    A round is one product of the sample with a vector, in the sample's own precision,
+    so nothing of the sample's size is made.
+    """
     chosen = [0]
-    gap = ((x - x[0]) ** 2).sum(1)
-    while len(chosen) < min(k, len(x)) and gap.max() > 1e-12:
+    gap = 2 - 2 * (x @ x[0])
+    while len(chosen) < min(k, len(x)) and gap.max() > 1e-6:
         chosen.append(int(gap.argmax()))
-        gap = np.minimum(gap, ((x - x[chosen[-1]]) ** 2).sum(1))
+        np.minimum(gap, 2 - 2 * (x @ x[chosen[-1]]), out=gap)
     return x[chosen]
 
 
+def sampled(column: pa.Array, dim: int) -> np.ndarray:
+    """Rows of an Arrow list column as unit vectors in single precision, made a slice at a time."""
+    out = np.empty((len(column), dim), np.float32)
+    for at in range(0, len(column), DEALT_ROWS):
+        part = column.slice(at, DEALT_ROWS)
+        out[at : at + len(part)] = unit(matrix(part, dim))
+    return out
+
+
 def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (x @ pivots.T)))
 
@@ -234,7 +247,9 @@ def near_duplicates(vectors: DataFrame, limit: float = 0.95, per_pivot: int = PE
         sample = own.where(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < int(share * (1 << 30))).select("embedding").toArrow()["embedding"].combine_chunks()
         if not len(sample):
             sample = own.select("embedding").limit(1).toArrow()["embedding"].combine_chunks()
-        pivots = farthest_first(unit(matrix(sample, dim)), n_pivots)
+        # any unit vectors will do as pivots: they steer the cost, not the result
+        pivots = unit(farthest_first(sampled(sample, dim), n_pivots).astype(np.float64))
+        del sample
         radii, at_home = np.full(len(pivots), -9.0), np.zeros(len(pivots), np.int64)
         for x in homes(own, dim, pivots).groupBy("cell").agg(F.max("distance").alias("radius"), F.count("*").alias("n")).collect():
             radii[x["cell"]], at_home[x["cell"]] = x["radius"], x["n"]

@@ -33,6 +33,8 @@ from granary.sources.tables import small_batches
 
 #: Labelled rows to learn from, per language, in expectation.
 SAMPLE_DOCS = 8_000
+#: Labels that a model can have: each is a vector of half a MB on the driver and in a broadcast.
+MOST_LANGUAGES = 400
 CELLS = 1 << 16
 SMOOTHING = 0.2
 ROUNDS = 15
@@ -61,11 +63,13 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], np.ndarray]:
-    """Languages and their trigram probabilities (cells x languages)."""
+    """Languages and their trigram probabilities (cells x languages); an error for more than MOST_LANGUAGES labels."""
     small_batches(docs.sparkSession)
     labelled = docs.where(docs["lang"].isNotNull() & docs["doc_id"].isNotNull() & ~held_out(docs["doc_id"]))
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
+    if len(languages) > MOST_LANGUAGES:
+        raise ValueError(f"{len(languages)} different labels to learn: the model holds {MOST_LANGUAGES} languages at most; clean the labels first")
     counts = np.zeros((CELLS, len(languages)))
     if languages:
         chance = F.create_map(*(F.lit(v) for l, n in sizes.items() for v in (l, min(1.0, sample_docs / n))))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 from fixtures import documents, with_clashing_columns
 
 from granary.llm import language, registry
@@ -104,3 +105,10 @@ def test_ties_and_repeated_rows(spark):
     flat = np.full((language.CELLS, 2), 1 / language.CELLS)
     rows = language.predict(docs, ["aa", "bb"], flat).collect()
     assert {(r["lang_pred"], r["score"]) for r in rows} == {("aa", 1.0)} and len(rows) == 3
+
+
+def test_too_many_labels_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 3)
+    docs = spark.createDataFrame([(i, f"some words {i}", f"l{i % 5}", "s", 1) for i in range(40)], "doc_id long, text string, lang string, source string, n_chars long")
+    with pytest.raises(ValueError, match="labels"):
+        language.train(docs)

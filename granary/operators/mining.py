@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.operators import ordered
+from granary.sources.tables import stored
 
 # Least group sizes and thresholds of the miners.
 QUERY_LEAST, QUERY_RATE = 5, 0.6
@@ -67,6 +68,7 @@ def dwell_stats(dwell: DataFrame, keys: Sequence[str], least: int = DWELL_LEAST)
     The nearest-rank value is element floor(0.95 n) of the sorted values, found by
     counts per value, so groups may be as few and as large as they like.
     """
+    dwell = stored(dwell.select(*keys, "dwell_s"), "dwell")  # read twice
     found = dwell.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("dwell_s").alias("mean_s"), F.stddev_pop("dwell_s").alias("sd_s"))
     ranks, _ = ordered.percentiles(dwell, keys, "dwell_s", {"p95_s": (0.95, "rank")})
     found = ordered.matched(found, ranks, keys)

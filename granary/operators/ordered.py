@@ -83,17 +83,17 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Ma
     return both.select(*(F.col(f"`{c}`") for c in df.columns), *(combined(n, kind).alias(n) for n, (kind, _) in values.items())), pieces
 
 
-def percentiles(df: DataFrame, keys: Sequence[str], value: str, wanted: Mapping[str, tuple[float, str]], most_rows: int = MOST_ROWS, piece_rows: int = PIECE_ROWS) -> tuple[DataFrame, DataFrame | None]:
-    """(keys with a column for each of wanted, pieces or None): name to (fraction, ``between`` or ``rank``).
+def percentiles(df: DataFrame, keys: Sequence[str], value: str, wanted: Mapping[str, tuple[float, str]], most_rows: int = MOST_ROWS, piece_rows: int = PIECE_ROWS) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+    """(keys with a column for each of wanted, the tables behind it): name to (fraction, ``between`` or ``rank``).
 
     ``between`` interpolates at fraction * (n - 1), as percentile_cont does; ``rank``
     is element floor(fraction * n) of the sorted values, from 0, the last at most.
     Nulls don't count; a key without values is left out.
     """
     held = df.where(F.col(value).isNotNull())
-    counts = held.groupBy(*keys, value).agg(F.count("*").alias("ordered:n"))
+    counts = stored(held.groupBy(*keys, value).agg(F.count("*").alias("ordered:n")), "counts")  # made once, read three times
     upto, pieces = running(counts, keys, [value], {"ordered:upto": ("sum", F.col("`ordered:n`"))}, most_rows=most_rows, piece_rows=piece_rows)
-    totals = (pieces if pieces is not None else counts).groupBy(*keys).agg(F.sum("`ordered:n`").alias("ordered:total"))
+    totals = counts.groupBy(*keys).agg(F.sum("`ordered:n`").alias("ordered:total"))
     rows = matched(upto, totals, keys)
     n = F.col("`ordered:total`")
     at = lambda rank: F.min(F.when(F.col("`ordered:upto`") >= rank, F.col(value)))
@@ -105,7 +105,7 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, wanted: Mapping[
             place = (n - 1) * F.lit(fraction)
             low, high, part = at(F.floor(place) + 1), at(F.ceil(place) + 1), F.max(place - F.floor(place))
             found.append((low + (high - low) * part).alias(name))
-    return rows.groupBy(*keys).agg(*found), pieces
+    return rows.groupBy(*keys).agg(*found), (counts,) if pieces is None else (counts, pieces)
 
 
 def reached(df: DataFrame, keys: Sequence[str], order: Sequence[str], symbol: Column, n_states: int, step: Callable[[Column, Column], Column], most_rows: int = MOST_ROWS, piece_rows: int = PIECE_ROWS, fan: int = FAN) -> tuple[DataFrame, DataFrame | None]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Sequence
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -161,3 +162,41 @@ def near_sections(sections: DataFrame, claim: str, limit: int = 16) -> DataFrame
     tied = keyed.join(components(pairs), F.col("_key") == F.col("node"), "left").select("section", F.coalesce("component", "_key").alias("_group"))
     first = tied.groupBy("_group").agg(F.min("section").alias("first_section"))
     return tied.join(first, "_group").select("section", "first_section")
+
+
+def nearest_earlier_hash(rows: DataFrame, id_column: str, group: str, hash_column: str, limit: int = 4) -> DataFrame:
+    """(id, template, distance): for each row the nearest earlier row (smaller id) of its group by 64-bit hashes, at most ``limit`` (0 to 6) bits off, the smallest id on ties.
+
+    Hashes are 16 hex digits.  Of rows with equal hashes the first stands for
+    all.  A row without an id, group or hash of that form has no template and is
+    none; rows without a template give no row.
+
+    A hash is a head of seven bytes and a tail of one.  A head is one row with
+    its tails (256 at most), so hashes that differ in the tail alone, however
+    many rows hold them, are compared inside that row.  Heads within ``limit``
+    bits agree in ``7 - limit`` bytes at least, so different heads meet on each
+    choice of as many bytes, and no group is paired as a whole.  What a hash
+    reaches is the first id at each distance; rows look that up by their hash.
+    """
+    number = lambda at, n: F.conv(F.substring(hash_column, at, n), 16, 10).cast("long")
+    known = rows.where(F.col(id_column).isNotNull() & F.col(group).isNotNull() & F.col(hash_column).rlike("^[0-9a-fA-F]{16}$"))
+    known = stored(known.select(id_column, F.col(group).alias("_group"), number(1, 14).alias("_head"), number(15, 2).alias("_tail")), "hashes")  # hashes are made once
+    firsts = known.groupBy("_group", "_head", "_tail").agg(F.min(id_column).alias("first"))
+    heads = stored(firsts.groupBy("_group", "_head").agg(F.collect_list(F.struct(F.col("_tail").alias("tail"), "first")).alias("_tails")), "heads")
+    masks = [sum(0xFF << 8 * byte for byte in chosen) for chosen in combinations(range(7), 7 - limit)]
+    keys = F.inline(F.array(*(F.struct(F.lit(i).alias("_i"), F.col("_head").bitwiseAND(F.lit(m)).alias("_key")) for i, m in enumerate(masks))))
+    keyed = heads.select("_group", "_head", keys)
+    apart = F.bit_count(F.col("_head").bitwiseXOR(F.col("_other"))).cast("int")
+    met = keyed.join(keyed.withColumnRenamed("_head", "_other"), ["_group", "_i", "_key"]).where((F.col("_head") < F.col("_other")) & (apart <= limit)).select("_group", "_head", "_other").distinct()
+    ways = met.select("_group", F.inline(F.array(F.struct("_head", "_other"), F.struct(F.col("_other").alias("_head"), F.col("_head").alias("_other")))))
+    others = heads.select("_group", F.col("_head").alias("_other"), F.col("_tails").alias("_found"))
+    reached = heads.withColumns({"_found": F.col("_tails"), "_apart": F.lit(0)})
+    reached = reached.unionByName(ways.join(heads, ["_group", "_head"]).join(others, ["_group", "_other"]).withColumn("_apart", apart).drop("_other"))
+    bits = lambda f: F.bit_count(f["tail"].bitwiseXOR(F.col("tail"))) + F.col("_apart")
+    level = lambda d: F.array_min(F.transform(F.filter("_found", lambda f: bits(f) == d), lambda f: f["first"]))
+    levels = reached.select("_group", "_head", "_found", "_apart", F.explode("_tails.tail").alias("tail")).select("_group", "_head", F.col("tail").alias("_tail"), *(level(d).alias(f"_{d}") for d in range(limit + 1)))
+    levels = levels.groupBy("_group", "_head", "_tail").agg(*(F.min(f"_{d}").alias(f"_{d}") for d in range(limit + 1)))
+    earlier = [F.col(f"_{d}") < F.col(id_column) for d in range(limit + 1)]
+    template = F.coalesce(*(F.when(e, F.col(f"_{d}")) for d, e in enumerate(earlier)))
+    distance = F.coalesce(*(F.when(e, F.lit(d)) for d, e in enumerate(earlier))).cast("long")
+    return known.join(levels, ["_group", "_head", "_tail"]).select(id_column, template.alias("template"), distance.alias("distance")).where("template is not null")

@@ -12,6 +12,7 @@ from granary.functions import scalars as fn
 from granary.operators import domain as d
 from granary.operators import mining, ordered
 from granary.operators import relational as rel
+from granary.operators import similarity as sim
 from granary.operators.cases import cases
 from granary.plans.base import CASES, Plans
 from granary.plans.scalars import LONGEST
@@ -74,24 +75,14 @@ def j15_parent_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.alias("c").join(part.alias("p"), F.floor(F.col("c.p_partkey") / 10) == F.col("p.p_partkey"), "left").select("c.p_partkey", "c.p_name", F.col("p.p_name").alias("parent"))
 
 
-BANDS = ((1, 3), (4, 3), (7, 3), (10, 3), (13, 4))
-
-
 @plans.query("""with h as (select doc_id, source, md5(coalesce(text, ''))[1:14] || lpad(printf('%x', doc_id % 256), 2, '0') as h from documents), t as (select source, h, min(doc_id) as template from h group by all),
 m as (select a.doc_id, t.template, (bit_count(xor(('0x' || a.h[1:8])::bigint, ('0x' || t.h[1:8])::bigint)) + bit_count(xor(('0x' || a.h[9:16])::bigint, ('0x' || t.h[9:16])::bigint)))::bigint as distance from h a join t on t.source = a.source and t.template < a.doc_id)
 select doc_id, template, distance from (select *, row_number() over (partition by doc_id order by distance, template) as k from m where distance <= 4) where k = 1""")
 def j17_template_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest earlier document of the same tenant by 64 bits of a hash, at most 4 bits off; of equal hashes the first stands for all.
-
-    Hashes that differ in 4 bits at most agree in one of five bands, so candidates meet on a band.
-    """
-    text = F.coalesce("text", F.lit(""))
-    hashed = table(spark, sf_dir, "documents").select("doc_id", "source", F.concat(F.substring(F.md5(text), 1, 14), F.lpad(F.lower(F.hex(F.col("doc_id") % 256)), 2, "0")).alias("h"))
-    templates = hashed.groupBy("source", F.col("h").alias("t")).agg(F.min("doc_id").alias("template"))
-    bands = lambda c: F.explode(F.array(*(F.concat(F.lit(f"{i}:"), F.substring(c, at, n)) for i, (at, n) in enumerate(BANDS))))
-    met = hashed.withColumn("band", bands("h")).join(templates.withColumn("band", bands("t")), ["source", "band"]).where("template < doc_id")
-    near = met.withColumn("distance", fn.hamming_hex(F.col("h"), F.col("t"), 16)).where("distance <= 4")
-    return near.groupBy("doc_id").agg(F.min(F.struct("distance", "template")).alias("b")).select("doc_id", "b.template", "b.distance")
+    """The nearest earlier document of the same tenant by 64 bits of a hash, at most 4 bits off; of equal hashes the first stands for all."""
+    digest = F.md5(F.coalesce("text", F.lit("")))
+    hashed = table(spark, sf_dir, "documents").select("doc_id", "source", F.concat(F.substring(digest, 1, 14), F.lpad(F.lower(F.hex(F.col("doc_id") % 256)), 2, "0")).alias("h"))
+    return sim.nearest_earlier_hash(hashed, "doc_id", "source", "h")
 
 
 RULE_SETS = [(1, ["AF", "RF"], ["BUILDING"]), (2, ["NO"], ["MACHINERY", "BUILDING"]), (3, ["AF", "NF", "NO"], ["AUTOMOBILE"])]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from granary.operators import relational as rel
 from granary.operators import similarity as sim
 from granary.operators.cases import cases
+from granary.operators.neighbours import nearest_pruned
 from granary.plans.base import CASES, Plans
 from granary.sources.tables import table
 
@@ -26,14 +27,24 @@ def d2_normalised_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sim.first_of_equal(table(spark, sf_dir, "documents"), sim.text_digest(F.col("text")), "doc_id")
 
 
-@plans.query("""with p as (select q.vec_id as query_id, r.vec_id as neighbour_id, 1 - list_dot_product(q.embedding::double[], r.embedding::double[]) / sqrt(list_dot_product(q.embedding::double[], q.embedding::double[])) / sqrt(list_dot_product(r.embedding::double[], r.embedding::double[])) as d
-from embeddings q join embeddings r on q.label = r.label and q.vec_id <> r.vec_id where q.vec_id % 20 = 0) select query_id, neighbour_id, round(d, 6) as distance from (select *, row_number() over (partition by query_id order by d, neighbour_id) as k from p) where k <= 5""")
+NEAREST_FIVE = """with p as (select q.vec_id as query_id, r.vec_id as neighbour_id, 1 - list_dot_product(q.embedding::double[], r.embedding::double[]) / sqrt(list_dot_product(q.embedding::double[], q.embedding::double[])) / sqrt(list_dot_product(r.embedding::double[], r.embedding::double[])) as d
+from embeddings q join embeddings r on q.label = r.label and q.vec_id <> r.vec_id where q.vec_id % 20 = 0) select query_id, neighbour_id, round(d, 6) as distance from (select *, row_number() over (partition by query_id order by d, neighbour_id) as k from p) where k <= 5"""
+
+
+@plans.query(NEAREST_FIVE)
 def d7_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors of the same facet for each query (a top five by definition)."""
     vectors = table(spark, sf_dir, "embeddings")
     return sim.nearest(vectors.where("vec_id % 20 = 0"), vectors, "vec_id", "embedding", ["label"], 5).select("query_id", "neighbour_id", F.round("distance", 6).alias("distance"))
 
 
+@plans.query(NEAREST_FIVE)
+def d7_pruned_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of the same facet for each query, by cells around pivots instead of all pairs."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest_pruned(vectors.where("vec_id % 20 = 0"), vectors, "vec_id", "embedding", ["label"], 5).select("query_id", "neighbour_id", F.round("distance", 6).alias("distance"))
+
+
 @plans.query(f"""with {CASES}, p as (select *, lag(case_id) over w as other, lag(kind) over w as k2, lag(priority) over w as p2, lag(claimed) over w as c2 from cases window w as (partition by panel order by opened, case_id))
 select case_id, other, round((4 + 3 * (kind = k2)::int + 2 * (priority = p2)::int + 2 * (1 - least(1, abs(claimed - c2) / greatest(claimed, c2, 1)))) / 11, 6) as score from p where other is not null""")
 def d8_metadata_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:

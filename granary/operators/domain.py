@@ -147,3 +147,47 @@ def applied_in_order(log: DataFrame, key: str, arrival: str, time: str, event_id
     told, _ = running(log, [key], [arrival], {"_last": ("max", last)}, inclusive=False)
     policy = F.when(F.col("_last").isNull(), "applied").when(F.col("_last.id") == F.col(event_id), "duplicate").when(F.col(time) < F.col("_last.t"), "late").otherwise("applied")
     return told.withColumn("policy", policy).drop("_last")
+
+
+# ---- sides
+
+# Words for the two sides.
+SIDES = {"left": ("left", "lt", "lside", "l side", "l-side"), "right": ("right", "rt", "rside", "r side", "r-side")}
+
+
+def _side_words(text: Column, words: tuple[str, ...]) -> Column:
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(rf"(?i)\b(?:{'|'.join(map(re.escape, words))})\b"))
+
+
+def side_votes(sections: DataFrame, text: str, sides: Mapping[str, tuple[str, ...]] = SIDES) -> DataFrame:
+    """Sections with the side that most of their side words name, the second side on a tie; sections without such words go."""
+    (one, a), (other, b) = sides.items()
+    counted = sections.withColumns({"_a": _side_words(F.col(text), a), "_b": _side_words(F.col(text), b)}).where("_a + _b > 0")
+    return counted.withColumn("side", F.when(F.col("_a") > F.col("_b"), one).otherwise(other)).drop("_a", "_b")
+
+
+def side_verdicts(claims: DataFrame, votes: DataFrame, claim: str, diagnosis: str, sides: Mapping[str, tuple[str, ...]] = SIDES, least: int = 2) -> DataFrame:
+    """(claim, diagnosis_side, n_first, n_second, majority, disputed, observed): what the sections of a claim say against its diagnosis.
+
+    disputed: ``least`` sections differ from the diagnosis' side, and so does
+    the majority.  observed: the diagnosis names no side (none, a tie, null),
+    and the majority has ``least`` sections.  A claim without votes has counts
+    of 0; a null claim has no sections.  Votes are counted before they meet the claims.
+    """
+    (one, a), (other, b) = sides.items()
+    larger = lambda x, y: F.when(x > y, one).when(y > x, other)
+    counts = votes.groupBy(claim).agg(*(F.count_if(F.col("side") == s).alias(f"n_{k}") for s, k in ((one, "first"), (other, "second"))))
+    n = [F.coalesce(f"n_{k}", F.lit(0)).alias(f"n_{k}") for k in ("first", "second")]
+    joined = claims.select(claim, larger(_side_words(F.col(diagnosis), a), _side_words(F.col(diagnosis), b)).alias("diagnosis_side")).join(counts, claim, "left")
+    found = joined.select(claim, "diagnosis_side", *n).withColumn("majority", larger(F.col("n_first"), F.col("n_second")))
+    dissents = F.when(F.col("diagnosis_side") == one, F.col("n_second")).otherwise(F.col("n_first"))
+    disputed = F.col("diagnosis_side").isNotNull() & (dissents >= least) & F.coalesce(F.col("majority") != F.col("diagnosis_side"), F.lit(False))
+    observed = F.col("diagnosis_side").isNull() & F.col("majority").isNotNull() & (F.greatest("n_first", "n_second") >= least)
+    return found.withColumns({"disputed": disputed, "observed": observed})
+
+
+def side_standings(votes: DataFrame, verdicts: DataFrame, claim: str) -> DataFrame:
+    """Votes that dissent from the diagnosis' side, and, where a side is only observed, those that agree with the majority; a row each."""
+    met = votes.join(verdicts.select(claim, "diagnosis_side", "majority", "observed"), claim)
+    standing = F.when(F.col("side") != F.col("diagnosis_side"), "dissents").when(F.col("observed") & (F.col("side") == F.col("majority")), "agrees")
+    return met.withColumn("standing", standing).where("standing is not null").drop("diagnosis_side", "majority", "observed")

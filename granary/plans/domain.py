@@ -353,3 +353,32 @@ def s8_stranded_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = events.agg(F.max("ts").alias("now"))
     old = F.unix_micros(F.col("now").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp")) > 60_000_000
     return last.join(ended, "user_id", "left").crossJoin(F.broadcast(now)).where(old & (F.col("ended").isNull() | (F.col("ended") <= F.col("ts")))).select("user_id", "event_id")  # now is one row
+
+
+#: Orders as claims, their first line's part as diagnosis, lines that aren't returned as clinical sections.
+PLAN_SIDES = {"warm": ("red", "hot"), "cold": ("blue", "cold")}
+SIDE_SQL = """l as (select l_orderkey, l_linenumber, l_partkey, l_returnflag, p_name, len(regexp_extract_all(lower(p_name), '\\b(red|hot)\\b')) as a, len(regexp_extract_all(lower(p_name), '\\b(blue|cold)\\b')) as b from lineitem join part on p_partkey = l_partkey),
+c as (select l_orderkey, case when arg_min(a, (l_linenumber, l_partkey)) > arg_min(b, (l_linenumber, l_partkey)) then 'warm' when arg_min(b, (l_linenumber, l_partkey)) > arg_min(a, (l_linenumber, l_partkey)) then 'cold' end as diagnosis_side from l group by 1),
+v as (select l_orderkey, l_linenumber, l_partkey, case when a > b then 'warm' else 'cold' end as side from l where l_returnflag <> 'R' and a + b > 0),
+n as (select c.l_orderkey, any_value(diagnosis_side) as diagnosis_side, count(*) filter (where side = 'warm') as n_first, count(*) filter (where side = 'cold') as n_second from c left join v using (l_orderkey) group by 1),
+m as (select *, case when n_first > n_second then 'warm' when n_second > n_first then 'cold' end as majority from n),
+w as (select *, coalesce(diagnosis_side <> majority and case when diagnosis_side = 'warm' then n_second else n_first end >= 2, false) as disputed, diagnosis_side is null and majority is not null and greatest(n_first, n_second) >= 2 as observed from m)"""
+
+
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "p_name")
+    claims = lines.groupBy("l_orderkey").agg(F.min_by("p_name", F.struct("l_linenumber", "l_partkey")).alias("diagnosis"))
+    votes = d.side_votes(lines.where("l_returnflag <> 'R'"), "p_name", PLAN_SIDES).select("l_orderkey", "l_linenumber", "l_partkey", "side")
+    return votes, d.side_verdicts(claims, votes, "l_orderkey", "diagnosis", PLAN_SIDES)
+
+
+@plans.query(f"with {SIDE_SQL} select * from w")
+def d24_side_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the sections of a claim dispute the side of its diagnosis, or name one where it has none."""
+    return _sides(spark, sf_dir)[1]
+
+
+@plans.query(f"with {SIDE_SQL}, s as (select v.*, case when side <> diagnosis_side then 'dissents' when observed and side = majority then 'agrees' end as standing from v join w using (l_orderkey)) select * from s where standing is not null")
+def d24_dissenting_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sections that dissent from the diagnosis' side, or agree on one where it has none."""
+    return d.side_standings(*_sides(spark, sf_dir), "l_orderkey")

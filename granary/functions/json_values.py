@@ -79,7 +79,7 @@ def read_path(value: Column, path: str) -> Column:
 
 def text_of(value: Column) -> Column:
     """A scalar's text, an object's or array's JSON; null for JSON null."""
-    return F.coalesce(F.try_variant_get(value, "$", "string"), F.when(~F.is_variant_null(value), F.to_json(value)))
+    return let(value, lambda v: F.coalesce(F.try_variant_get(v, "$", "string"), F.when(~F.is_variant_null(v), F.to_json(v))))
 
 
 def with_value(text: Column, path: str, new: Column) -> Column:

@@ -73,3 +73,15 @@ def test_episode_functions(spark):
     charged = {"financial_summary": {"line_items": [{"description": "physio visit"}]}}
     assert told(rl.physiotherapy, {}) == "SKIP" and told(rl.physiotherapy, charged) == "FAIL"
     assert told(rl.physiotherapy, charged | {"treatment_plan": {"x": "Physio daily"}, "clinical_timeline": [{"daily_progress": [{"note": "PHYSIO"}]}]}) == "PASS"
+
+
+def test_parts_of_deep_trees_are_evaluated_once(spark):
+    leaf = {"logic_type": "SIMPLE_COMPARISON", "json_path": "$.a", "operator": "EQUALS", "expected_value": 5}
+    tree = leaf
+    for _ in range(4):
+        tree = {"logic_type": "ALL", "rules": [tree, leaf]}
+    docs = spark.createDataFrame([(1, json.dumps(DOC))], "k long, d string")
+    found = rl.evaluated(docs, "k", "d", [{"rule_id": "r", "logic": tree}])
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert plan.count("variant_get") <= 5 * 2 and plan.count("try_parse_json") == 1
+    assert found.first()["status"] == "PASS"

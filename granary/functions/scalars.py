@@ -46,7 +46,11 @@ def name_tokens(text: Column, least: int = 3) -> Column:
 
 def token_set_ratio(a: Column, b: Column) -> Column:
     """Shared tokens over those of the smaller set; 0 if either is empty."""
-    x, y = name_tokens(a, 1), name_tokens(b, 1)
+    return token_share_of(name_tokens(a, 1), name_tokens(b, 1))
+
+
+def token_share_of(x: Column, y: Column) -> Column:
+    """``token_set_ratio`` of distinct tokens that are there already."""
     least = F.least(F.size(x), F.size(y))
     return F.when(least > 0, F.size(F.array_intersect(x, y)) / least).otherwise(F.lit(0.0))
 
@@ -59,7 +63,11 @@ def distinctive(text: Column) -> Column:
 
 def name_distance(a: Column, b: Column) -> Column:
     """Edit distance of the distinctive tokens over the longer one's length; 1 if either is empty."""
-    x, y = distinctive(a), distinctive(b)
+    return token_distance(distinctive(a), distinctive(b))
+
+
+def token_distance(x: Column, y: Column) -> Column:
+    """``name_distance`` of distinctive tokens that are there already."""
     longest = F.greatest(F.length(x), F.length(y))
     return F.when((F.length(x) > 0) & (F.length(y) > 0), F.levenshtein(x, y) / longest).otherwise(F.lit(1.0))
 

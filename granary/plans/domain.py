@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.functions import json_values as jv
@@ -170,18 +170,21 @@ def i6_pages_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 NAMED_LINES = "n as (select distinct l_orderkey, p_name as name from lineitem join part on p_partkey = l_partkey)"
 
 
-def named_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def named_lines(spark: SparkSession, sf_dir: str, **of_name: Column) -> DataFrame:
+    """The names of an order's lines, with columns that depend on the name alone: made once for a part, not for each pair of lines."""
     part, lines = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
-    return lines.join(part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", F.col("p_name").alias("name")).distinct()
+    named = part.select("p_partkey", F.col("p_name").alias("name"), *(c.alias(n) for n, c in of_name.items()))
+    return lines.join(named, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "name", *of_name).distinct()
 
 
 @plans.query(f"""with {NAMED_LINES}, t as (select *, {LONGEST.format('name')} as x from n), p as (select a.l_orderkey, a.name as a, b.name as b, levenshtein(a.x, b.x) / greatest(length(a.x), length(b.x)) as d from t a join t b on a.l_orderkey = b.l_orderkey and a.name < b.name)
 select l_orderkey, a, b, round(d, 6) as distance from p where d > 0.4""")
 def d14_identity_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names on the identity documents of one claim that differ too much, pair by pair; a claim holds few."""
-    names = named_lines(spark, sf_dir)
-    pairs = names.select("l_orderkey", F.col("name").alias("a")).join(names.select("l_orderkey", F.col("name").alias("b")), "l_orderkey").where("a < b")
-    return pairs.withColumn("distance", fn.name_distance(F.col("a"), F.col("b"))).where("distance > 0.4").select("l_orderkey", "a", "b", F.round("distance", 6).alias("distance"))
+    names = named_lines(spark, sf_dir, token=fn.distinctive(F.col("p_name")))
+    a, b = (names.select("l_orderkey", F.col("name").alias(x), F.col("token").alias(f"token_{x}")) for x in "ab")
+    pairs = a.join(b, "l_orderkey").where("a < b").withColumn("distance", fn.token_distance(F.col("token_a"), F.col("token_b")))
+    return pairs.where("distance > 0.4").select("l_orderkey", "a", "b", F.round("distance", 6).alias("distance"))
 
 
 @plans.query("""with m as (select p_type, min(p_name) as master from part group by 1), d as (select p_partkey, p_name, master, levenshtein(p_name, master) / greatest(length(p_name), length(master)) as d from part join m using (p_type))

@@ -47,3 +47,10 @@ def test_margin_decides(spark):
     rows = [("m", 1, 1.0), ("m", 2, 0.5), ("n", 1, 1.0), ("n", 2, 0.75), ("o", 1, 0.4), ("p", 3, 0.5)]
     got = {(r["k"], r["c"]) for r in d.disambiguated(spark.createDataFrame(rows, "k string, c long, share double"), "k", "c").collect()}
     assert got == {("m", 1), ("p", 3)}
+
+
+def test_d14_identity_mismatch_normalises_a_name_before_pairs_are_made(spark, small):
+    from granary.plans import domain
+
+    plan = domain.d14_identity_mismatch(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" in plan and "regexp_replace" not in plan[: plan.index("Join")]

@@ -297,9 +297,13 @@ v as (select l_orderkey, case when edits <= 2 or overlap >= 1 then 0 when edits
 select l_orderkey, case coalesce(max(level), 0) when 0 then 'pass' when 1 then 'review' else 'block' end as verdict from (select distinct l_orderkey from n) left join v using (l_orderkey) group by 1""")
 def r3_fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The worst pair of names of a claim: pass, review or block."""
-    names = named_lines(spark, sf_dir)
-    pairs = names.select("l_orderkey", F.col("name").alias("a")).join(names.select("l_orderkey", F.col("name").alias("b")), "l_orderkey").where("a < b")
-    verdict = d.name_verdict(F.levenshtein("a", "b"), fn.token_set_ratio(F.col("a"), F.col("b")))
+    plain = F.array_join(fn.name_tokens(F.col("p_name"), 1), " ")
+    names = named_lines(spark, sf_dir, plain=F.nullif(plain, F.col("p_name")))  # most names are plain already
+    a, b = (names.select("l_orderkey", F.col("name").alias(x), F.coalesce("plain", "name").alias(f"plain_{x}")) for x in "ab")
+    pairs = a.join(b, "l_orderkey").where("a < b")
+    edits = F.levenshtein("a", "b", 4)  # -1 for more: all from 5 on are alike
+    tokens = [F.filter(F.split(f"plain_{x}", " "), lambda t: t != "") for x in "ab"]
+    verdict = d.name_verdict(F.when(edits < 0, 5).otherwise(edits), fn.token_share_of(*tokens))
     worst = pairs.select("l_orderkey", F.array_position(F.array(*map(F.lit, ("review", "block"))), verdict).alias("level")).groupBy("l_orderkey").agg(F.max("level").alias("level"))
     level = F.coalesce("level", F.lit(0))
     return names.select("l_orderkey").distinct().join(worst, "l_orderkey", "left").select("l_orderkey", F.when(level == 0, "pass").when(level == 1, "review").otherwise("block").alias("verdict"))

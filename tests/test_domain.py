@@ -54,3 +54,10 @@ def test_d14_identity_mismatch_normalises_a_name_before_pairs_are_made(spark, sm
 
     plan = domain.d14_identity_mismatch(spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_replace" in plan and "regexp_replace" not in plan[: plan.index("Join")]
+
+
+def test_r3_fuzzy_names_normalises_a_name_before_pairs_are_made(spark, small):
+    from granary.plans import domain
+
+    plan = domain.r3_fuzzy_names(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" in plan and "regexp_replace" not in plan[: plan.index("Join")]

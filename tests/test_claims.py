@@ -115,3 +115,9 @@ def test_sections_meet_as_keys_without_their_pages(spark, monkeypatch):
     plan = met[0].select("a", "b")._jdf.queryExecution().analyzed().toString()
     joined = [line for line in plan.splitlines() if "Join Inner" in line and "place" in line]
     assert joined, "sections meet by a key of their part"
+
+
+def test_letters_of_one_small_file_are_read_by_many_tasks(spark, small):
+    from granary.plans import claims
+
+    assert claims.f6_letter_facts(spark, small).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism

@@ -57,3 +57,9 @@ def test_structure_prunes_blocks():
     assert (least <= true + 1e-6).all()  # never above what is there
     fifth = np.sort(apart, axis=1)[:, 5]
     assert (least <= fifth[:, None]).mean() < 0.05
+
+
+def test_nearest_vectors_are_found_by_blocks(spark, small):
+    from granary.plans import similarity
+
+    assert "zip_with" not in similarity.d7_nearest_vectors(spark, small)._jdf.queryExecution().optimizedPlan().toString()

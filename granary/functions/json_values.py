@@ -49,37 +49,58 @@ def same_json(a: Column, b: Column) -> Column:
     return F.coalesce(canonical(a), a).eqNullSafe(F.coalesce(canonical(b), b)) & (F.try_parse_json(a).isNull() == F.try_parse_json(b).isNull())
 
 
-def _child(value: Column, step: str | int) -> Column:
-    return F.try_variant_get(value, f"$[{step}]" if isinstance(step, int) else f"$['{step}']", "variant")
+def _at(value: Column, steps: list, kind: str = "variant") -> Column:
+    """The value some keys and places further in, as a kind: one step, since each variant that is taken out is a copy."""
+    return F.try_variant_get(value, "$" + "".join(f"[{s}]" if isinstance(s, int) else f"['{s}']" for s in steps), kind)
 
 
-def values_at(value: Column, path: str) -> Column:
-    """array<variant> of all values at a path, in order; empty where there are none."""
-    found = F.filter(F.array(value), lambda v: v.isNotNull())
-    for step in steps_of(path):
-        if step is ALL:
-            inside = lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.map_values(F.try_variant_get(v, "$", "map<string,variant>")), F.array().cast("array<variant>"))
-            found = F.flatten(F.transform(found, inside))
-        else:
-            found = F.filter(_each(found, step), lambda v: v.isNotNull())
-    return found
+def _inside(value: Column, steps: list, kind: str) -> Column:
+    """array<kind> of the elements or members of the value some keys and places further in."""
+    return F.coalesce(_at(value, steps, f"array<{kind}>"), F.map_values(_at(value, steps, f"map<string,{kind}>")), F.array().cast(f"array<{kind}>"))
 
 
-def _each(found: Column, step: str | int) -> Column:
-    return F.transform(found, lambda v: _child(v, step))
+def values_at(value: Column, path: str, kind: str = "variant") -> Column:
+    """array<kind> of all values at a path, in order; empty where there are none, null in place of a value that is of no such kind.
 
-
-def read_path(value: Column, path: str) -> Column:
-    """The value at a dotted path, where a number is a place in an array or else a key; null if missing."""
-    for step in filter(None, path.split(".")):
-        key = _child(value, step)
-        value = F.coalesce(_child(value, int(step)), key) if step.isdigit() else key
-    return value
+    A kind of plain types or structs is read in one pass, without a variant for each value.
+    """
+    steps = steps_of(path)
+    if kind == "variant" or steps[-1:] == [ALL]:
+        return _values(value, steps, kind)
+    return F.transform(_values(value, steps, "variant"), lambda v: F.try_variant_get(v, "$", kind))
+
+
+def _values(value: Column, steps: list, kind: str) -> Column:
+    """Another kind than variant only where the last step is ALL."""
+    if ALL not in steps:
+        return F.filter(F.array(_at(value, steps, kind)), lambda v: v.isNotNull())
+    first = steps.index(ALL)
+    before, rest = steps[:first], steps[first + 1 :]
+    if not rest:
+        return _inside(value, before, kind)
+    if isinstance(rest[0], str):  # of each element only this member is read
+        key, rest = rest[0], rest[1:]
+        found = F.transform(_inside(value, before, "struct<`{}`:variant>".format(key.replace("`", "``"))), lambda v: v[key])
+    else:
+        found = _inside(value, before, "variant")
+    if ALL in rest:
+        return F.flatten(F.transform(found, lambda v: _values(v, rest, kind)))
+    return F.filter(F.transform(found, lambda v: _at(v, rest, kind)) if rest else found, lambda v: v.isNotNull())
+
+
+def read_path(value: Column, path: str, kind: str = "variant") -> Column:
+    """The value at a dotted path as a kind, where a number is a place in an array or else a key; null if missing or of no such kind."""
+    steps = [s for s in path.split(".") if s]
+    places = [i for i, s in enumerate(steps) if s.isdigit()]
+    if not places:
+        return _at(value, steps, kind)
+    before, step, rest = steps[: places[0]], steps[places[0]], ".".join(steps[places[0] + 1 :])
+    return read_path(F.coalesce(_at(value, [*before, int(step)]), _at(value, [*before, step])), rest, kind)
 
 
 def text_of(value: Column) -> Column:
     """A scalar's text, an object's or array's JSON; null for JSON null."""
-    return let(value, lambda v: F.coalesce(F.try_variant_get(v, "$", "string"), F.when(~F.is_variant_null(v), F.to_json(v))))
+    return F.try_variant_get(value, "$", "string")
 
 
 def with_value(text: Column, path: str, new: Column) -> Column:

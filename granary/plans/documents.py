@@ -100,14 +100,20 @@ def r7_document_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 select o_orderkey, case when o_orderkey % 3 = 2 then 'SKIP' when raised then 'PASS' else 'FAIL' end as enzymes, case when not managed or days <= 0 then 'SKIP' when days <= 3 or notes >= 3 then 'PASS' else 'FAIL' end as icu, case when o_orderkey % 2 = 1 then 'SKIP' when o_orderkey % 5 = 0 and progress then 'PASS' else 'FAIL' end as physiotherapy from e""")
 def r10_episode_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule functions over episode documents: raised enzymes, notes of long intensive care, prescribed physiotherapy."""
-    line, key = F.col("l_linenumber"), F.col("o_orderkey")
-    notes = F.slice(F.array_repeat(F.when(F.col("l_tax") > 0.05, "Physio session").otherwise("stable"), 3), 1, (line % 3).cast("int"))
-    test = F.struct(F.struct(F.when(F.col("l_discount") > 0.05, "Troponin I").otherwise("CBC").alias("test_name")).alias("diagnostic_meta"), F.when(F.col("l_tax") > 0.04, "high").otherwise("normal").alias("flag"))
-    phase = F.struct(line.alias("n"), F.when(F.col("l_returnflag") == "R", "ICU_STAY").otherwise("WARD").alias("phase_code"), F.struct(line.alias("value"), F.when(F.col("l_linestatus") == "F", "DAYS").otherwise("HOURS").alias("unit")).alias("duration"), notes.alias("daily_progress"), F.array(test).alias("diagnostics_performed"))
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(phase)).alias("clinical_timeline"))  # seven lines an order at most
+    key, facts = F.col("o_orderkey"), F.struct("l_linenumber", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
+
+    def phase(fact: Column) -> Column:
+        line = fact["l_linenumber"]
+        notes = F.slice(F.array_repeat(F.when(fact["l_tax"] > 0.05, "Physio session").otherwise("stable"), 3), 1, (line % 3).cast("int"))
+        test = F.struct(F.struct(F.when(fact["l_discount"] > 0.05, "Troponin I").otherwise("CBC").alias("test_name")).alias("diagnostic_meta"), F.when(fact["l_tax"] > 0.04, "high").otherwise("normal").alias("flag"))
+        return F.struct(line.alias("n"), F.when(fact["l_returnflag"] == "R", "ICU_STAY").otherwise("WARD").alias("phase_code"), F.struct(line.alias("value"), F.when(fact["l_linestatus"] == "F", "DAYS").otherwise("HOURS").alias("unit")).alias("duration"), notes.alias("daily_progress"), F.array(test).alias("diagnostics_performed"))
+
+    # Facts of lines are gathered (seven an order at most); phases are made of them after the shuffle and the join.
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(facts).alias("facts"))
+    timeline = F.sort_array(F.transform("facts", phase)).alias("clinical_timeline")
     kind = F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "medical_management").otherwise("SURGERY")
     diagnosis = F.struct(F.struct(F.when(key % 3 == 0, "I21.4").otherwise("J18").alias("icd_code"), F.when(key % 3 == 1, "Unstable angina").otherwise("other").alias("diagnosis_name")).alias("primary_diagnosis"))
     items = F.struct(F.array(F.struct(F.when(key % 2 == 0, "Physiotherapy").otherwise("Bed").alias("description"))).alias("line_items"))
-    doc = F.to_json(F.struct(F.struct(kind.alias("episode_type")).alias("meta"), diagnosis.alias("diagnosis"), "clinical_timeline", items.alias("financial_summary"), F.when(key % 5 == 0, "needs physio").otherwise("rest").alias("treatment_plan")))
+    doc = F.to_json(F.struct(F.struct(kind.alias("episode_type")).alias("meta"), diagnosis.alias("diagnosis"), timeline, items.alias("financial_summary"), F.when(key % 5 == 0, "needs physio").otherwise("rest").alias("treatment_plan")))
     docs = table(spark, sf_dir, "orders").join(lines, "o_orderkey").select("o_orderkey", F.try_parse_json(doc).alias("doc"))
     return docs.select("o_orderkey", rl.cardiac_enzymes(F.col("doc")).alias("enzymes"), rl.icu_stay(F.col("doc")).alias("icu"), rl.physiotherapy(F.col("doc")).alias("physiotherapy"))

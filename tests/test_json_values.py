@@ -83,3 +83,10 @@ def test_random_documents(spark):
         a = a if isinstance(a, dict) else {}
         old = a["a"] if isinstance(a.get("a"), list) else []
         assert json.loads(r["s"]) == a | {"a": [old[0] if old else None, [0], *old[2:]]}
+
+
+def test_values_of_a_kind(spark):
+    doc = F.try_parse_json(F.lit('{"a": [{"b": 1, "c": [1, "x", null]}, {"b": null}, 7, {"b": {"d": 2}, "c": {"k": 3.50}}]}'))
+    found = spark.range(1).select(jv.values_at(doc, "$.a[*].b", "string").alias("b"), jv.values_at(doc, "$.a[*].c[*]", "long").alias("c"), jv.values_at(doc, "$.a[*]", "struct<b:int>").alias("s"), jv.values_at(doc, "$.a[1].b", "int").alias("n")).first()
+    assert found["b"] == ["1", None, '{"d":2}'] and found["c"] == [1, None, None, 3] and found["n"] == [None]
+    assert [s and s["b"] for s in found["s"]] == [1, None, None, None]

@@ -85,3 +85,18 @@ def test_parts_of_deep_trees_are_evaluated_once(spark):
     plan = found._jdf.queryExecution().analyzed().toString()
     assert plan.count("variant_get") <= 5 * 2 and plan.count("try_parse_json") == 1
     assert found.first()["status"] == "PASS"
+
+
+def test_episode_functions_read_each_part_once(spark):
+    """One pass over a list makes typed rows of it; a variant taken out at every step of a path would be a copy each time."""
+    docs = spark.createDataFrame([("{}",)], "d string").select(F.try_parse_json("d").alias("d"))
+    reads = [docs.select(f(F.col("d")))._jdf.queryExecution().analyzed().toString().count("variant_get") for f in (rl.cardiac_enzymes, rl.icu_stay, rl.physiotherapy)]
+    assert all(n <= most for n, most in zip(reads, (12, 10, 20), strict=True)), reads
+
+
+def test_phases_with_parts_of_other_types(spark):
+    doc = lambda v: spark.createDataFrame([(json.dumps(v),)], "d string").select(F.try_parse_json("d").alias("d"))
+    stay = {"meta": {"episode_type": "medical_management"}, "clinical_timeline": {"a": 3, "b": {"phase_code": ["icu"], "duration": "long", "days": "4", "daily_progress": {"x": None, "y": 1, "z": "n"}}}}
+    assert doc(stay).select(rl.icu_stay(F.col("d"))).first()[0] == "PASS"
+    stay["clinical_timeline"]["b"]["daily_progress"].pop("z")
+    assert doc(stay).select(rl.icu_stay(F.col("d"))).first()[0] == "FAIL"

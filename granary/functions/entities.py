@@ -1,14 +1,16 @@
 """Entities and references in letters, and templates, as Column expressions.
 
-Numbers are found once, as runs of digits with their places; what they are is then
-decided by the lengths of their groups, check digits, and the words that stand
-near.  All stays in the JVM; a null text gives null, an empty one empty arrays.
+A pattern finds only what can be a fact: the lengths of the groups of digits and the
+words that must stand near, at a bounded distance, are part of it; check digits and
+calendars then decide.  Work on single rows' arrays, which Spark interprets, is left
+to the few tokens found.  All stays in the JVM; a null text gives null, an empty one
+empty arrays.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -22,10 +24,12 @@ COUNCIL_NAMES = ("MP MEDICAL COUNCIL", "MAHARASHTRA MEDICAL COUNCIL", "KARNATAKA
 REGISTERED, NUMBERED = ("REG", "REGISTRATION"), ("NO", "NUMBER", "#")
 SCHEME_WORDS, MEMBER_WORDS, HEALTH_WORDS = ("PMJAY", "AYUSHMAN"), ("BENEFICIARY ID", "BENEFICIARY NO", "BEN ID"), ("ABHA", "HEALTH ID", "PHR ADDRESS")
 NOT_SCHEME_IDS = ("PMJAY", "AYUSHMAN", "BHARAT", "BENEFICIARY", "ABPMJAY", "AB", "NUMBER", "CARDNUMBER", "CARD", "ISSUED", "UNDER", "NAME", "SCHEME", "GOVERNMENT", "INDIA")
-# Characters around an id in which its word must stand; digits of the ids' printed groups; currency marks before and after a number.
+# Characters around an id in which its word must stand; digits of the ids' printed groups; currency marks before and after a number and the characters within which they stand; years of dates.
 SCHEME_WINDOW, HEALTH_WINDOW = 80, 60
 NATIONAL_GROUPS, HEALTH_GROUPS = (4, 4, 4), (2, 4, 4, 4)
 MARKS_BEFORE, MARKS_AFTER = ("RS", "RS.", "INR", "₹", "RUPEES"), ("/-", "RS", "INR", "RUPEES", "ONLY")
+MARK_WINDOW = 12
+CENTURIES = r"(?:19\d\d|20\d\d|2100)"
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 # Labels of a claim number in the order that they are tried, and its own beginning, which goes before them.
 CLAIM_LABELS, CLAIM_START = ("CLAIM#", "CCN:", "CCN#", "CLAIMID:", "CLAIMID#"), "CLM-"
@@ -35,6 +39,36 @@ LABEL_WINDOW = 60
 UUID = r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
 TOKEN = r"(?i)\+(t[0-9a-f]{12})@"
 PLACEHOLDER = re.compile(r"\{\{\s*([\w.\[\]-]+)\s*\}\}")
+# Edges of words.
+EDGE, END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+# Digits joined by single blanks or hyphens; possessive, so that no length of it is tried twice or recurses.
+RUN = rf"\d++{END}(?:[\s-]\d++{END})*+"
+# Nothing; but a pattern that names a character beyond the basic plane counts all of them as one in what it looks back at.
+WIDE = "\U0001f600{0}"
+# A private character as a mark, and another one that texts have in its place: neither is a letter, digit, blank or punctuation.
+MARK, NO_MARK = "\ue000", "\ue001"
+
+
+def all_of(text: Column, pattern: str, group: int = 0) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+
+
+def spoken(words: Sequence[str], blanks: int) -> str:
+    """A pattern of upper-case words in any case, the blanks in them as up to ``blanks`` of white space."""
+    forms = {" ": rf"\s{{1,{blanks}}}", "I": "[Iiı]", "S": "[Ssſ]"}
+    one = lambda w: "".join(forms.get(c, f"[{c}{c.lower()}]" if c.isalpha() else re.escape(c)) for c in w)
+    both = lambda p: p.replace("[Ff][Iiı]", "(?:[Ff][Iiı]|ﬁ)").replace("[Ssſ][Ssſ]", "(?:[Ssſ][Ssſ]|ß)")
+    return "|".join(both(one(w)) for w in words)
+
+
+def near(token: str, words: Sequence[str], size: int) -> str:
+    """A condition in front of a token: one of the words stands, as a whole, in the ``size`` characters before or behind it.
+
+    Words are letters and a token has edges, so none lies across them.
+    """
+    said, ends = spoken(words, size), spoken(sorted({w[-2:] for w in words}), size)
+    first, last = (f"[{''.join(sorted({w[i] + w[i].lower() for w in words}))}ſıß]" for i in (0, -1))  # tried before all else
+    return rf"(?s:(?<={first}(?<=(?={said}).).{{0,{size - 1}}})|(?={token}.{{0,{size - 1}}}?{last}(?<={ends})(?<={said})){WIDE})"
 
 
 def tokens(text: Column, token: str) -> Column:
@@ -55,20 +89,14 @@ def before(text: Column, at: Column, size: int) -> Column:
     return F.substr(text, F.greatest(at - size, F.lit(1)), F.least(at - 1, F.lit(size)))
 
 
-def around(text: Column, x: Column, size: int) -> Column:
-    """A token with at most ``size`` characters on both sides; upper case, white space as one space."""
-    span = F.substr(text, F.greatest(x["at"] - size, F.lit(1)), F.least(x["at"] - 1, F.lit(size)) + F.length(x["token"]) + size)
-    return F.upper(F.regexp_replace(span, r"\s+", " "))
-
-
 def names_any(context: Column, words: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, (F.contains(context, F.lit(w)) for w in words))
 
 
 def _words(text: Column) -> Column:
-    """Upper-case words, # as one of its own; dots inside initials vanish, so U.P.M.C. is one word."""
-    joined = F.regexp_replace(F.upper(text), r"(?<![A-Z])([A-Z])\.(?=[A-Z](?![A-Z]))", "$1")
-    return F.filter(F.split(F.regexp_replace(joined, "#", " # "), r"[^\p{L}\p{N}#]+"), lambda w: w != "")
+    """Upper-case words with single blanks between, # as one of its own; dots inside initials vanish, so U.P.M.C. is one word."""
+    joined = F.regexp_replace(F.upper(text), r"\.(?<=(?<![A-Z])[A-Z].)(?=[A-Z](?![A-Z]))", "")
+    return F.trim(F.regexp_replace(F.replace(joined, F.lit("#"), F.lit(" # ")), r"[^\p{L}\p{N}#]+", " "))
 
 
 def registrations(text: Column) -> Column:
@@ -76,25 +104,27 @@ def registrations(text: Column) -> Column:
 
     A number with a council is not told again without one.
     """
-    fillers = F.array(*map(F.lit, (*REGISTERED, *NUMBERED)))
-
-    def told(x: Column) -> Column:
-        return let(F.reverse(_words(before(text, x["at"], LABEL_WINDOW))), lambda words: labelled_by(x, words))
-
-    def labelled_by(x: Column, words: Column) -> Column:
-        own = F.get(F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda s: ~F.array_contains(fillers, s["w"])), F.lit(0))
-        full = F.array_join(F.reverse(F.slice(words, own["i"] + 1, 3)), " ")
-        council = F.when(own["w"].isin(*COUNCILS), own["w"]).when(full.isin(*COUNCIL_NAMES), full)
-        labelled = F.get(words, F.lit(0)).isin(*NUMBERED) & F.coalesce(F.get(F.filter(words, lambda w: ~w.isin(*NUMBERED)), F.lit(0)).isin(*REGISTERED), F.lit(False))
-        near = F.coalesce(~before(text, x["at"], 1).rlike(r"[^\s.:#/-]"), F.lit(False))
-        return F.when(near & (council.isNotNull() | labelled), F.struct(council.alias("council"), F.upper(x["token"]).alias("number")))
+    fillers = "|".join((*REGISTERED, *NUMBERED))
+    named = rf"(?:^| )({'|'.join((*COUNCILS, *COUNCIL_NAMES))})(?: (?:{fillers}))*$"
+    labelled = rf"(?:^| )(?:{'|'.join(REGISTERED)})(?: (?:{'|'.join(NUMBERED)}))+$"
+    last = rf"(?:{spoken(('MC', 'M.C', 'MCI', 'C.I', 'COUNCIL', *REGISTERED, '#'), 1)}|{EDGE}(?:{spoken(NUMBERED, 1)}))"  # how the last word in front can end
+    token = r"[A-Za-z]?\d{3,7}"
+    introducing = rf"(?=[MCRNmcrn#])(?:{last})[^\p{{L}}\p{{N}}#]{{0,{LABEL_WINDOW - 1}}}+(?<=[\s.:#/-])(?={token}{END})"
+    parts = F.split(F.regexp_replace(F.replace(text, F.lit(MARK), F.lit(NO_MARK)), introducing, "$0" + MARK), MARK)  # what stands before the first number, then each with what follows it
+
+    def told(number: Column, context: Column) -> Column:
+        as_told = lambda words, council: F.when((council != "") | words.rlike(labelled), F.struct(F.when(council != "", council).alias("council"), F.upper(number).alias("number")))
+        return let(_words(context), lambda words: let(F.regexp_extract(words, named, 1), lambda council: as_told(words, council)))
+
+    def each(parts: Column) -> Column:
+        context = lambda i: F.substring(F.array_join(F.slice(parts, F.greatest(i + 2 - LABEL_WINDOW // 3, F.lit(1)), F.least(i + 1, F.lit(LABEL_WINDOW // 3))), ""), -LABEL_WINDOW, LABEL_WINDOW)  # noqa: E731  a part has three characters at least
+        return F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda part, i: told(F.regexp_extract(part, f"^{token}", 0), context(i)))
 
     def once(found: Column) -> Column:
         known = F.transform(F.filter(found, lambda t: t["council"].isNotNull()), lambda t: t["number"])
         return let(known, lambda k: F.filter(found, lambda t: t["council"].isNotNull() | ~F.array_contains(k, t["number"])))
 
-    found = let(F.array_distinct(F.filter(F.transform(tokens(text, r"(?<![\p{L}\p{N}_])[A-Za-z]?\d{3,7}(?![\p{L}\p{N}_])"), told), lambda t: t.isNotNull())), once)
-    return only_if(holds_any(text, ("REG", "MC", "M.C", "COUNCIL")) & text.rlike(r"\d{3}"), found)
+    return only_if(holds_any(text, ("REG", "MC", "M.C", "COUNCIL")) & text.rlike(r"\d{3}"), let(F.array_distinct(F.filter(let(parts, each), lambda t: t.isNotNull())), once))
 
 
 def merged_groups(groups: Sequence[int]) -> list[list[int]]:
@@ -106,29 +136,12 @@ def merged_groups(groups: Sequence[int]) -> list[list[int]]:
 
 
 def grouped_numbers(text: Column, groups: Sequence[int]) -> Column:
-    """array<struct<at, token>>: numbers written in these groups of digits, or with some of them together; the token is their digits.
+    """Digits of the numbers written in these groups, or with some of them together, each once.
 
-    Runs of digits joined by single blanks or hyphens are read from the left, and
-    digits that were taken once are not taken again.
+    They are read from the left, and digits that were taken once are not taken again.
     """
-    shapes = merged_groups(groups)
-
-    def of_run(run: Column) -> Column:
-        parts = F.split(run["token"], r"[\s-]")
-        sizes = F.transform(parts, lambda p: F.length(p))
-        start = F.struct(F.lit(0).alias("skip"), F.array().cast("array<string>").alias("found"))
-
-        def step(seen: Column, i: Column) -> Column:
-            fits = F.lit(0)
-            for shape in shapes:
-                fits = F.when(F.slice(sizes, i + 1, len(shape)) == F.array(*map(F.lit, shape)), F.lit(len(shape))).otherwise(fits)
-            free = F.struct(F.greatest(fits - 1, F.lit(0)).alias("skip"), F.when(fits > 0, F.array_append(seen["found"], F.array_join(F.slice(parts, i + 1, F.greatest(fits, F.lit(1))), ""))).otherwise(seen["found"]).alias("found"))
-            return F.when(seen["skip"] > 0, F.struct((seen["skip"] - 1).alias("skip"), seen["found"].alias("found"))).otherwise(free)
-
-        numbers = F.aggregate(F.sequence(F.lit(0), F.size(sizes) - 1), start, step, lambda seen: seen["found"])
-        return F.transform(numbers, lambda n: F.struct(run["at"].alias("at"), n.alias("token"), run["token"].alias("run")))
-
-    return F.flatten(F.transform(tokens(text, r"(?<![\p{L}\p{N}_])\d+(?:[\s-]\d+)*(?![\p{L}\p{N}_])"), of_run))
+    shapes = "|".join(r"[\s-]".join(rf"\d{{{n}}}" for n in shape) for shape in merged_groups(groups))
+    return F.array_distinct(F.transform(all_of(text, rf"(?=\d){EDGE}(?:{shapes}){END}"), lambda n: F.regexp_replace(n, r"\D", "")))
 
 
 def only_if(test: Column, found: Column) -> Column:
@@ -141,39 +154,35 @@ def holds_any(text: Column, words: Sequence[str]) -> Column:
     return names_any(F.upper(text), words)
 
 
-def _values(found: Column) -> Column:
-    return F.array_distinct(F.transform(found, lambda x: x["token"]))
-
-
 def national_ids(text: Column) -> Column:
     """Numbers of three groups of four digits whose check digit is right and whose first is neither 0 nor 1."""
-    return only_if(text.rlike(r"\d{4}[\s-]?\d{4}[\s-]?\d{4}"), F.filter(_values(grouped_numbers(text, NATIONAL_GROUPS)), verhoeff_valid))
+    return F.filter(grouped_numbers(text, NATIONAL_GROUPS), verhoeff_valid)
 
 
 def health_ids(text: Column) -> Column:
-    """Numbers of 2, 4, 4 and 4 digits near a word for the health id."""
-    found = F.filter(grouped_numbers(text, HEALTH_GROUPS), lambda x: names_any(around(text, F.struct(x["at"].alias("at"), x["run"].alias("token")), HEALTH_WINDOW), HEALTH_WORDS))
-    return only_if(holds_any(text, [w.split()[0] for w in HEALTH_WORDS]) & text.rlike(r"\d"), _values(found))
+    """Numbers of 2, 4, 4 and 4 digits in a run of digits near a word for the health id."""
+    runs = all_of(text, rf"(?=\d){EDGE}(?:(?=(?:\d[\s-]?){{{sum(HEALTH_GROUPS)}}}){near(RUN, HEALTH_WORDS, HEALTH_WINDOW)}({RUN})|{RUN})", 1)
+    return only_if(holds_any(text, [w.split()[0] for w in HEALTH_WORDS]) & text.rlike(r"\d"), grouped_numbers(F.array_join(runs, ";"), HEALTH_GROUPS))
 
 
 def scheme_ids(text: Column) -> Column:
     """Codes of 8 to 12 capitals and digits near the scheme's name, then 12 to 15 digits near it or near a word for its members, unless they are a national id."""
-    capital = F.filter(tokens(text, r"(?<![\p{L}\p{N}_])[A-Z][A-Z0-9]{7,11}(?![\p{L}\p{N}_])"), lambda x: ~x["token"].isin(*NOT_SCHEME_IDS) & names_any(around(text, x, SCHEME_WINDOW), SCHEME_WORDS))
-    digits = F.filter(tokens(text, r"(?<![\p{L}\p{N}_])\d{12,15}(?![\p{L}\p{N}_])"), lambda x: names_any(around(text, x, SCHEME_WINDOW), (*SCHEME_WORDS, *MEMBER_WORDS)) & ~verhoeff_valid(x["token"]))
-    return only_if(holds_any(text, (*SCHEME_WORDS, *(w.split()[0] for w in MEMBER_WORDS))), F.array_distinct(F.concat(_values(capital), _values(digits))))
+    code, number = rf"[A-Z][A-Z0-9]{{7,11}}+{END}", rf"\d{{12,15}}+{END}"
+    within = rf"(?=[A-Z0-9]*(?:{'|'.join(SCHEME_WORDS)}))"
+    capital = all_of(text, rf"(?=[A-Z]){EDGE}(?={code})(?!(?:{'|'.join(NOT_SCHEME_IDS)}){END})(?:{within}|{near(code, SCHEME_WORDS, SCHEME_WINDOW)}){code}")
+    digits = all_of(text, rf"(?=\d){EDGE}(?={number}){near(number, (*SCHEME_WORDS, *MEMBER_WORDS), SCHEME_WINDOW)}{number}")
+    return only_if(holds_any(text, (*SCHEME_WORDS, *(w.split()[0] for w in MEMBER_WORDS))), F.array_distinct(F.concat(capital, F.filter(digits, lambda n: ~verhoeff_valid(n)))))
 
 
 def mobiles(text: Column) -> Column:
     """Ten-digit mobile numbers in order, without country code, each once."""
-    ten = lambda n: F.when(n.rlike(r"^[6-9]\d{9}$"), n).when(n.rlike(r"^91[6-9]\d{9}$"), F.substring(n, 3, 10))
-    return F.array_distinct(F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"\d+"), F.lit(0)), ten), lambda n: n.isNotNull()))
+    return F.array_distinct(all_of(text, r"(?=[6-9])(?<!\d)(?:91)?([6-9]\d{9})(?!\d)", 1))
 
 
 def _day(year: Column, month: Column, day: Column) -> Column:
-    """ISO date of three numbers, null where there is none between 1900 and 2100; two-digit years from 80 on are of the last century."""
-    full = F.when(F.length(year) == 2, F.when(year.cast("int") < 80, year.cast("int") + 2000).otherwise(year.cast("int") + 1900)).otherwise(year.cast("int"))
-    text = F.concat_ws("-", F.lpad(full.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0"))
-    return F.when(full.between(1900, 2100) & F.try_to_date(text, "yyyy-MM-dd").isNotNull(), text)
+    """ISO date of three strings of digits, null where there is none between 1900 and 2100; two-digit years from 80 on are of the last century."""
+    full = F.when(F.length(year) == 2, F.concat(F.when(year < "80", "20").otherwise("19"), year)).otherwise(year)
+    return let(F.concat_ws("-", full, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), lambda t: F.when(t.rlike(rf"^{CENTURIES}-") & t.try_cast("date").isNotNull(), t))
 
 
 def days(text: Column) -> Column:
@@ -182,39 +191,38 @@ def days(text: Column) -> Column:
     Forms: ``year_first``, ``day_first``, ``month_first`` (only that fits), ``either``
     (day first is assumed) and ``named``.
     """
-    part = lambda t, i: F.get(F.split(t, r"[\s/.-]+"), F.lit(i))
-    made = lambda day, form: F.when(day.isNotNull(), F.struct(day.alias("day"), form.alias("form")))
-    edge, end = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+    made = lambda day, form: F.struct(day.alias("day"), form.alias("form"))
+    part = lambda t, by, i: F.split_part(t, F.lit(by), F.lit(i))
 
     def numeric(t: Column) -> Column:
-        a, b, y = part(t, 0), part(t, 1), part(t, 2)
-        form = F.when((a.cast("int") > 12) & (b.cast("int") <= 12), "day_first").when((b.cast("int") > 12) & (a.cast("int") <= 12), "month_first").when((a.cast("int") <= 12) & (b.cast("int") <= 12), "either")
-        return F.when(form.isNotNull(), made(F.when(form == "month_first", _day(y, a, b)).otherwise(_day(y, b, a)), form))
+        two = lambda i: F.lpad(part(t, ".", i), 2, "0")
+        return let(F.struct(two(1).alias("a"), two(2).alias("b"), part(t, ".", 3).alias("y")), of_parts)
+
+    def of_parts(p: Column) -> Column:
+        first, second = p["a"] <= "12", p["b"] <= "12"
+        day = F.when(second, _day(p["y"], p["b"], p["a"])).when(first, _day(p["y"], p["a"], p["b"]))
+        return made(day, F.when(first & second, "either").when(second, "day_first").otherwise("month_first"))
 
     def named(t: Column) -> Column:
-        month = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(part(t, 1), 1, 3))).cast("int")
-        return made(_day(part(t, 2), month, part(t, 0)), F.lit("named"))
+        month = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(part(t, " ", 2), 1, 3))).cast("string")
+        return made(_day(part(t, " ", 3), month, part(t, " ", 1)), F.lit("named"))
 
-    iso = F.transform(F.regexp_extract_all(text, F.lit(rf"{edge}\d{{4}}-\d\d-\d\d{end}"), F.lit(0)), lambda t: made(_day(part(t, 0), part(t, 1), part(t, 2)), F.lit("year_first")))
-    numbers = F.transform(F.regexp_extract_all(text, F.lit(rf"{edge}\d\d?[/.-]\d\d?[/.-]\d{{2,4}}{end}"), F.lit(0)), numeric)
-    names = F.transform(F.regexp_extract_all(text, F.lit(rf"(?i){edge}\d\d?\s+(?:{'|'.join(MONTHS)})[a-z]*\s+\d{{2,4}}{end}"), F.lit(0)), named)
-    return only_if(text.rlike(r"\d[/.\s-]"), F.array_distinct(F.filter(F.concat(iso, numbers, names), lambda d: d.isNotNull())))
+    iso = F.transform(F.filter(all_of(text, rf"(?=\d){EDGE}{CENTURIES}-\d\d-\d\d{END}"), lambda t: t.try_cast("date").isNotNull()), lambda t: made(t, F.lit("year_first")))
+    numbers = F.transform(all_of(text, rf"(?=\d){EDGE}\d\d?[/.-]\d\d?[/.-]\d{{2,4}}{END}"), lambda t: let(F.translate(t, "/-", ".."), numeric))
+    names = F.transform(all_of(text, rf"(?i)(?=\d){EDGE}\d\d?\s+(?:{'|'.join(MONTHS)})[a-z]*\s+\d{{2,4}}{END}"), lambda t: let(F.regexp_replace(t, r"\s+", " "), named))
+    return F.array_distinct(F.filter(F.concat(iso, numbers, names), lambda d: d["day"].isNotNull()))
 
 
 def amounts(text: Column) -> Column:
     """Amounts above zero that a currency mark stands right before, then those that one follows, as numbers, each once."""
-    value = lambda x: F.replace(x["token"], F.lit(",")).try_cast("double")
-    left = lambda x: F.upper(F.rtrim(before(text, x["at"], 12)))
-    right = lambda x: F.upper(F.ltrim(F.substr(text, x["at"] + F.length(x["token"]), F.lit(12))))
-    any_of = lambda tests: reduce(lambda a, b: a | b, tests)
-
-    def marked(found: Column) -> Column:
-        ahead = F.filter(found, lambda x: any_of(F.endswith(left(x), F.lit(m)) for m in MARKS_BEFORE))
-        behind = F.filter(found, lambda x: any_of(F.startswith(right(x), F.lit(m)) for m in MARKS_AFTER) & ~F.coalesce(before(text, x["at"], 1).rlike(r"[\p{L}_]"), F.lit(False)))
-        return F.array_distinct(F.filter(F.concat(F.transform(ahead, value), F.transform(behind, value)), lambda v: v > 0))
-
-    beside = r"\d(?:(?<=(?:RS\.?|INR|₹|RUPEES)\s{0,12}\d)|,*\s*(?:/-|RS|INR|RUPEES|ONLY))"  # looks around digits only
-    return only_if(F.upper(text).rlike(beside), let(tokens(text, r"\d[\d,]*(?:\.\d{1,2})?"), marked))
+    number = r"\d[\d,]*+(?:\.\d{1,2})?+"
+    blanks = lambda m: f"\\x20{{0,{MARK_WINDOW - len(m)}}}"
+    ahead = "|".join(spoken([m], 1) + blanks(m) for m in MARKS_BEFORE)
+    lasts = r"\x20ſ" + "".join(sorted({m[-1] + m[-1].lower() for m in MARKS_BEFORE}))
+    behind = "|".join(blanks(m) + spoken([m], 1) for m in MARKS_AFTER)
+    marked = lambda pattern: F.array_remove(all_of(text, rf"(?=\d)(?:{pattern}|{number})", 1), "")  # noqa: E731  a number without a mark is read over as a whole
+    found = F.concat(marked(rf"(?<=[{lasts}])(?<={ahead})({number})"), marked(rf"(?<![\p{{L}}_])({number})(?={behind})"))
+    return F.array_distinct(F.filter(F.transform(found, lambda n: F.replace(n, F.lit(",")).try_cast("double")), lambda v: v > 0))
 
 
 def claim_number(text: Column) -> Column:

@@ -157,6 +157,26 @@ def test_whole_documents(spark, small):
         assert {c: r[c] for c in COLUMNS} == {c: ",".join(want[c]) for c in COLUMNS}
 
 
+def test_letters_are_not_walked_token_by_token(spark, small):
+    plan = catalog.queries()["f6_letter_facts"](spark, small)._jdf.queryExecution().analyzed().toString()
+    assert "aggregate(" not in plan and "(.*?)" not in plan, "patterns find what can be a fact, tokens are not folded over"
+
+
+def test_windows_and_edges_count_characters_beyond_the_basic_plane(spark):
+    face, letter = "\U0001f600", "\U0001d49c"
+    assert one(spark, en.health_ids, "ABHA" + face * 56 + "91123456789012") == ["91123456789012"]
+    assert one(spark, en.health_ids, "ABHA" + face * 57 + "91123456789012") == []
+    assert one(spark, en.scheme_ids, "MCETESFVS" + face * 75 + "PMJAY") == ["MCETESFVS"]
+    assert one(spark, en.scheme_ids, "MCETESFVS" + face * 76 + "PMJAY") == []
+    assert one(spark, en.scheme_ids, f"PMJAY {letter}123456789012345") == [], "a letter stands right before the number"
+
+
+def test_councils_are_looked_for_in_sixty_characters(spark):
+    assert one(spark, en.registrations, "MPMC" + " " * 56 + "12345") == [("MPMC", "12345")]
+    assert one(spark, en.registrations, "MPMC" + " " * 57 + "12345") == []
+    assert one(spark, en.registrations, "".join(f"MCI {n:03d};" for n in range(100, 130)) + " Reg\ue000 No 777") == [*(("MCI", str(n)) for n in range(100, 130)), (None, "777")]
+
+
 def test_names_are_unique(monkeypatch):
     from granary.plans import scalars
 

@@ -225,6 +225,12 @@ def amounts(text: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(found, lambda n: F.replace(n, F.lit(",")).try_cast("double")), lambda v: v > 0))
 
 
+def facts(text: Column) -> dict[str, Column]:
+    """Lists of all kinds but amounts, as strings: a registration is its council, a colon and its number."""
+    doctors = F.transform(registrations(text), lambda r: F.concat_ws(":", F.coalesce(r["council"], F.lit("")), r["number"]))
+    return {"registrations": doctors, "national_ids": national_ids(text), "scheme_ids": scheme_ids(text), "health_ids": health_ids(text), "mobiles": mobiles(text), "days": F.transform(days(text), lambda d: d["day"])}
+
+
 def claim_number(text: Column) -> Column:
     """A token that begins as claim numbers do, else the first behind the first label that has one; six characters at least."""
     label = lambda x: F.upper(F.regexp_replace(before(text, x["at"], LABEL_WINDOW), r"\s+", ""))

@@ -286,9 +286,7 @@ def f6_letter_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _facts(text: Column) -> list[Column]:
-    doctors = F.transform(en.registrations(text), lambda r: F.concat_ws(":", F.coalesce(r["council"], F.lit("")), r["number"]))
-    lists = {"registrations": doctors, "national_ids": en.national_ids(text), "scheme_ids": en.scheme_ids(text), "health_ids": en.health_ids(text), "mobiles": en.mobiles(text), "days": F.transform(en.days(text), lambda d: d["day"])}
-    return [F.array_join(c, ",").alias(name) for name, c in lists.items()] + [en.amounts(text).alias("amounts")]
+    return [F.array_join(c, ",").alias(name) for name, c in en.facts(text).items()] + [en.amounts(text).alias("amounts")]
 
 
 @plans.query()

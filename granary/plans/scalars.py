@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.functions import entities as en
 from granary.functions import scalars as fn
 from granary.plans.base import Plans
+from granary.plans.fact_sql import ENTITIES
 from granary.sources.tables import table
 
 plans = Plans()
@@ -49,12 +51,14 @@ def f5_line_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(fn.line_amount(net, gross, F.col("l_quantity"), F.col("l_tax")), 4).alias("amount"))
 
 
-@plans.query(r"""select doc_id, len(regexp_extract_all(coalesce(text, ''), '[6-9][0-9]{9}'))::bigint as n_mobile, len(regexp_extract_all(coalesce(text, ''), '[0-9]{4}-[0-9]{2}-[0-9]{2}'))::bigint as n_dates,
-regexp_extract(coalesce(text, ''), '[6-9][0-9]{9}') as first_mobile from documents""")
+@plans.query(ENTITIES)
 def f6_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mobile numbers and dates in whole texts."""
+    """Mobile numbers and dates as plain patterns have them in whole texts, then registrations, identities, mobile numbers, dates and amounts, each kind sorted."""
     text = F.coalesce("text", F.lit(""))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(F.regexp_extract_all(text, F.lit("[6-9][0-9]{9}"), 0)).cast("long").alias("n_mobile"), F.size(F.regexp_extract_all(text, F.lit("[0-9]{4}-[0-9]{2}-[0-9]{2}"), 0)).cast("long").alias("n_dates"), F.regexp_extract(text, "[6-9][0-9]{9}", 0).alias("first_mobile"))
+    plain = [F.size(F.regexp_extract_all(text, F.lit("[6-9][0-9]{9}"), 0)).cast("long").alias("n_mobile"), F.size(F.regexp_extract_all(text, F.lit("[0-9]{4}-[0-9]{2}-[0-9]{2}"), 0)).cast("long").alias("n_dates"), F.regexp_extract(text, "[6-9][0-9]{9}", 0).alias("first_mobile")]
+    kinds = [F.array_join(F.array_sort(F.array_distinct(found)), ",").alias(name) for name, found in en.facts(text).items()]
+    amounts = F.array_join(F.transform(F.array_sort(en.amounts(text)), lambda a: F.format_string("%.2f", a)), ",").alias("amounts")
+    return table(spark, sf_dir, "documents").select("doc_id", *plain, *kinds, amounts)
 
 
 CHECKED = "select o_orderkey, digits, regexp_matches(digits, '^[2-9][0-9]{11}$') and c12 = 0 as valid from ({steps})"

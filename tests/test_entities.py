@@ -6,6 +6,7 @@ import random
 import re
 from datetime import date
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,6 +178,25 @@ def test_councils_are_looked_for_in_sixty_characters(spark):
     assert one(spark, en.registrations, "".join(f"MCI {n:03d};" for n in range(100, 130)) + " Reg\ue000 No 777") == [*(("MCI", str(n)) for n in range(100, 130)), (None, "777")]
 
 
+def test_entities_of_documents_are_of_all_kinds(spark, tmp_path):
+    draw = random.Random(6)
+    digit = lambda n: "".join(draw.choice("0123456789") for _ in range(n))
+    makers = [
+        lambda: draw.choice(["M.P.M.C.", "mci", "Reg", "Registration", "No.", "Number", "#", "Delhi  Medical Council", "XMCI", "U.P.M.C", "A.B.M.C.I", "."]), lambda: draw.choice("akZ") + digit(draw.randint(3, 8)), lambda: draw.choice(" -").join((NATIONAL[:4], NATIONAL[4:8], NATIONAL[8:])), lambda: "-".join(digit(4) for _ in range(draw.randint(2, 6))),
+        lambda: "91 " + " ".join(digit(4) for _ in range(3)), lambda: draw.choice(["ABHA", "health \n id", "PMJAY", "xPMJAYx", "Ayushman", "Beneficiary  ID", "BEN ID", "Rs.", "inr", "₹", "only", "/-", "." * 70, " " * 20]), lambda: draw.choice(["", "91"]) + draw.choice("6789") + digit(9), lambda: digit(draw.randint(8, 16)), lambda: "".join(draw.choice("ABCXYZ0189") for _ in range(draw.randint(6, 13))),
+        lambda: f"{draw.randint(1, 33)}{draw.choice('/.-')}{draw.randint(1, 14)}{draw.choice('/.-')}{draw.choice(['24', '1999', '85', '020', '2101'])}", lambda: f"{draw.randint(1890, 2110)}-{draw.randint(10, 13)}-{draw.randint(10, 32)}", lambda: f"{draw.randint(1, 32)} {draw.choice(['Jan', 'FEBRUARY', 'Sept', 'Foo'])} {draw.choice(['24', '2021'])}", lambda: f"{digit(2)},{digit(3)}.{digit(3)}",
+    ]
+    texts = ["".join(draw.choice(makers)() + draw.choice([" ", "\n", ", ", "", "-", "; ", "<", ": "]) for _ in range(draw.randint(1, 20))) for _ in range(1500)]
+    spark.createDataFrame([*enumerate(texts), (-1, None), (-2, "")], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    with duckdb.connect() as con:
+        con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+        want = sorted(con.execute(catalog.oracle_sql()["f6_entities"]).fetchall())
+    found = catalog.queries()["f6_entities"](spark, str(tmp_path))
+    assert [tuple(r) for r in found.orderBy("doc_id").collect()] == want
+    for kind in ("registrations", *COLUMNS, "amounts"):
+        assert found.where(F.col(kind) != "").count() > 50, kind
+
+
 def test_names_are_unique(monkeypatch):
     from granary.plans import scalars
 
